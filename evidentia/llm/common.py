@@ -8,9 +8,12 @@ need no special treatment there.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,6 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/evidentia-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_evidentia_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="evidentia-")) / "evidentia.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._evidentia_shipped = True
+
+
 class Workspace:
     """Intermediate tables in the shared folder; each can be dropped early."""
 
@@ -53,6 +70,21 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def tidy(self) -> None:
+        """Let the driver see which shuffle files nobody needs any more.
+
+        Spark removes them when the driver's JVM collects their handles, which
+        may be long after the frames they belong to were cut.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def if_small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if a count shows that it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -93,6 +125,7 @@ def append_columns(
             arrays += [x if isinstance(x := out[k], pa.Array) else pa.array(x, kind) for k, kind in kinds.items()]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, *kinds])
 
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df.mapInArrow(run, schema)
 

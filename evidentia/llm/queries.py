@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontamination, jaccard_join, line_dedup, piece_bpe
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op3_piece_bpe": piece_bpe.op3_piece_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 
 SQL = {
+    "op2_decontamination": decontamination.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
 }
