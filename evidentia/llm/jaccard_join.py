@@ -287,6 +287,17 @@ def _counts(text_col: str, size: int, name: str):
     return lambda batch: {name: [len(shingles(t, size, known)) for t in raw_texts(batch, text_col)]}
 
 
+def drop_linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similar: int = 80, workspace: Workspace | None = None) -> DataFrame:
+    """``df`` less the rows that links connect with a smaller id; of equal rows that
+    share an id all stay, as do rows with a null id."""
+    work = workspace or Workspace(df.sparkSession)
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    _, label = find_components(docs, size, similar, work)
+    gone = fresh(df, "gone")
+    lost = work.cut(label.where("id <> component").select(F.col("id").alias(gone)), "lost")
+    return df.join(if_small(lost, SMALL), F.col(id_col).cast("long") == F.col(gone), "left_anti")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_components(docs, size=3, similar=90, keep=["doc_id"])
