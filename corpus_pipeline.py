@@ -22,21 +22,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidentia.llm import decontamination, jaccard_join, line_dedup, piece_bpe, toxicity
-from evidentia.llm.common import Workspace, table
+from evidentia.llm.common import Workspace, fresh, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"))
     model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
-    return toxicity.score_toxicity(docs, model, score="__ev_score", predicted="__ev_toxic").where("__ev_toxic = 0").select(*docs.columns)
+    score, toxic = fresh(docs, "stage_score"), fresh(docs, "stage_toxic")
+    return toxicity.score_toxicity(docs, model, score=score, predicted=toxic).where(F.col(toxic) == 0).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(docs, n_lines="__ev_lines", n_dropped="__ev_dropped", kept="__ev_kept")
-    text = F.when(F.col("__ev_dropped") > 0, F.col("__ev_kept")).otherwise(F.col("text"))
-    changed = {"text": text}
+    lines, dropped, kept = (fresh(docs, f"stage_{x}") for x in ("lines", "dropped", "kept"))
+    done = line_dedup.dedup_lines(docs, n_lines=lines, n_dropped=dropped, kept=kept)
+    changed = {"text": F.when(F.col(dropped) > 0, F.col(kept)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__ev_dropped") > 0, F.length("__ev_kept").cast("long")).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col(dropped) > 0, F.length(kept).cast("long")).otherwise(F.col("n_chars"))
     return done.withColumns(changed).select(*docs.columns)
 
 
