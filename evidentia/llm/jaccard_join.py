@@ -156,26 +156,35 @@ def _sets(df: DataFrame, text_col: str, size: int, similar: int | None) -> DataF
 
 def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
     """(id, component) for each id in ``links`` (columns a, b), with the smallest id
-    that can be reached.  Labels spread along links and then jump to their
-    label's label, so the number of rounds is logarithmic in a chain's length."""
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = work.cut(edges, f"{name}-edges")
-    labels = work.cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "id"), f"{name}-0")
+    that can be reached.
+
+    Each round every vertex moves to the neighbour, or itself, with the least hash of
+    the round, and the links are rewritten and contracted.  Hashes change from round
+    to round, so chains shrink by a constant factor; a star is done in two rounds.
+    """
+    edges = work.cut(links.select("a", "b").where("a <> b").distinct(), f"{name}-edges0")
+    state = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    state = work.cut(state.withColumn("root", F.col("id")), f"{name}-state0")
     step = 0
-    while True:
+    while edges.limit(1).count():
         step += 1
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("c").alias("c2"))
-        best = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "c", F.least("c", "c2").alias("m"))
-        up = labels.select(F.col("id").alias("m"), F.col("c").alias("top"))
-        jumped = best.join(up, "m", "left").select("id", F.least("m", F.coalesce("top", "m")).alias("new"), "c")
-        jumped = work.cut(jumped, f"{name}-{step}x")
-        changed = jumped.where("new <> c").limit(1).count()
-        labels = work.cut(jumped.select("id", F.col("new").alias("c")), f"{name}-{step}")
-        work.drop(f"{name}-{step}x")
-        work.drop(f"{name}-{step - 1}")
-        if not changed:
-            work.drop(f"{name}-edges")
-            return labels.withColumnRenamed("c", "component")
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = F.xxhash64("b", F.lit(step))
+        best = both.groupBy("a").agg(F.min(rank).alias("h"), F.min_by("b", rank).alias("to"))
+        move = work.cut(best.where(F.col("h") < F.xxhash64("a", F.lit(step))).select(F.col("a").alias("v"), "to"), f"{name}-move{step}")
+        ends = edges
+        for c in ("a", "b"):
+            ends = ends.join(move.withColumnRenamed("v", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        edges = work.cut(ends.select("a", "b").where("a <> b").distinct(), f"{name}-edges{step}")
+        state = state.join(move.withColumnRenamed("v", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+        state = work.cut(state, f"{name}-state{step}")
+        for old in (f"edges{step - 1}", f"state{step - 1}", f"move{step}"):
+            work.drop(f"{name}-{old}")
+    least = state.groupBy("root").agg(F.min("id").alias("component"))
+    done = work.cut(state.join(least, "root").select("id", "component"), f"{name}-done")
+    work.drop(f"{name}-edges{step}")
+    work.drop(f"{name}-state{step}")
+    return done
 
 
 #: Rows up to which a list of ids or keys (8 bytes each) is broadcast; beyond it is shuffled.
@@ -200,33 +209,49 @@ def _distances(work: Workspace, texts: DataFrame, pairs: DataFrame, size: int, s
     return done
 
 
+def _regions(keys: DataFrame) -> DataFrame:
+    """One key for each set of members that has different sets in it.
+
+    Near copies share most of their keys, so many regions have the same members;
+    a count and two sums of hashes of the members tell which.
+    """
+    one, two = F.xxhash64("id", "s1"), F.xxhash64("s1", "id")
+    by_key = keys.groupBy("key").agg(
+        F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count("*").alias("k"),
+        F.sum(F.shiftright(one, 24)).alias("f1"), F.sum(F.shiftright(two, 24)).alias("f2"),
+    )
+    return by_key.where("lo <> hi").groupBy("k", "f1", "f2").agg(F.min("key").alias("key")).select("key")
+
+
 def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """For ``docs`` (id, text): the sets (id, n, s1, s2, keys) and (id, component) of all that link."""
     sets = work.cut(_sets(docs, "text", size, similar).select("id", "n", "s1", "s2", "keys"), "sets")
 
     # equal sets: one representative each
     whole = sets.where("n > 0 AND id IS NOT NULL")
-    groups = whole.groupBy("n", "s1", "s2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    narrow = whole.select("id", "n", "s1", "s2")
+    groups = narrow.groupBy("n", "s1", "s2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     groups = work.cut(groups.select("n", "s1", "s2", "first"), "groups")
-    equal = whole.select("id", "n", "s1", "s2").join(groups, ["n", "s1", "s2"]).where("id <> first")
-    links = work.cut(equal.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "links")
+    copies = work.cut(narrow.join(groups, ["n", "s1", "s2"]).where("id <> first").select("id", "s1", "first").distinct(), "copies")
+    # an id with several sets is one vertex with the links of all: its copies stay in the graph
+    several = narrow.distinct().groupBy("id").agg(F.count("*").alias("sets")).where("sets > 1").select("id")
+    links = work.cut(copies.join(several, "id", "left_semi").select(F.col("first").alias("a"), F.col("id").alias("b")), "links")
 
     # regions that hold different sets, and their members without the copies
     keys = whole.select("id", "s1", F.explode("keys").alias("key"))
-    region = keys.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("key")
-    region = work.cut(region, "regions")
-    copy = work.cut(links.select(F.col("b").alias("id")).distinct(), "copies")
-    member = keys.select("id", "key").join(if_small(region, SMALL), "key").join(copy, "id", "left_anti").distinct()
-    member = work.cut(member, "members")
+    region = work.cut(_regions(keys), "regions")
+    member = keys.join(if_small(region, SMALL), "key").join(copies.select("id", "s1"), ["id", "s1"], "left_anti")
+    member = work.cut(member.select("key", "id").distinct(), "members")
     pivots = work.cut(member.groupBy("key").agg(F.min("id").alias("pivot")), "pivots")
-    work.drop("regions")
     base = work.cut(member.join(pivots, "key").where("id <> pivot"), "base")
     pairs = work.cut(base.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    work.drop("regions")
+    work.drop("members")
     work.tidy()
 
     texts = docs.where("id IS NOT NULL")
     known = _distances(work, texts, pairs, size, similar, "dist")
-    links = work.cut(links.union(known.where("link").select("a", "b")), "links0")
+    links = links.union(known.where("link").select("a", "b"))
     far = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
     base = work.cut(base.join(far, ["id", "pivot"]).select("key", "id", "d"), "base0")
     step, spread, radius = 0, 1, 1 - similar / 100 + 1e-9
@@ -238,7 +263,7 @@ def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -
         apart = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         apart = work.cut(apart, f"apart{step}")
         if not apart.limit(1).count():
-            return sets, label
+            break
         step, spread = step + 1, spread * 8  # eight times as many pivots as in the round before
         rest = work.cut(rest.join(apart, "key"), f"open{step}")
         cell = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(spread))
@@ -248,10 +273,15 @@ def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -
         pairs = near.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
         pairs = work.cut(pairs, f"pairs{step}")
         known = _distances(work, texts, pairs, size, similar, f"dist{step}")
-        links = work.cut(links.union(known.where("link").select("a", "b")), f"links{step}")
+        # what is connected already is a star around its component
+        links = label.select(F.col("component").alias("a"), F.col("id").alias("b")).union(known.where("link").select("a", "b"))
         used = chosen.select("key", F.col("pivot").alias("id"))  # compared with all that they could link to
         base = work.cut(rest.select("key", "id", "d").join(used, ["key", "id"], "left_anti"), f"base{step}")
         work.tidy()
+    head = label.withColumnRenamed("id", "first")
+    others = copies.join(head, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
+    done = label.union(others).groupBy("id").agg(F.min("component").alias("component"))
+    return sets, work.cut(done, "components")
 
 
 def jaccard_components(
