@@ -10,7 +10,8 @@ def num(value) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    """Bounded; null stays null, which greatest() and least() alone would pass over."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
 def between(x: Column, best: float, worst: float) -> Column:
