@@ -176,8 +176,9 @@ class PieceModel:
         return [self.bos, *struct.unpack(f"<{len(ids) // 4}I", ids), self.eos]
 
     def decode(self, ids: list[int]) -> str:
-        text = self.joined([i for i in ids if i not in self.control])
-        return text[1:] if text[:1] == " " else text
+        ids = [i for i in ids if i not in self.control]
+        text = self.joined(ids)
+        return text[1:] if ids and ids[0] not in self.of_byte and self.piece[ids[0]][:1] == SPACE else text
 
 
 def decode_bytes(held: bytes) -> str:
