@@ -103,19 +103,19 @@ def fit(x: np.ndarray, y: list[str], rounds: int = 150, rate: float = 0.5, penal
     at = np.array([languages.index(v) for v in y])
     target = code[at]
     weight = (len(at) / len(languages) / np.bincount(at))[at][:, None] / len(at)
-    mean = x.mean(axis=0)
+    mean = x.mean(axis=0, dtype=np.float64).astype(np.float32)
     z = x - mean
     w, b, m, v = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1]), 0.0, 0.0
     for k in range(1, rounds + 1):
-        g = -target * weight / (1 + np.exp(np.clip(target * (z @ w + b), -50, 50)))
-        gw = z.T @ g + penalty * w
+        g = -target * weight / (1 + np.exp(np.clip(target * (z @ w.astype(np.float32) + b), -50, 50)))
+        gw = z.T @ g.astype(np.float32) + penalty * w
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
         b -= 2.0 * g.sum(axis=0)
     return LanguageModel(languages, code, w, b - mean @ w)
 
 
-def train(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 600) -> LanguageModel:
+def train(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 400) -> LanguageModel:
     """Learn from ``rows``, of which about ``per_language`` of each language are used."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     have = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -138,7 +138,7 @@ def train(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
     got = sorted((r.lang, bytes(r.counts)) for r in got)
     if not got:
         return LanguageModel([], np.ones((0, 1)), np.zeros((1, 1)), np.zeros(1))
-    return fit(np.array([np.frombuffer(c, np.float32) for _, c in got], np.float64), [lang for lang, _ in got])
+    return fit(np.frombuffer(b"".join(c for _, c in got), np.float32).reshape(len(got), -1), [lang for lang, _ in got])
 
 
 def predict_languages(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
