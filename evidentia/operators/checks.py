@@ -27,7 +27,7 @@ def evidence_level(n: Column) -> Column:
 
 
 def proof_of_work(s: Settings = DEFAULT) -> Column:
-    hits = {c: F.filter(matched_in_either(terms), lambda k: k.isNotNull()) for c, (terms, _) in s.evidence.items()}
+    hits = {c: F.col(f"_hits_{c}") for c in s.evidence}
     total = F.lit(0.0)
     for c, (_, weight) in s.evidence.items():
         total = total + F.least(F.lit(1.0), evidence_level(F.size(hits[c]))) * weight
@@ -50,15 +50,12 @@ def matched_in_either(terms: tuple[str, ...]) -> Column:
 
 
 def contradictions(s: Settings = DEFAULT) -> Column:
-    k, title, rel = s.keywords, F.col("title_lower"), F.col("relevance")
-    fits, off = any_of(title, k.relevant_titles), any_of(title, k.irrelevant_titles)
+    title, rel, fits, off = F.col("title_lower"), F.col("relevance"), F.col("_fits"), F.col("_off")
     power = F.col("proof_of_work.pow_score")
     weak = fits & (power < 0.15)
-    now = F.lower(F.get(F.transform(F.filter("career", lambda e: e["is_current"]), lambda e: e["description"]), F.lit(0)))
+    now = F.col("_now")
     shallow = ~off & (rel["score"] > 0.7) & now.isNotNull() & ~any_of(now, ("ml", "machine learning", "ai", "model", "retrieval")) & ~F.contains(title, F.lit("engineer"))
-    claimed = F.filter(F.array(*[F.lit(m) for m in k.must]), lambda m: F.array_contains("skill_names", m))
-    absent = F.filter(F.slice(claimed, 1, 5), lambda m: ~F.contains(F.col("career_text"), m) & ~F.contains(F.lower("summary"), m))
-    career = F.aggregate("career", F.lit(0), lambda acc, e: acc + e["duration_months"]) / 12.0
+    claimed, absent, career = F.col("_claimed"), F.col("_absent"), F.col("_career_years")
     ratio = F.when((F.col("years") > 0) & (career > 0), career / F.col("years"))
     few = (rel["score"] > 0.6) & (rel["must_count"] < 3)
     young = F.contains(title, F.lit("senior")) & (F.col("years") < 3.0)
@@ -106,19 +103,45 @@ def _code(*parts) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def timeline(career: Column = None) -> tuple[Column, Column]:
-    """Overlaps of consecutive roles, very short tenures, long gaps."""
-    career = F.col("career") if career is None else career
+def staged(s: Settings = DEFAULT) -> list[dict[str, Column]]:
+    """What the checks share, as plain columns in three steps; each is computed once."""
+    k, career = s.keywords, F.col("career")
     dated = F.transform(career, lambda e, i: F.struct(parse_date(e["start_date"]).alias("start"), i.alias("i"), F.when(~e["is_current"], parse_date(e["end_date"])).alias("end")))
-    dated = F.array_sort(F.filter(dated, lambda e: e["start"].isNotNull()))
-    enough = (F.size(career) >= 2) & (F.size(dated) >= 2)
-    days = F.filter(
-        F.transform(F.slice(dated, 1, F.greatest(F.size(dated) - 1, F.lit(0))), lambda e, i: F.datediff(F.get(dated, i + 1)["start"], e["end"])),
-        lambda d: d.isNotNull(),
-    )
-    overlaps = F.size(F.filter(days, lambda d: d < -90))
-    short = F.size(F.filter(career, lambda e: (e["duration_months"] > 0) & (e["duration_months"] < 2) & ~e["is_current"]))
-    gap = F.coalesce(F.array_max(days), F.lit(0)) / 30.0
+    claimed = F.filter(F.array(*[F.lit(m) for m in k.must]), lambda m: F.array_contains("skill_names", m))
+    one = {f"_hits_{c}": matched_in_either(terms) for c, (terms, _) in s.evidence.items()}
+    one |= {
+        "_fits": any_of(F.col("title_lower"), k.relevant_titles), "_off": any_of(F.col("title_lower"), k.irrelevant_titles),
+        "_senior": any_of(F.col("title_lower"), SENIOR), "_claimed": claimed,
+        "_now": F.lower(F.get(F.transform(F.filter("career", lambda e: e["is_current"]), lambda e: e["description"]), F.lit(0))),
+        "_career_years": F.aggregate("career", F.lit(0), lambda acc, e: acc + e["duration_months"]) / 12.0,
+        "_dated": F.array_sort(F.filter(dated, lambda e: e["start"].isNotNull())),
+        "_short": F.size(F.filter(career, lambda e: (e["duration_months"] > 0) & (e["duration_months"] < 2) & ~e["is_current"])),
+        "_bare": F.size(F.filter("skills", lambda x: (x["endorsements"] == 0) & ~F.contains(F.col("career_text"), F.lower(x["name"])))),
+        "_words": F.aggregate("career", F.lit(0), lambda acc, e: acc + F.size(tokens(e["description"]))),
+        "_texts": F.filter(F.transform("career", lambda e: e["description"]), lambda t: F.trim(t) != ""),
+        "_thin": F.size(F.filter("career", lambda e: (e["description"] != "") & (e["duration_months"] > 12) & (F.size(tokens(e["description"])) < 15))),
+        "_told": F.size(F.filter("career", lambda e: F.length(F.trim(e["description"])) > 30)),
+    }
+    two = {
+        "_absent": F.filter(F.slice("_claimed", 1, 5), lambda m: ~F.contains(F.col("career_text"), m) & ~F.contains(F.lower("summary"), m)),
+        "_days": F.filter(
+            F.transform(F.slice("_dated", 1, F.greatest(F.size("_dated") - 1, F.lit(0))), lambda e, i: F.datediff(F.get(F.col("_dated"), i + 1)["start"], e["end"])),
+            lambda d: d.isNotNull(),
+        ),
+        "_sets": F.transform("_texts", lambda t: F.array_distinct(tokens(t))),
+        "_firsts": F.transform(F.filter(F.transform("_texts", tokens), lambda w: F.size(w) >= 3), lambda w: F.array_join(F.slice(w, 1, 3), " ")),
+    }
+    three = {
+        "_overlaps": F.size(F.filter("_days", lambda d: d < -90)), "_gap": F.coalesce(F.array_max("_days"), F.lit(0)) / 30.0,
+        "_pairs": alike_sets(F.col("_sets")), "_most": commonest(F.col("_firsts")),
+    }
+    return [one, two, three]
+
+
+def timeline() -> tuple[Column, Column]:
+    """Overlaps of consecutive roles, very short tenures, long gaps."""
+    overlaps, short, gap = F.col("_overlaps"), F.col("_short"), F.col("_gap")
+    enough = (F.size("career") >= 2) & (F.size("_dated") >= 2)
     points, reasons = _points(
         (overlaps >= 2, 0.4, _code("timeline_overlap_", overlaps, "_roles")),
         (overlaps == 1, 0.15, _code("timeline_overlap_1_role")),
@@ -132,10 +155,8 @@ def timeline(career: Column = None) -> tuple[Column, Column]:
 
 
 def stuffing() -> tuple[Column, Column]:
-    n = F.size("skills")
-    bare = F.size(F.filter("skills", lambda k: (k["endorsements"] == 0) & ~F.contains(F.col("career_text"), F.lower(k["name"]))))
+    n, bare, words = F.size("skills"), F.col("_bare"), F.col("_words")
     share = bare / F.greatest(n, F.lit(1))
-    words = F.aggregate("career", F.lit(0), lambda acc, e: acc + F.size(tokens(e["description"])))
     hits = F.col("relevance.must_count") + F.col("relevance.nice_count")
     density = F.try_divide(hits, words / 100.0)
     most, many = (share > 0.6) & (bare > 5), (share > 0.4) & (bare > 4)
@@ -148,9 +169,8 @@ def stuffing() -> tuple[Column, Column]:
     )
 
 
-def similar_pairs(texts: Column, above: float = 0.85) -> Column:
-    """How many pairs of an array's texts have token sets alike, inside the row."""
-    sets = F.transform(texts, lambda t: F.array_distinct(tokens(t)))
+def alike_sets(sets: Column, above: float = 0.85) -> Column:
+    """How many pairs of an array's token sets are alike, inside the row."""
     return F.aggregate(
         F.transform(sets, lambda a, i: F.size(F.filter(F.transform(sets, lambda b, j: (j > i) & (jaccard(a, b) > above)), lambda x: x))),
         F.lit(0), lambda acc, x: acc + x,
@@ -164,12 +184,8 @@ def commonest(items: Column) -> Column:
 
 
 def descriptions() -> tuple[Column, Column]:
-    texts = F.filter(F.transform("career", lambda e: e["description"]), lambda t: F.trim(t) != "")
-    n, pairs = F.size(texts), similar_pairs(texts)
-    thin = F.size(F.filter("career", lambda e: (e["description"] != "") & (e["duration_months"] > 12) & (F.size(tokens(e["description"])) < 15)))
-    firsts = F.transform(F.filter(F.transform(texts, tokens), lambda w: F.size(w) >= 3), lambda w: F.array_join(F.slice(w, 1, 3), " "))
-    most = commonest(firsts)
-    uniform = (n >= 3) & (most >= 3) & (F.try_divide(most, F.size(firsts)) > 0.6)
+    n, pairs, thin, most = F.size("_texts"), F.col("_pairs"), F.col("_thin"), F.col("_most")
+    uniform = (n >= 3) & (most >= 3) & (F.try_divide(most, F.size("_firsts")) > 0.6)
     points, reasons = _points(
         (pairs >= 2, 0.45, _code("duplicate_descriptions_", pairs, "_pairs")),
         (pairs == 1, 0.20, _code("near_duplicate_description_1_pair")),
@@ -182,7 +198,7 @@ def descriptions() -> tuple[Column, Column]:
 
 def claim_gaps() -> tuple[Column, Column]:
     years, must, made = F.col("years"), F.col("relevance.must_count"), F.col("production.prod_signal_count")
-    senior, skills, jobs = any_of(F.col("title_lower"), SENIOR), F.size("skills"), F.size("career")
+    senior, skills, jobs = F.col("_senior"), F.size("skills"), F.size("career")
     return _points(
         (senior & (years < 2.0), 0.30, _code("senior_title_low_exp_", fixed(years, 1), "yr")),
         (senior & (years >= 2.0) & (years < 3.0), 0.10, _code("senior_title_moderate_exp_", fixed(years, 1), "yr")),
@@ -197,19 +213,25 @@ def credibility_penalty(timeline_: Column, stuffing_: Column, description_: Colu
     return F.least(F.lit(s.most_credibility_penalty), 0.30 * timeline_ + 0.25 * stuffing_ + 0.20 * description_ + 0.25 * claim_)
 
 
-def credibility(s: Settings = DEFAULT) -> Column:
+def credibility(s: Settings = DEFAULT) -> tuple[dict[str, Column], Column]:
+    """Plain columns of points and reasons, and the struct made of them."""
     parts = {"timeline": timeline(), "stuffing": stuffing(), "description": descriptions(), "claim_gap": claim_gaps()}
-    jobs = F.size("career")
-    told = F.size(F.filter("career", lambda e: F.length(F.trim(e["description"])) > 30))
+    points = {f"_points_{n}": p for n, (p, _) in parts.items()} | {f"_reasons_{n}": r for n, (_, r) in parts.items()}
+    jobs, told = F.size("career"), F.col("_told")
     sure = 0.5 + F.when(jobs >= 3, 0.3).when(jobs == 2, 0.15).otherwise(0.0) + F.when(told >= 2, 0.15).when(told == 1, 0.05).otherwise(0.0) + F.when(F.size("skills") >= 3, 0.05).otherwise(0.0)
-    penalty = F.bround(credibility_penalty(*[p for p, _ in parts.values()], s), 4)
-    return F.struct(
+    penalty = F.bround(credibility_penalty(*[F.col(f"_points_{n}") for n in parts], s), 4)
+    return points, F.struct(
         penalty.alias("credibility_penalty"), F.bround(1 - penalty, 4).alias("credibility_multiplier"),
-        F.struct(*[F.bround(p, 4).alias(n) for n, (p, _) in parts.items()]).alias("signal_scores"),
-        F.concat(*[r for _, r in parts.values()]).alias("reason_codes"), F.bround(F.least(F.lit(1.0), sure), 3).alias("confidence"),
+        F.struct(*[F.bround(F.col(f"_points_{n}"), 4).alias(n) for n in parts]).alias("signal_scores"),
+        F.concat(*[F.col(f"_reasons_{n}") for n in parts]).alias("reason_codes"), F.bround(F.least(F.lit(1.0), sure), 3).alias("confidence"),
     )
 
 
 def with_checks(scored: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Profiles with features, plus proof_of_work, contradictions and credibility."""
-    return scored.withColumn("proof_of_work", proof_of_work(s)).withColumns({"contradictions": contradictions(s), "credibility": credibility(s)})
+    out, steps = scored, staged(s)
+    for step in steps:
+        out = out.withColumns(step)
+    points, struct = credibility(s)
+    out = out.withColumns({"proof_of_work": proof_of_work(s)} | points)
+    return out.withColumns({"contradictions": contradictions(s), "credibility": struct}).drop(*points, *[c for step in steps for c in step])

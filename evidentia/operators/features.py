@@ -21,10 +21,31 @@ class Lists:
     nice: Sequence[str]
 
 
-def relevance(lists: Lists, s: Settings = DEFAULT) -> Column:
-    k = s.keywords
-    must, nice = matched(F.col("full_text"), lists.must), matched(F.col("full_text"), lists.nice)
-    fits = any_of(F.col("title_lower"), k.relevant_titles) & ~any_of(F.col("title_lower"), k.irrelevant_titles)
+def staged(lists: Lists, s: Settings = DEFAULT) -> dict[str, Column]:
+    """What the sub-scores share, as plain columns.
+
+    A plain column that is used more than once is computed once; fields of a struct
+    would be written out again wherever they are used.
+    """
+    k, title = s.keywords, F.col("title_lower")
+    names = F.transform("career", lambda e: F.lower(e["company"]))
+    distinct = F.size(F.array_distinct(F.transform(names, lambda c: F.trim(c))))
+    blank = F.when(F.forall(names, lambda c: c != ""), 0).otherwise(1)
+    off = any_of(title, k.irrelevant_titles)
+    prior = _career_titles(F.filter("career", lambda e: ~e["is_current"]), s)
+    return {
+        "_must": matched(F.col("full_text"), lists.must), "_nice": matched(F.col("full_text"), lists.nice),
+        "_fits": any_of(title, k.relevant_titles), "_off": off, "_made": F.size(matched(F.col("career_text"), k.production)),
+        "_tier1": F.exists(names, lambda c: any_of(c, k.tier1)), "_tier2": F.exists(names, lambda c: any_of(c, k.tier2)),
+        "_companies": F.when(F.size("career") == 0, 0).otherwise(distinct - blank),
+        "_ret": matched(F.col("full_text"), k.retrieval), "_ev": matched(F.col("full_text"), k.evaluation), "_py": matched(F.col("full_text"), k.python),
+        "_prior": F.when(off, prior).otherwise(F.array().cast("array<string>")), "_titles": _career_titles(F.col("career"), s),
+        "_wrapper": any_of(F.col("full_text"), k.wrapper) & ~any_of(F.col("full_text"), k.systems),
+    }
+
+
+def relevance() -> Column:
+    must, nice, fits = F.col("_must"), F.col("_nice"), F.col("_fits") & ~F.col("_off")
     raw = clamp(0.12 * F.size(must)) + F.least(F.lit(0.20), 0.04 * F.size(nice)) + F.when(fits, 0.08).otherwise(0.0)
     return F.struct(
         clamp(raw).alias("score"), F.size(must).alias("must_count"), F.slice(must, 1, 6).alias("must_matched"),
@@ -32,22 +53,15 @@ def relevance(lists: Lists, s: Settings = DEFAULT) -> Column:
     )
 
 
-def production(s: Settings = DEFAULT) -> Column:
-    k = s.keywords
-    n = F.size(matched(F.col("career_text"), k.production))
-    names = F.transform("career", lambda e: F.lower(e["company"]))
-    tier1 = F.exists(names, lambda c: any_of(c, k.tier1))
-    tier2 = F.exists(names, lambda c: any_of(c, k.tier2))
-    companies = F.size(F.array_distinct(F.filter(F.transform("career", lambda e: F.trim(F.lower(e["company"]))), lambda c: c.isNotNull())))
-    companies = F.when(F.size("career") == 0, 0).otherwise(companies - F.when(F.forall(names, lambda c: c != ""), 0).otherwise(1))
+def production() -> Column:
+    n, tier1, tier2, companies = (F.col(c) for c in ("_made", "_tier1", "_tier2", "_companies"))
     raw = 0.45 * clamp(n / 6.0) + 0.35 * clamp(F.col("years") / 7.0) + F.when(tier1, 0.15).when(tier2, 0.08).otherwise(0.0)
     raw = raw + clamp(0.04 * (companies - 1), 0.0, 0.08)
     return F.struct(clamp(raw).alias("score"), n.alias("prod_signal_count"), F.col("years").alias("exp_years"), tier1.alias("tier1"), (tier2 & ~tier1).alias("tier2"), companies.alias("companies"))
 
 
-def technical(s: Settings = DEFAULT) -> Column:
-    k = s.keywords
-    ret, ev, py = (matched(F.col("full_text"), x) for x in (k.retrieval, k.evaluation, k.python))
+def technical() -> Column:
+    ret, ev, py = F.col("_ret"), F.col("_ev"), F.col("_py")
     raw = F.least(F.lit(0.60), 0.10 * F.size(ret)) + F.least(F.lit(0.25), 0.10 * F.size(ev)) + F.least(F.lit(0.20), 0.05 * F.size(py))
     return F.struct(
         clamp(raw).alias("score"), F.size(ret).alias("retrieval_count"), F.slice(ret, 1, 5).alias("retrieval_matched"),
@@ -101,13 +115,8 @@ def negative_multiplier(no_production: Column, irrelevant: Column, prior: Column
 
 
 def negative(s: Settings = DEFAULT) -> Column:
-    k = s.keywords
-    none = F.size(matched(F.col("career_text"), k.production)) == 0
-    irrelevant = any_of(F.col("title_lower"), k.irrelevant_titles)
-    found = _career_titles(F.filter("career", lambda e: ~e["is_current"]), s)
-    titles = F.when(irrelevant, found).otherwise(F.array().cast("array<string>"))
+    none, irrelevant, titles, wrapper = F.col("_made") == 0, F.col("_off"), F.col("_prior"), F.col("_wrapper")
     n = F.size(titles)
-    wrapper = any_of(F.col("full_text"), k.wrapper) & ~any_of(F.col("full_text"), k.systems)
     flag = F.when(n >= 2, "career_pivot_noted").when(n == 1, "irrelevant_current_role_mild").otherwise("irrelevant_current_role")
     flags = F.array(
         F.when(none, "no_production_signals"), F.when(irrelevant, flag),
@@ -120,12 +129,9 @@ def negative(s: Settings = DEFAULT) -> Column:
     )
 
 
-def career_history(s: Settings = DEFAULT) -> Column:
-    k = s.keywords
-    off = any_of(F.col("title_lower"), k.irrelevant_titles)
-    now = any_of(F.col("title_lower"), k.relevant_titles) & ~off
-    titles = _career_titles(F.col("career"), s)
-    n = F.size(titles)
+def career_history() -> Column:
+    off, titles = F.col("_off"), F.col("_titles")
+    now, n = F.col("_fits") & ~off, F.size(titles)
     blended = 0.40 * F.when(now, 1.0).otherwise(0.0) + 0.60 * F.when(n >= 2, 1.0).when(n == 1, 0.6).otherwise(0.0)
     return F.struct(
         F.bround(clamp(blended), 4).alias("score"), now.alias("current_title_relevant"), n.alias("career_history_relevant_count"),
@@ -141,8 +147,9 @@ def weighted_score(rel: Column, prod: Column, tech: Column, beh: Column, career:
 def with_features(people: DataFrame, lists: Lists, as_of: str, s: Settings = DEFAULT) -> DataFrame:
     """Profiles with the struct columns relevance, production, technical, behavioral,
     negative, career_history_relevance, and legacy_score."""
-    out = people.withColumns(
-        {"relevance": relevance(lists, s), "production": production(s), "technical": technical(s), "behavioral": behavioral(as_of, s), "negative": negative(s), "career_history_relevance": career_history(s)}
-    )
+    first = staged(lists, s)
+    out = people.withColumns(first).withColumns(
+        {"relevance": relevance(), "production": production(), "technical": technical(), "behavioral": behavioral(as_of, s), "negative": negative(s), "career_history_relevance": career_history()}
+    ).drop(*first)
     score = weighted_score(F.col("relevance.score"), F.col("production.score"), F.col("technical.score"), F.col("behavioral.score"), F.col("career_history_relevance.score"), F.col("negative.multiplier"), s)
     return out.withColumn("legacy_score", F.bround(score, 4))
