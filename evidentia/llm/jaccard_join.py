@@ -158,9 +158,10 @@ def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
     """(id, component) for each id in ``links`` (columns a, b), with the smallest id
     that can be reached.
 
-    Each round every vertex moves to the neighbour, or itself, with the least hash of
-    the round, and the links are rewritten and contracted.  Hashes change from round
-    to round, so chains shrink by a constant factor; a star is done in two rounds.
+    Each round every vertex moves to the best of its neighbours and itself, and the
+    links are rewritten and contracted.  In odd rounds the smallest id is best, which
+    finishes stars around it at once; in even rounds the least hash, which changes
+    from round to round, so that chains shrink by a constant factor.
     """
     edges = work.cut(links.select("a", "b").where("a <> b").distinct(), f"{name}-edges0")
     state = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
@@ -169,9 +170,12 @@ def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
     while edges.limit(1).count():
         step += 1
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = F.xxhash64("b", F.lit(step))
-        best = both.groupBy("a").agg(F.min(rank).alias("h"), F.min_by("b", rank).alias("to"))
-        move = work.cut(best.where(F.col("h") < F.xxhash64("a", F.lit(step))).select(F.col("a").alias("v"), "to"), f"{name}-move{step}")
+        if step % 2:
+            best = both.groupBy("a").agg(F.min("b").alias("to")).where("to < a")
+        else:
+            rank = F.xxhash64("b", F.lit(step))
+            best = both.groupBy("a").agg(F.min(rank).alias("h"), F.min_by("b", rank).alias("to")).where(F.col("h") < F.xxhash64("a", F.lit(step)))
+        move = work.cut(best.select(F.col("a").alias("v"), "to"), f"{name}-move{step}")
         ends = edges
         for c in ("a", "b"):
             ends = ends.join(move.withColumnRenamed("v", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
@@ -187,6 +191,17 @@ def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
     return done
 
 
+def _joined(work: Workspace, label: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``label`` after more links: only the graph of components is contracted."""
+    for c in ("a", "b"):
+        own = label.select(F.col("id").alias(c), F.col("component").alias("_c"))
+        links = links.join(own, c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
+    new = components(work, links, name)
+    up = new.select(F.col("id").alias("component"), F.col("component").alias("_c"))
+    old = label.join(up, "component", "left").select("id", F.coalesce("_c", "component").alias("component"))
+    return work.cut(old.union(new.join(label, "id", "left_anti").select("id", "component")), f"{name}-all")
+
+
 #: Rows up to which a list of ids or keys (8 bytes each) is broadcast; beyond it is shuffled.
 SMALL = 2_000_000
 
@@ -255,8 +270,8 @@ def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -
     far = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
     base = work.cut(base.join(far, ["id", "pivot"]).select("key", "id", "d"), "base0")
     step, spread, radius = 0, 1, 1 - similar / 100 + 1e-9
+    label = components(work, links, "comp0")
     while True:
-        label = components(work, links, f"comp{step}")
         # regions whose members aren't connected yet
         rest = base.join(label, "id", "left").select("key", "id", "d", F.coalesce("component", "id").alias("c"))
         rest = work.cut(rest, f"rest{step}")
@@ -273,8 +288,7 @@ def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -
         pairs = near.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
         pairs = work.cut(pairs, f"pairs{step}")
         known = _distances(work, texts, pairs, size, similar, f"dist{step}")
-        # what is connected already is a star around its component
-        links = label.select(F.col("component").alias("a"), F.col("id").alias("b")).union(known.where("link").select("a", "b"))
+        label = _joined(work, label, known.where("link").select("a", "b"), f"comp{step}")
         used = chosen.select("key", F.col("pivot").alias("id"))  # compared with all that they could link to
         base = work.cut(rest.select("key", "id", "d").join(used, ["key", "id"], "left_anti"), f"base{step}")
         work.tidy()
