@@ -23,7 +23,8 @@ steps, each exact by the triangle inequality of a metric:
    distance of all others to it is computed.  What links to it is of its
    component.  For the rest the windows of the triangle inequality hold: a pair
    whose distances to a common pivot differ by more than the radius can't
-   link.  Regions whose members already are one component are done; the
+   link, nor can one whose parities on hash classes differ in too many bits (a
+   1-Lipschitz map again).  Regions whose members already are one component are done; the
    others are joined recursively with more pivots, until every pair in a
    region is linked, connected or ruled out.
 
@@ -46,7 +47,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Workspace, append_columns, fresh, if_small, raw_texts, table
 
@@ -130,28 +131,41 @@ def projections(h: np.ndarray, similar: int, edges: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
 
 
+def parities(h: np.ndarray, similar: int, edges: np.ndarray) -> np.ndarray:
+    """A bit for each of 2^k hash classes: whether it has an odd number of elements.
+
+    The Hamming distance of two such vectors is at most the number of elements in
+    which the sets differ.  A vector is brought to half its length by exclusive or.
+    """
+    top = int(edges[int(np.searchsorted(edges, max(len(h), 1), "right"))]) - 1
+    bits = max(64, 1 << (6 * classes(top, similar)[0] - 1).bit_length())
+    of = (mix(h ^ _B) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(of, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(df: DataFrame, text_col: str, size: int, similar: int | None) -> DataFrame:
-    """``df`` with n (shingles), s1 and s2 (hash of the set) and keys (its regions)
-    or, without ``similar``, the set itself in keys."""
+    """``df`` with n (shingles), s1 and s2 (hash of the set), keys (its regions) and
+    bits (its parities) or, without ``similar``, the set itself in keys."""
 
     def make():
         known, edges = WordHashes(), size_regions(similar) if similar else None
 
         def work(batch: pa.RecordBatch) -> dict[str, list]:
-            n, s1, s2, keys = [], [], [], []
+            n, s1, s2, keys, bits = [], [], [], [], []
             for text in raw_texts(batch, text_col):
                 h = shingles(text, size, known)
                 n.append(len(h))
                 s1.append(int(mix(h).sum(dtype=np.uint64).astype(np.int64)))
                 s2.append(int(mix(h ^ _A).sum(dtype=np.uint64).astype(np.int64)))
                 keys.append((projections(h, similar, edges) if similar and len(h) else h if not similar else h[:0]).view(np.int64))
+                bits.append(parities(h, similar, edges) if similar else None)
             at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
-            return {"n": n, "s1": s1, "s2": s2, "keys": pa.ListArray.from_arrays(pa.array(at), flat)}
+            return {"n": n, "s1": s1, "s2": s2, "keys": pa.ListArray.from_arrays(pa.array(at), flat), "bits": bits}
 
         return work
 
-    return append_columns(df, make, {"n": "long", "s1": "long", "s2": "long", "keys": "array<long>"})
+    return append_columns(df, make, {"n": "long", "s1": "long", "s2": "long", "keys": "array<long>", "bits": "array<long>"})
 
 
 def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
@@ -224,6 +238,25 @@ def _distances(work: Workspace, texts: DataFrame, pairs: DataFrame, size: int, s
     return done
 
 
+def _may_link(a: Column, na: Column, b: Column, nb: Column, similar: int) -> Column:
+    """Whether the parities of two sets leave it possible that they link."""
+
+    def halved(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+    def apart(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, c: acc + c)
+
+    d = (
+        F.when(F.size(a) == F.size(b), apart(a, b))
+        .when(F.size(a) == 2 * F.size(b), apart(halved(a), b))
+        .when(2 * F.size(a) == F.size(b), apart(a, halved(b)))
+        .otherwise(0)
+    )
+    return F.coalesce(d * (100 + similar) <= (100 - similar) * (na + nb), F.lit(True))
+
+
 def _regions(keys: DataFrame) -> DataFrame:
     """One key for each set of members that has different sets in it.
 
@@ -240,7 +273,7 @@ def _regions(keys: DataFrame) -> DataFrame:
 
 def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """For ``docs`` (id, text): the sets (id, n, s1, s2, keys) and (id, component) of all that link."""
-    sets = work.cut(_sets(docs, "text", size, similar).select("id", "n", "s1", "s2", "keys"), "sets")
+    sets = work.cut(_sets(docs, "text", size, similar).select("id", "n", "s1", "s2", "keys", "bits"), "sets")
 
     # equal sets: one representative each
     whole = sets.where("n > 0 AND id IS NOT NULL")
@@ -269,6 +302,8 @@ def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -
     links = links.union(known.where("link").select("a", "b"))
     far = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
     base = work.cut(base.join(far, ["id", "pivot"]).select("key", "id", "d"), "base0")
+    # of an id with several sets the parities say nothing
+    bits = work.cut(whole.join(several, "id", "left_anti").select("id", F.col("n").alias("m"), "bits").distinct(), "bits")
     step, spread, radius = 0, 1, 1 - similar / 100 + 1e-9
     label = components(work, links, "comp0")
     while True:
@@ -280,11 +315,12 @@ def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -
         if not apart.limit(1).count():
             break
         step, spread = step + 1, spread * 8  # eight times as many pivots as in the round before
-        rest = work.cut(rest.join(apart, "key"), f"open{step}")
+        rest = work.cut(rest.join(apart, "key").join(bits, "id", "left"), f"open{step}")
         cell = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(spread))
-        chosen = rest.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("id", "c", "d")).alias("p"))
-        chosen = work.cut(chosen.select("key", F.col("p.id").alias("pivot"), F.col("p.c").alias("pc"), F.col("p.d").alias("pd")), f"pivots{step}")
-        near = rest.join(chosen, "key").where((F.col("c") != F.col("pc")) & (F.abs(F.col("d") - F.col("pd")) <= radius))
+        chosen = rest.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("id", "c", "d", "m", "bits")).alias("p"))
+        chosen = work.cut(chosen.select("key", F.col("p.id").alias("pivot"), F.col("p.c").alias("pc"), F.col("p.d").alias("pd"), F.col("p.m").alias("pm"), F.col("p.bits").alias("pbits")), f"pivots{step}")
+        window = (rest["key"] == chosen["key"]) & (rest["c"] != chosen["pc"]) & (F.abs(rest["d"] - chosen["pd"]) <= radius)
+        near = rest.join(chosen, window & _may_link(rest["bits"], rest["m"], chosen["pbits"], chosen["pm"], similar))
         pairs = near.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
         pairs = work.cut(pairs, f"pairs{step}")
         known = _distances(work, texts, pairs, size, similar, f"dist{step}")

@@ -380,3 +380,24 @@ def test_gif_rows(odd, none):
     for r in stored:
         assert gif_media.read_back(bytes(r.media))[0] == gif_media.padded((r.text or "").encode())
     assert gif_media.store_texts(none).count() == 0
+
+
+def test_parities_bound_the_difference(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    edges, rows = jaccard_join.size_regions(90), []
+    for _ in range(200):
+        n = r.randint(5, 2000)
+        x = np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64))
+        y = np.unique(np.concatenate([x[r.randint(0, n // 8) :], np.array([r.getrandbits(64) for _ in range(r.randint(0, n // 8))], np.uint64)]))
+        link = 100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y))
+        rows.append((jaccard_join.parities(x, 90, edges).tolist(), len(x), jaccard_join.parities(y, 90, edges).tolist(), len(y), bool(link)))
+    rows.append((jaccard_join.parities(x, 90, edges).tolist(), n, jaccard_join.parities(x[:0], 90, edges).tolist(), 0, False))
+    df = spark.createDataFrame(rows, "a array<long>, na int, b array<long>, nb int, link boolean")
+    got = df.withColumn("may", jaccard_join._may_link(*(F.col(c) for c in ("a", "na", "b", "nb")), 90)).collect()
+    assert all(g.may for g in got if g.link) and any(g.link for g in got)
+    far = spark.createDataFrame([(jaccard_join.parities(np.arange(s, s + 400).astype(np.uint64), 90, edges).tolist(), 400) for s in (0, 1000)], "a array<long>, n int").collect()
+    one = spark.createDataFrame([(far[0].a, 400, far[1].a, 400)], "a array<long>, na int, b array<long>, nb int")
+    assert not one.select(jaccard_join._may_link(*(F.col(c) for c in ("a", "na", "b", "nb")), 90).alias("m")).first().m
