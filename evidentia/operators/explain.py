@@ -155,9 +155,9 @@ def with_explanation(scored: DataFrame) -> DataFrame:
         _claim(~prod["tier1"] & (made >= 3), say("Production deployment evidence across ", whole(years), " years"), "career descriptions"),
         _claim(F.size(stack) >= 3, say("Relevant technical stack: ", listed(stack, 3)), "skills + career text"),
         _claim(power["pow_score"] >= 0.4, say("Proof-of-work evidence (", power["evidence_summary"], ")"), "career descriptions"),
-        _claim(quick, say("Available within ", beh["notice_days"].cast("string"), " days"), "redrob_signals"),
-        _claim(~quick & (beh["response_time_h"] <= 6), say("Responsive (", whole(beh["response_time_h"]), "h avg reply)"), "redrob_signals"),
-        _claim(~quick & (beh["response_time_h"] > 6) & (beh["github"] >= 70), F.lit("Active GitHub contributor"), "redrob_signals"),
+        _claim(quick, say("Available within ", beh["notice_days"].cast("string"), " days"), "signals"),
+        _claim(~quick & (beh["response_time_h"] <= 6), say("Responsive (", whole(beh["response_time_h"]), "h avg reply)"), "signals"),
+        _claim(~quick & (beh["response_time_h"] > 6) & (beh["github"] >= 70), F.lit("Active GitHub contributor"), "signals"),
         _claim(~hist["is_career_pivot"] & (hist["career_history_relevant_count"] >= 3), say(hist["career_history_relevant_count"].cast("string"), " relevant prior engineering roles"), "career_history titles"),
         _claim(flag["career_pivot_noted"], say("Career pivot with ", neg["relevant_prior_count"].cast("string"), " prior relevant roles (", listed(neg["relevant_prior_titles"], 3), ")"), "career_history titles"),
     )

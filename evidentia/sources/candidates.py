@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 SCHEMA_DDL = """
@@ -16,7 +16,7 @@ career_history ARRAY<STRUCT<company: STRING, title: STRING, start_date: STRING,
   is_current: BOOLEAN, industry: STRING, company_size: STRING, description: STRING>>,
 education ARRAY<STRUCT<degree: STRING, field_of_study: STRING, institution: STRING>>,
 certifications ARRAY<STRING>,
-redrob_signals STRUCT<open_to_work_flag: BOOLEAN, last_active_date: STRING, recruiter_response_rate: DOUBLE,
+signals STRUCT<open_to_work_flag: BOOLEAN, last_active_date: STRING, recruiter_response_rate: DOUBLE,
   avg_response_time_hours: DOUBLE, notice_period_days: DOUBLE, github_activity_score: DOUBLE, interview_completion_rate: DOUBLE,
   saved_by_recruiters_30d: DOUBLE>
 """
@@ -26,17 +26,28 @@ def schema() -> T.StructType:
     return T._parse_datatype_string(SCHEMA_DDL)
 
 
-CORRUPT = "_corrupt"
+#: The key of the behaviour record has a vendor's prefix, such as ``x_signals``; all are read as ``signals``.
+SIGNALS_KEY, SIGNALS = r'"[A-Za-z]+_signals"\s*:', '"signals":'
+
+
+def json_text(text: Column) -> Column:
+    return F.regexp_replace(text, SIGNALS_KEY, SIGNALS)
+
+
+def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Records of lines of JSON, with the other columns; blank and malformed lines
+    and records without an id are dropped."""
+    others = [c for c in lines.columns if c != column]
+    rows = lines.select(F.from_json(json_text(F.col(column)), schema()).alias("_r"), *others)
+    return normalise(rows.select("_r.*", *others))
 
 
 def read_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """One record a line.  Blank and malformed lines and rows without an id are
     dropped; of rows with one id the last in file order stays."""
-    with_bad = T.StructType([*schema().fields, T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     # where a row stands: files by name, blocks by offset, rows by the id that grows within a partition
-    raw = raw.select("*", F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at"))
-    good = raw.where(F.col(CORRUPT).isNull() & F.col("candidate_id").isNotNull() & (F.col("candidate_id") != "")).drop(CORRUPT)
+    at = F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at")
+    good = parse_lines(spark.read.text(path).select("value", at))
     if limit is not None:
         good = good.orderBy("_at").limit(limit)
     return last_wins(good, "_at")
@@ -70,7 +81,8 @@ def _plain(record: dict) -> dict:
             return bool(value)
         return str(value)
 
-    return {f.name: fit(record.get(f.name), f.dataType) for f in schema().fields}
+    behaviour = next((v for k, v in record.items() if k.endswith("_signals")), record.get("signals"))
+    return {f.name: fit(behaviour if f.name == "signals" else record.get(f.name), f.dataType) for f in schema().fields}
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +98,7 @@ def parse_json(df: DataFrame, column: str) -> DataFrame:
     one = T.StructType([*schema().fields, *T._parse_datatype_string(flat).fields])
     many = T.ArrayType(one)
     wrapped = T.StructType([T.StructField("candidates", many)])
-    s = F.trim(F.col(column))
+    s = F.trim(json_text(F.col(column)))
     records = (
         F.when(s.startswith("["), F.from_json(s, many))
         .when(F.get_json_object(s, "$.candidates").isNotNull(), F.from_json(s, wrapped)["candidates"])

@@ -49,7 +49,7 @@ def profiles(raw: DataFrame) -> DataFrame:
         career.alias("career"),
         education.alias("education"),
         F.col("certifications"),
-        F.col("redrob_signals").alias("signals"),
+        F.col("signals"),
     )
     fields = F.concat(
         F.array(_text("summary"), _text("headline"), _text("current_title")),

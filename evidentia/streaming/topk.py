@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.ranking import scan_top
-from ..sources.candidates import normalise, schema
+from ..sources.candidates import parse_lines
 from ..sources.profile import profiles
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    return normalise(spark.readStream.schema(schema()).json(path))
+    return parse_lines(spark.readStream.text(path))
 
 
 def merge_top(old: DataFrame | None, new: DataFrame, k: int, score: str = "legacy_score", key: str = "candidate_id") -> DataFrame:

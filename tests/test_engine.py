@@ -37,7 +37,7 @@ def job(**k):
 
 def person(cid, **k):
     profile = {"anonymized_name": cid, "headline": "", "summary": "", "current_title": "ML Engineer", "years_of_experience": 5.0} | k.pop("profile", {})
-    return {"candidate_id": cid, "profile": profile, "skills": [], "career_history": [], "education": [], "redrob_signals": {}} | k
+    return {"candidate_id": cid, "profile": profile, "skills": [], "career_history": [], "education": [], "some_signals": {}} | k
 
 
 PEOPLE = [
@@ -53,8 +53,8 @@ PEOPLE = [
     person("tenure2", career_history=[job(duration_months=1), job(duration_months=1, start_date="2018-01", end_date="2018-02")]),
     person("stuffed", skills=[{"name": f"skill{i}", "endorsements": 0} for i in range(31)]),
     person("copypaste", career_history=[job(description="built the same long thing again and again here"), job(start_date="2018", description="built the same long thing again and again here")]),
-    {"candidate_id": "sparse", "profile": None, "skills": None, "career_history": None, "education": None, "redrob_signals": None},
-    person("zeros", redrob_signals={"open_to_work_flag": False, "recruiter_response_rate": 0, "avg_response_time_hours": 0, "notice_period_days": 0, "github_activity_score": -1, "interview_completion_rate": 0}),
+    {"candidate_id": "sparse", "profile": None, "skills": None, "career_history": None, "education": None, "some_signals": None},
+    person("zeros", some_signals={"open_to_work_flag": False, "recruiter_response_rate": 0, "avg_response_time_hours": 0, "notice_period_days": 0, "github_activity_score": -1, "interview_completion_rate": 0}),
     person("substring", profile={"summary": "planning arrays of metadata"}, career_history=[job(company="Metaphor")]),
     person("tie_b"),
     person("tie_a"),
