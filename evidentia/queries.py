@@ -164,7 +164,7 @@ def fusion_rrf(spark, d):
 
 def rerank_blend(spark, d):
     terms = F.array_distinct(tokens(F.lit(_query(spark, d))))
-    pair = _docs(spark, d).where("doc < 500").groupBy("cid").agg(F.max(jaccard(F.array_distinct(tokens(F.col("text"))), terms)).alias("pair"))
+    pair = _docs(spark, d).groupBy("cid").agg(F.max(jaccard(F.array_distinct(tokens(F.col("text"))), terms)).alias("pair"))
     base = _fused(spark, d).select("cid", F.round("hybrid_score", 5).alias("hybrid_score")).join(pair, "cid", "left")
     out = fusion.rerank(base, "pair", 10, digits=None)
     return out.select(F.col("cid").alias("source"), *[F.round(c, 5).alias(c) for c in ("rerank_score", "final_retrieval_score")])
