@@ -2,7 +2,8 @@
 
 Three kinds of secrets have a fixed form (assignments, access keys, long hex
 strings).  The fourth, ``novel``, is measured: a candidate is a long token
-that stands shortly behind a sensitive word.  Its novelty is the number of
+that stands shortly behind a sensitive word, or the value behind an ``=`` in
+such a token or in the one that the word is part of.  Its novelty is the number of
 bytes by which it makes the compressed form of its surroundings longer, where
 zstandard is primed with a dictionary of common identifiers and code.  Prose,
 identifiers, paths and repeated strings cost few bytes for their length; a
@@ -49,7 +50,12 @@ HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT = re.compile(r"password|passwd|passphrase|secret|token|api_?key|credential|private|bearer|authorization|signature|access_?key|client_?id", re.I | re.A)
 #: How far behind such a word a candidate may begin, and how much text around it primes the compressor.
 REACH, AROUND = 48, 256
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+LEAST = 16
+SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Behind ``=`` inside a run a value begins; ``=`` at a run's end is padding.
+BEHIND = re.compile(r"=(?=[A-Za-z0-9+/_-])")
+VALUE = re.compile(r"[A-Za-z0-9+/_-]+=*")
 
 #: Identifiers and snippets that code and configuration are full of.
 IDENTIFIERS = """
@@ -92,25 +98,40 @@ def base_spans(text: str) -> list[Span]:
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
+def _candidates(text: str, run: re.Match, stop: int):
+    """(start, end) of the run, if it begins there, and of what stands behind each ``=`` in it.
+
+    A run that the search window cut is measured in full; a value in such a run goes to the next ``=``.
+    """
+    end = run.end()
+    cut = end == stop < len(text) and text[stop] in SIGNS
+    if not run.start() or text[run.start() - 1] not in SIGNS:
+        yield run.start(), RUN.match(text, run.start()).end() if cut else end
+    for equal in BEHIND.finditer(text, run.start(), end):
+        yield equal.end(), VALUE.match(text, equal.end()).end() if cut else end
+
+
 def novel_spans(text: str, novelty: Novelty, least_ratio: float = 0.6) -> list[Span]:
     """Incompressible tokens behind a sensitive word, from the left."""
     spans, done = [], 0
     for word in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, word.end()), min(len(text), word.end() + REACH + 512)):
-            if m.start() > word.end() + REACH:
+        last, stop = word.end() + REACH, min(len(text), word.end() + REACH + 512)
+        for run in RUN.finditer(text, max(done, word.end()), stop):
+            if run.start() > last:
                 break
-            token = m[0]
-            if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-                continue
-            # a token that the search window cut is measured in full
-            end = m.end()
-            while end < len(text) and (text[end].isascii() and (text[end].isalnum() or text[end] in "+/_=-")):
-                end += 1
-            token = text[m.start() : end]
-            cost = novelty.marginal(text[max(0, m.start() - AROUND) : m.start()], token, text[end : end + AROUND])
-            if cost >= least_ratio * len(token):
-                spans.append(Span("novel", m.start(), end))
-            done = end
+            for start, end in _candidates(text, run, stop):
+                if start > last:
+                    break
+                seen = text[start : min(end, stop)]
+                if end - start < LEAST or not (any(c.isdigit() for c in seen) and any(c.isalpha() for c in seen)):
+                    continue
+                done = start + 1
+                token = text[start:end]
+                cost = novelty.marginal(text[max(0, start - AROUND) : start], token, text[end : end + AROUND])
+                if cost >= least_ratio * len(token):
+                    spans.append(Span("novel", start, end))
+                    done = end
+                    break
     return spans
 
 

@@ -74,6 +74,22 @@ def test_secret_novelty():
     assert secrets.novel_spans(f"nothing of note {key}", n) == []
 
 
+def test_secret_novelty_of_unquoted_values():
+    n = secrets.Novelty()
+    key = "9fK2xQ7mLz0PaT4vWc8RbY1n"
+    for head in ("private_key=", "PASSPHRASE=", "https://x.org/a?signature=", "client_id=", "aws_access_key_id=", "a=1&authorization=", "credential_2=", "private_key==", "[db]\ncredential="):
+        for tail in ("", "==", "\n", "&x=1", " and more"):
+            text = head + key + tail
+            end = len(head + key) + 2 * (tail == "==")
+            assert secrets.novel_spans(text, n) == [("novel", len(head), end)], text
+    name = "the credential is in configuration_parameter_description="
+    assert secrets.novel_spans(name + key, n)[-1].end == len(name + key)
+    assert [s.end for s in secrets.novel_spans(f"private_key=aZ3kQ9xV7b=T2mW8pL4sR client_id={key}", n)] == [33, 44 + len(key)]
+    assert secrets.novel_spans("private_key=abcdefghijklmnopqrstuvwxyz0123456789", n) == []
+    assert secrets.novel_spans(f"private_key={key * 40}", n) == []  # beyond the window, and repeats
+    assert secrets.novel_spans("secret1=" * 20_000, n) == []
+
+
 def test_secret_rows(spark, odd, none):
     assert secrets.scan_secrets(odd).count() == len(AWKWARD)
     assert secrets.scan_secrets(none).count() == 0
