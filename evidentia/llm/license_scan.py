@@ -2,10 +2,13 @@
 
 Templates are notices of common licenses.  Those of similar length share
 windows of twice that length which overlap by half, so an occurrence lies
-whole in one window.  A template and such a window that contains the share
-``contained`` of it have a Jaccard similarity of at least about
-``contained / 4``; with ``BANDS`` bands of one row each the chance that no band
-collides is below ``(1 - contained / 4) ** BANDS``, which is 1e-6 at 0.8.
+whole in one window.  A template of ``n`` shingles and a window of ``w`` that
+has ``k`` of them have a Jaccard similarity ``J`` of at least
+``k / (w + n - k)``.  Templates of a length class have as many bands of one row
+each as bring the chance that no band collides, ``(1 - J) ** bands``, to at most
+``MISS`` for each of them, ``BANDS`` at least.  Templates of up to ``DIRECT``
+shingles, of which a window is nearly all something else, need no bands: they
+are verified in each window that has a shingle of a template.
 
 A window's MinHash can equal a template's only if the window has a shingle of a
 template, so windows without one are passed over before any hash is made; that
@@ -25,6 +28,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -66,6 +70,8 @@ TEMPLATES = {
 
 SIZE = 5  # words of a shingle
 BANDS = 64
+MISS = 1e-6
+DIRECT = 2
 CONTAINED = 0.8
 
 
@@ -108,16 +114,31 @@ class LicenseIndex:
         self.sets = {n: np.unique(shingle_hashes(t.encode(), self.known)) for n, t in templates.items()}
         self.sets = {n: s for n, s in self.sets.items() if len(s)}
         self.all = np.unique(np.concatenate(list(self.sets.values()))) if self.sets else np.empty(0, np.uint64)
-        self.seeds = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-        #: by half a window's length in shingles: band and value to the templates
-        self.classes: dict[int, dict[tuple[int, int], list[str]]] = defaultdict(lambda: defaultdict(list))
+        #: by half a window's length in shingles: the templates, those among them without bands, and the bands' seeds
+        self.classes: dict[int, list[str]] = defaultdict(list)
         for name, s in self.sets.items():
-            half = 1 << int(len(s) + SIZE - 2).bit_length()
-            for band, value in enumerate(self.signature(s).tolist()):
-                self.classes[half][band, value].append(name)
-
-    def signature(self, shingles: np.ndarray) -> np.ndarray:
-        return _mix(shingles[None, :] ^ self.seeds[:, None]).min(axis=1)
+            self.classes[1 << int(len(s) + SIZE - 2).bit_length()].append(name)
+        self.direct = {half: {n for n in names if len(self.sets[n]) <= DIRECT} for half, names in self.classes.items()}
+        self.seeds: dict[int, np.ndarray] = {}
+        #: by class: band and value to the templates
+        self.bands: dict[int, dict[tuple[int, int], list[str]]] = {}
+        for half, names in self.classes.items():
+            banded = [n for n in names if n not in self.direct[half]]
+            count = max((self.bands_needed(len(self.sets[n]), half) for n in banded), default=0)
+            self.seeds[half] = _mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+            self.bands[half] = defaultdict(list)
+            for name in banded:
+                for band, value in enumerate(self.signature(self.sets[name], half).tolist()):
+                    self.bands[half][band, value].append(name)
+
+    def bands_needed(self, n: int, half: int) -> int:
+        """Bands by which a template of ``n`` shingles is missed in a window with a chance of at most ``MISS``."""
+        least = max(1, math.ceil(self.contained * n - 1e-9))
+        similarity = least / (2 * half + n - least)
+        return max(BANDS, math.ceil(math.log(MISS) / math.log1p(-similarity)))
+
+    def signature(self, shingles: np.ndarray, half: int) -> np.ndarray:
+        return _mix(shingles[None, :] ^ self.seeds[half][:, None]).min(axis=1)
 
     def matches(self, text: bytes, banded: bool = True) -> list[Match]:
         """The licenses found; without ``banded`` every template is verified in every window."""
@@ -128,14 +149,15 @@ class LicenseIndex:
         if not len(there):
             return []
         places: dict[str, list[Match]] = defaultdict(list)
-        for half, bands in self.classes.items():
+        for half, every in self.classes.items():
+            bands = self.bands[half]
             starts = np.unique(np.concatenate([there // half, there // half - 1]).clip(min=0)) * half
             for start in starts.tolist():
                 window = h[start : start + 2 * half]
                 if banded:
-                    names = {n for key in enumerate(self.signature(window).tolist()) for n in bands.get(key, ())}
+                    names = self.direct[half] | {n for key in enumerate(self.signature(window, half).tolist()) for n in bands.get(key, ())}
                 else:
-                    names = {n for ns in bands.values() for n in ns}
+                    names = every
                 for name in names:
                     at = np.flatnonzero(np.isin(window, self.sets[name]))
                     share = len(np.unique(window[at])) / len(self.sets[name])

@@ -343,6 +343,21 @@ def test_license_bands_lose_nothing(spark):
         assert n in {m.license for m in index.matches(license_scan.TEMPLATES[n].encode())}
 
 
+def test_license_short_templates_in_any_context():
+    index, r = license_scan.LicenseIndex(), random.Random(8)
+    short = [n for n, s in index.sets.items() if len(s) <= 4]
+    assert {"MIT-short", "MIT-licensed", "CC-BY-4.0", "CC-BY-SA-4.0"} <= set(short)
+    for k in range(6000):
+        name = short[k % len(short)]
+        before, after = (" ".join(f"w{r.randrange(10**6)}" for _ in range(r.randint(0, 40))) for _ in "ab")
+        text = f"{before} {license_scan.TEMPLATES[name]} {after}".encode()
+        assert [m.license for m in index.matches(text)] == [name], text
+    for half, names in index.classes.items():
+        for n in set(names) - index.direct[half]:
+            size, least = len(index.sets[n]), -(-len(index.sets[n]) * 4 // 5)
+            assert (1 - least / (2 * half + size - least)) ** len(index.seeds[half]) <= 1e-6
+
+
 def test_license_rows(odd, none):
     assert license_scan.scan_licenses(odd).where("size(licenses) > 0").count() == 0
     assert license_scan.scan_licenses(none).count() == 0
