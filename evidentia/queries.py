@@ -316,7 +316,7 @@ def gbt_scores(spark, d):
     j = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "n_chars", "text"), "doc_id")
     vec = F.array(F.col("n_chars"), F.size(tokens(F.col("text"))), F.size(sentences(F.col("text"))), F.size(F.array_distinct(tokens(F.col("text"))))).cast("array<float>")
     rows = j.select("doc_id", vec.alias("features"), F.col("quality").cast("double").alias("label"))
-    fitted = model.train(rows.orderBy("doc_id"), trees=5)
+    fitted = model.train(rows.orderBy("doc_id"))
     return model.predict(fitted, rows).select("doc_id", "model_score")
 
 

@@ -42,3 +42,10 @@ def test_rerank_scores_all_documents(spark, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     sql = queries.SQL["rerank_blend"].replace(" WHERE doc < 500", "")
     same(queries.rerank_blend(spark, str(tmp_path)).toPandas(), duck(tmp_path).sql(sql).df())
+
+
+def test_boosted_trees_are_all_grown(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.model, "predict", lambda fitted, rows: seen.append(fitted) or rows.withColumn("model_score", F.lit(0.0)))
+    queries.gbt_scores(spark, SMALL)
+    assert seen[0].getNumTrees == 200
