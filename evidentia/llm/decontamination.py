@@ -19,7 +19,9 @@ large the benchmark is, and every document meets every block.
 Defined results
 ---------------
 * null, empty or wordless texts have no words and no hits;
-* wordless or null items have no window; items with equal texts each count;
+* wordless items and null texts have no window; items with equal texts each count;
+* items with a null id hit as others do; together they are one null, the last in
+  ``item_ids``, which counts there and has no part in the digest, as in SQL;
 * rows that repeat an id are judged row by row;
 * an empty benchmark hits nothing; extra columns pass through.
 """
@@ -60,19 +62,19 @@ def item_windows(text: bytes, window: int = WINDOW) -> list[tuple[bytes, ...]]:
 class WindowIndex:
     """Windows by their prefix token: (offset of the token, window, items)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], counts: dict[bytes, int], window: int = WINDOW):
-        owners: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
+    def __init__(self, items: list[tuple[str | None, bytes]], counts: dict[bytes, int], window: int = WINDOW):
+        owners: dict[tuple[bytes, ...], list[str | None]] = defaultdict(list)
         for item, text in items:
             for win in item_windows(text, window):
                 owners[win].append(item)
-        self.by_token: dict[bytes, list[tuple[int, tuple[bytes, ...], list[str]]]] = defaultdict(list)
+        self.by_token: dict[bytes, list[tuple[int, tuple[bytes, ...], list[str | None]]]] = defaultdict(list)
         for win, ids in owners.items():
             token, at = min((counts.get(t, 0), t, i) for i, t in enumerate(win))[1:]
             self.by_token[token].append((at, win, ids))
         self.by_token.default_factory = None
         self.longest = max((len(w) for w in owners), default=0)
 
-    def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Spans of words (start, end) in which a window occurs, and the items."""
         spans, found, n, index = [], set(), len(w), self.by_token
         for p, token in [(p, t) for p, t in enumerate(w) if t in index]:
@@ -97,7 +99,7 @@ def _blocks(bench: DataFrame, item_col: str, text_col: str, block_words: int):
     """The items in blocks of a bounded size, streamed through the driver."""
     block, size = [], 0
     rows = bench.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
-    for row in rows.where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
+    for row in rows.where("t IS NOT NULL").toLocalIterator():
         n = len(words(bytes(row.t)))
         if not n:
             continue
@@ -161,7 +163,7 @@ def decontaminate(
                         s = [*zip(before[0][k][::2], before[0][k][1::2]), *s]
                         i |= set(before[1][k])
                     spans.append([x for pair in sorted(set(s)) for x in pair])
-                    items.append(sorted(i))
+                    items.append(sorted(i - {None}) + [None] * (None in i))
                 return {state["spans"]: spans, state["items"]: items}
 
             return work

@@ -123,6 +123,25 @@ def test_decontamination_rows(spark, odd, none):
     assert decontamination.decontaminate(none, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_null_ids(spark, tmp_path):
+    for t in ("documents", "benchmark"):
+        df = spark.read.parquet(f"{SMALL}/{t}.parquet")
+        if t == "benchmark":
+            df = df.selectExpr("nullif(item_id, item_id - item_id % 2) AS item_id", "text")
+            assert df.where("item_id IS NULL AND text IS NOT NULL").count()
+        df.coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    same(queries.QUERIES["op2_decontamination"](spark, str(tmp_path)).toPandas(), con.sql(queries.SQL["op2_decontamination"]).df())
+    bench = spark.createDataFrame([(None, "one two"), (None, "three four"), (7, "two three")], "item_id long, text string")
+    for size in (2, 2_000_000):
+        got = decontamination.decontaminate(docs(spark, [(1, "one two three four"), (2, "x two three")]), bench, block_words=size).orderBy("doc_id").collect()
+        assert [(g.n_hit, g.item_ids) for g in got] == [(4, ["7", None]), (2, ["7"])]
+
+
 # -- SentencePiece -----------------------------------------------------------
 
 
