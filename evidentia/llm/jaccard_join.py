@@ -319,7 +319,9 @@ def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -
         cell = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(spread))
         chosen = rest.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("id", "c", "d", "m", "bits")).alias("p"))
         chosen = work.cut(chosen.select("key", F.col("p.id").alias("pivot"), F.col("p.c").alias("pc"), F.col("p.d").alias("pd"), F.col("p.m").alias("pm"), F.col("p.bits").alias("pbits")), f"pivots{step}")
-        window = (rest["key"] == chosen["key"]) & (rest["c"] != chosen["pc"]) & (F.abs(rest["d"] - chosen["pd"]) <= radius)
+        # nor do their distances, the least of several, obey the triangle inequality
+        close = (F.abs(rest["d"] - chosen["pd"]) <= radius) | rest["m"].isNull() | chosen["pm"].isNull()
+        window = (rest["key"] == chosen["key"]) & (rest["c"] != chosen["pc"]) & close
         near = rest.join(chosen, window & _may_link(rest["bits"], rest["m"], chosen["pbits"], chosen["pm"], similar))
         pairs = near.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
         pairs = work.cut(pairs, f"pairs{step}")

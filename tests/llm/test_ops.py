@@ -315,6 +315,16 @@ def test_jaccard_components(spark, size, similar):
     assert got == brute_components(rows, size, similar)
 
 
+def test_jaccard_ids_with_several_texts(spark):
+    """1 and 2 link by one text, 2 and 3 by another whose distance to the pivot, 1, isn't what the least distance says."""
+    base = [f"w{k}" for k in range(200)]
+    near = ["y0" if k == 50 else "y1" if k == 150 else w for k, w in enumerate(base)]
+    pivots = [[*near[:k], *(f"z{k}x{j}" for j in range(10)), *near[k + 10 :]] for k in range(0, 190, 10)]
+    rows = [(1, " ".join(p)) for p in pivots] + [(2, " ".join(near)), (2, " ".join([*pivots[0][:-1], "end"])), (3, " ".join(base))]
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(docs(spark, rows), size=3, similar=90, keep=["doc_id"]).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+
+
 def test_projection_bound():
     """Sets that link share a region, for pairs at the edge of what links."""
     import numpy as np
