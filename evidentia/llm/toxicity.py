@@ -8,14 +8,15 @@ among them are taken off, and it may not fall below zero.  Where a step would
 push it below zero, the step goes the other way, as the method asks.
 
 The classifier is linear over hashed words that are clearly commoner among the
-positives than in the unlabelled sample, with near copies of a positive counted
-once; a word counts with the logarithm of its frequency.  The zero point is set
+positives than in all texts, with near copies of a positive counted once; every
+word that passes this test is taken.  A word counts with the logarithm of its frequency.  The zero point is set
 last so that the training fold's labelled rows of both classes are told apart
 best.
 
 Samples are bounded: about ``positives`` toxic rows, ``unlabelled`` rows of all
-texts and ``reviewed`` labelled rows, taken by hash of the id; only their word
-counts are gathered.
+texts (for the risk) and ``reviewed`` labelled rows, taken by hash of the id; only
+their word counts are gathered.  How many texts have a word is counted over all
+documents.
 
 Defined results
 ---------------
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import append_columns, crc_fold, raw_texts, table
+from .common import append_columns, crc_fold, raw_texts, ship, table
 from .decontamination import words
 
 BITS = 18
@@ -92,17 +93,13 @@ def without_copies(docs: list[Counts], slots: int = 32, alike: float = 0.4) -> l
     return kept
 
 
-def telling_words(pos: list[Counts], unl: list[Counts], least: int = 3, sure: float = 9.0, most: int = 1000) -> np.ndarray:
+def telling_words(pos: list[Counts], frequency: np.ndarray, total: int, sure: float = 9.0) -> np.ndarray:
     """A mask of the words that are significantly commoner in positives: the
-    chance of their count among the positives, at the rate of the unlabelled
-    texts, is below about exp(-sure) (Chernoff's bound for a Poisson count)."""
-    a, u = (np.bincount(np.concatenate([i for i, _ in d]), minlength=1 << BITS) / 1.0 for d in (pos, unl))
-    expected = (u + 1) * len(pos) / (len(unl) + 1)
-    score = np.where((a >= least) & (a > expected), a * np.log(np.maximum(a, 1) / expected) - a + expected, 0.0)
-    top = np.argsort(-score, kind="stable")[:most]
-    mask = np.zeros(1 << BITS, bool)
-    mask[top[score[top] >= sure]] = True
-    return mask
+    chance of their count among the positives, at the rate ``frequency / total``
+    of all texts, is below about exp(-sure) (Chernoff's bound for a Poisson count)."""
+    a = np.bincount(np.concatenate([i for i, _ in pos]), minlength=1 << BITS) / 1.0
+    expected = (frequency + 1) * len(pos) / (total + 1)
+    return (a > expected) & (a * np.log(np.maximum(a, 1) / expected) - a + expected >= sure)
 
 
 @dataclass
@@ -168,6 +165,24 @@ def _gather(rows: DataFrame, text_col: str, label: str) -> list:
     return [(y, (np.frombuffer(i, np.int32), np.frombuffer(c, np.int32))) for y, i, c in got]
 
 
+def document_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
+    """In how many of all texts each hashed word occurs; each task sums up its own first."""
+
+    def count(batches):
+        numbers, total = WordNumbers(), np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for text in raw_texts(batch, text_col):
+                total[word_counts(text, numbers)[0]] += 1
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["i", "n"])
+
+    ship(docs.sparkSession)
+    found = docs.select(text_col).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # 2^BITS rows at most
+    out = np.zeros(1 << BITS, np.int64)
+    out[found["i"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, positives: int = 2500, unlabelled: int = 5000, reviewed: int = 5000) -> ToxicityModel:
     """Learn from ``labels``, which has none that are held out, and ``docs``."""
     flag = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -189,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     unl = [d for _, d in _gather(drawn.limit(2 * unlabelled), text_col, "y")] or [d for _, d in seen]
 
     pos = without_copies([d for y, d in seen if y == 1])
-    chosen = telling_words(pos, unl) if pos else np.zeros(1 << BITS, bool)
+    chosen = telling_words(pos, document_frequencies(docs, text_col), total) if pos else np.zeros(1 << BITS, bool)
     if not chosen.any():
         return ToxicityModel(None)
     w, b = fit(Rows(pos, chosen), Rows(unl, chosen), n_pos / n_all)

@@ -274,6 +274,27 @@ def test_toxicity_rows(spark, odd, none):
     assert toxicity.score_toxicity(none, model).count() == 0
 
 
+def test_toxicity_rarer_words(spark):
+    """Words in few of the toxic texts tell even where more than 1,000 others tell more."""
+    import numpy as np
+
+    r = random.Random(12)
+    strong, rows = [f"s{k}" for k in range(1200)], []
+    for k in range(300):
+        w = r.sample(strong, 300) + ([f"r{j}" for j in range(5)] if k % 25 == 0 else [])
+        rows.append((k, " ".join(w)))
+    rows += [(k, " ".join(f"c{r.randrange(500)}" for _ in range(20))) for k in range(300, 2300)]
+    d = docs(spark, rows)
+    labels = spark.createDataFrame([(k, int(k < 300)) for k in range(600)], "doc_id long, toxic int")
+    model = toxicity.train(d, labels, "doc_id", "text", "toxic")
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(docs(spark, [(1, "r0 r1 r2 r3 r4"), (2, ""), (3, "c1 c2")]), model).collect()}
+    assert got[1] > got[2] == got[3]
+    want, numbers = np.zeros(1 << toxicity.BITS, int), toxicity.WordNumbers()
+    for _, t in rows:
+        want[toxicity.word_counts(t.encode(), numbers)[0]] += 1
+    assert (toxicity.document_frequencies(d, "text") == want).all()
+
+
 # -- Jaccard join ------------------------------------------------------------
 
 
