@@ -371,13 +371,31 @@ def _counts(text_col: str, size: int, name: str):
 
 def drop_linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similar: int = 80, workspace: Workspace | None = None) -> DataFrame:
     """``df`` less the rows that links connect with a smaller id; of equal rows that
-    share an id all stay, as do rows with a null id."""
+    share an id all stay.  A row with a null id is a vertex of its own and comes after
+    all ids: it goes if a row with an id, or another such row, stays for it."""
     work = workspace or Workspace(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    gone, key = fresh(df, "gone"), fresh(df, "key")
+    ident = F.col(id_col).cast("long")
+    docs = df.select(ident.alias("id"), F.col(text_col).alias("text"))
+    bare, salt = None, 0
+    if df.where(ident.isNull()).limit(1).count():
+        numbered = work.cut(df.where(ident.isNull()).withColumn(key, F.monotonically_increasing_id()), "bare")
+        while bare is None or bare.join(docs.select(F.col("id").alias(key)), key, "left_semi").limit(1).count() or bare.groupBy(key).count().where("count > 1").limit(1).count():
+            bare, salt = numbered.withColumn(key, F.xxhash64(key, F.lit(salt))), salt + 1  # numbers that are no ids
+        docs = docs.where("id IS NOT NULL").union(bare.select(key, text_col))
     _, label = find_components(docs, size, similar, work)
-    gone = fresh(df, "gone")
-    lost = work.cut(label.where("id <> component").select(F.col("id").alias(gone)), "lost")
-    return df.join(if_small(lost, SMALL), F.col(id_col).cast("long") == F.col(gone), "left_anti")
+    if bare is None:
+        lost = label.where("id <> component").select(F.col("id").alias(gone))
+    else:
+        label = label.union(label.select(F.col("component").alias("id"), "component")).distinct()  # the least of copies may have no row
+        label = label.join(bare.select(F.col(key).alias("id"), F.lit(1).alias("bare")), "id", "left").withColumn("bare", F.coalesce("bare", F.lit(0)))
+        stays = label.groupBy("component").agg(F.min(F.struct("bare", "id"))["id"].alias("stays"))
+        lost = label.join(stays, "component").where("id <> stays").select(F.col("id").alias(gone))
+    lost = if_small(work.cut(lost, "lost"), SMALL)
+    if bare is None:
+        return df.join(lost, ident == F.col(gone), "left_anti")
+    kept = bare.join(lost, F.col(key) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return df.where(ident.isNotNull()).join(lost, ident == F.col(gone), "left_anti").union(kept)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,6 +346,15 @@ def test_jaccard_ids_with_several_texts(spark):
     assert got == {1: 1, 2: 1, 3: 1}
 
 
+def test_drop_linked_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = b.replace("b59", "end")
+    rows = [(None, a, 1), (None, a, 2), (5, a, 3), (9, a, 4), (None, b, 5), (None, near, 6), (None, c, 7), (None, None, 8), (None, "", 9), (-3, c + " more", 10), (7, "x y", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = sorted(r.n for r in jaccard_join.drop_linked(df).collect())
+    assert got in ([3, 5, 8, 9, 10, 11], [3, 6, 8, 9, 10, 11])
+
+
 def test_projection_bound():
     """Sets that link share a region, for pairs at the edge of what links."""
     import numpy as np
