@@ -11,43 +11,42 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-#: Rows per Arrow batch: some texts are very long, so batches are kept small.
-ARROW_ROWS = 1000
+from ..cluster import ship
+
+#: Most rows and bytes of an Arrow batch: some texts are very long, so batches are kept small.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset (a
-    local session, such as in tests) a folder of this process is used.
+    ``spark.checkpoint.dir`` names that folder.  Only a local session (such as in
+    tests) gets a folder of this process where it is unset; a cluster has to set it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/evidentia-{uuid.uuid4().hex}"
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_evidentia_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="evidentia-")) / "evidentia.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    sc.addPyFile(str(archive))
-    sc._evidentia_shipped = True
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to this module's; Spark has no other place for them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = str(spark.conf.get(key)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 class Workspace:
@@ -69,7 +68,6 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-
     def tidy(self) -> None:
         """Let the driver see which shuffle files nobody needs any more.
 
@@ -126,7 +124,7 @@ def append_columns(
             yield pa.RecordBatch.from_arrays(arrays, [*kept, *kinds])
 
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -142,6 +140,64 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in at.cast(kind).to_pylist()]
 
 
+# -- words as hashes ---------------------------------------------------------
+
+_A = np.uint64(0x9E3779B97F4A7C15)
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG = 256
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def letters_of(split: bytes) -> np.ndarray:
+    """For each byte whether it belongs to a word, where the bytes of ``split`` stand between words."""
+    return ~np.isin(np.arange(256), np.frombuffer(split, np.uint8))
+
+
+def hashed_words(texts: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of the texts and where each text's begin; those of
+    text k are hashes[at[k]:at[k + 1]].  A space must be no letter.
+
+    Eight bytes of every word are mixed at once, so no word becomes a Python object.
+    """
+    data = b" ".join([*texts, b"        "])
+    inside = letters[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.append(0, edges)
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))  # the eight bytes from each place on
+    h = mix((eights[starts] & _HEAD[np.minimum(size, 8)]) + size.astype(np.uint64) * _A)
+    rest, k = np.flatnonzero(size > 8), 8
+    while len(rest) and k < _LONG:
+        h[rest] = mix(h[rest] * _A + (eights[starts[rest] + k] & _HEAD[np.minimum(size[rest] - k, 8)]))
+        k += 8
+        rest = rest[size[rest] > k]
+    for j in rest.tolist():
+        h[j] = xxhash.xxh3_64_intdigest(data[starts[j] : starts[j] + size[j]])
+    ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return h, np.searchsorted(starts, ends)
+
+
+def in_pieces(texts: list[bytes], most: int = 1 << 19) -> Iterator[list[bytes]]:
+    """The texts in lists of at most ``most`` bytes; a longer text is a list by itself."""
+    piece, size = [], 0
+    for t in texts:
+        if piece and size + len(t) > most:
+            yield piece
+            piece, size = [], 0
+        piece.append(t)
+        size += len(t) + 1
+    if piece:
+        yield piece
+
+
 def crc_fold(column: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds

@@ -1,44 +1,45 @@
 """N-gram Jaccard join in metric space.
 
 Documents are sets of word shingles under the Jaccard distance, a metric; two
-link if their similarity is at least ``similar`` percent.
-
-Unrelated texts are all at distance 1, or nearly so, from any text that could
-serve as a pivot, and no 1-Lipschitz map of large sets spreads them by more
-than the join's radius.  Pivots among the documents alone would therefore
-leave one region with nearly everything in it.  So regions come in three
-steps, each exact by the triangle inequality of a metric:
-
-1. *Size regions.*  The distance to the empty count profile makes sizes a line
-   of Voronoi intervals; a set within the radius of the next interval is
-   replicated to it.
-2. *Projection regions.*  In an interval whose largest set has ``m`` shingles,
-   two linked sets differ in at most ``H = 2m(1-s)/(1+s)`` elements.  The
-   universe is dealt into ``K = H + 1 + e`` classes by hash: the projections
-   on the classes are 1-Lipschitz, so linked sets agree exactly on at least
-   ``1 + e`` of them.  Sets with an equal, non-empty projection share a
-   region.  At most ``e`` projections of an ordinary set are empty; sets with
-   more of them share a region of their own.
-3. *Pivot regions.*  Within a region a pivot set is chosen and the exact
-   distance of all others to it is computed.  What links to it is of its
-   component.  For the rest the windows of the triangle inequality hold: a pair
-   whose distances to a common pivot differ by more than the radius can't
-   link, nor can one whose parities on hash classes differ in too many bits (a
-   1-Lipschitz map again).  Regions whose members already are one component are done; the
-   others are joined recursively with more pivots, until every pair in a
-   region is linked, connected or ruled out.
-
-Equal sets are collapsed before all this, so groups of copies cost one set
-each, and a large group of near copies is a star around its pivot instead of
-all its pairs.
+link if their similarity is at least ``similar`` percent.  The join goes from
+coarse pivots to fine ones, and each step is exact:
+
+1. *Sites.*  The first pivots are the sets of one shingle.  A set of ``n``
+   shingles is at distance ``1 - 1/n`` from each of its own sites and at 1 from
+   all others, so it lies on the border of ``n`` Voronoi regions; ties go to the
+   rarer site.  A set that links with it lacks at most ``n - ceil(s n)`` of its
+   shingles.  So the set is replicated to its ``n - ceil(s n) + 1`` rarest sites:
+   linked sets then share the rarest site that they have in common.
+2. *Stars.*  In each region one set is the pivot, and the exact distance of the
+   others to it is computed.  A group of near copies becomes one component
+   here, by as many pairs as it has members.
+3. *Voronoi cells.*  A region with more than one component is joined
+   recursively: up to ``PIVOTS`` sets become pivots, each member goes home to the
+   nearest (at distance ``d``) and is a guest in the cells of pivots before it in
+   order that are nearer than ``d + 2r``.  By the triangle inequality one of two linked
+   members then is at home where the other one is home or guest, so guests need
+   not meet guests.  Regions of up to ``LEAF`` members need no cells: each is
+   compared with each, unless they are connected already, their sizes differ too
+   much or their distances to the last pivot differ by more than the radius.
+
+Pivots that are whole documents can't begin the join: unrelated texts are at a
+distance of nearly 1 from all of them, so every window would hold nearly
+everything (README has figures).  Sites are ordered by the number of sets that
+fall on a shingle's place in a table of ``1 << COUNTERS`` counters, counted over
+the whole corpus, and by hash among equals.  Any fixed order is exact; this one
+leaves passages that many documents share to the last.
+
+Equal sets are collapsed before all this, so groups of copies cost one set each.
 
 Defined results
 ---------------
 * null, empty or wordless texts have an empty set and link with nothing;
 * with fewer words than a shingle the whole sequence is the only shingle;
+* very long texts are one set as any other, never cut;
 * rows that share an id are one vertex, which takes the links of each;
 * rows with a null id keep their set's size and have a null component;
-* an empty table gives an empty result; extra columns pass through.
+* an empty table gives an empty result; extra columns pass through, but for
+  those named as a new one, which are replaced.
 
 Shingles are compared by 64-bit hashes, whole sets by 128-bit ones.
 """
@@ -47,125 +48,115 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Workspace, append_columns, fresh, if_small, raw_texts, table
+from .common import Workspace, append_columns, bound_batches, fresh, hashed_words, if_small, in_pieces, letters_of, mix, raw_texts, ship, table
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_S = [np.uint64(x) for x in (30, 27, 31)]
 _MASK = (1 << 64) - 1
 _LOW = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_LETTERS = letters_of(b" \t\n\x0b\x0c\r")
 
+#: Binary logarithm of the counters by which sites are ordered.
+COUNTERS = 18
+#: Pivots of a large region; regions of up to LEAF members are compared without cells.
+PIVOTS, LEAF = 64, 128
+#: Rows up to which a list of ids or keys (8 bytes each) is broadcast; beyond it is shuffled.
+SMALL = 2_000_000
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit integers."""
-    x = (x ^ (x >> _S[0])) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _S[1])) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> _S[2])
 
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    out = []
+    for piece in in_pieces(texts):
+        w, at = hashed_words([t.translate(_LOW) for t in piece], _LETTERS)
+        whole = _sequences(w, size)
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+            n = hi - lo
+            s = whole[lo : hi - size + 1] if n >= size else _sequences(w[lo:hi], n) if n else whole[:0]
+            s = np.sort(s)
+            out.append(s[np.append(True, s[1:] != s[:-1])] if n > size else s)
+    return out
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for as long as they fit."""
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _sequences(w: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` consecutive word hashes."""
+    h = np.zeros(max(0, len(w) - n + 1), np.uint64)
+    for k in range(n):
+        h = h * _A + w[k : k + len(h)]
+    return mix(h + np.uint64(n * int(_B) & _MASK))
 
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def shingles(text: bytes, size: int) -> np.ndarray:
+    return shingle_sets([text], size)[0]
 
-def shingles(text: bytes, size: int, known: WordHashes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = text.translate(_LOW).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(w))
-    h = np.zeros(len(w) - n + 1, np.uint64)
-    for k in range(n):
-        h = h * _A + mix(w[k : k + len(h)] + np.uint64(k))
-    return np.unique(mix(h + np.uint64(n * int(_B) & _MASK)))
-
-
-def size_regions(similar: int, ratio: float = 1.3) -> np.ndarray:
-    """Where the intervals of sizes begin; a linked set is at most one interval away."""
-    ratio, edges = max(ratio, 104 / similar), [1]
-    while edges[-1] < 1 << 40:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * ratio + 1)))
-    # sets smaller than this link with equal sets only; they form one interval
-    least = 1
-    while (2 * least * (100 - similar)) // (100 + similar) < 1:
-        least += 1
-    return np.array([1] + [e for e in edges if e > least - 1], np.int64)
-
-
-def classes(top: int, similar: int) -> tuple[int, int]:
-    """(K, e) of an interval whose largest set has ``top`` shingles."""
-    h = (2 * top * (100 - similar)) // (100 + similar)
-    e = 1 + h // 200
-    return h + 1 + e, e
-
-
-def projections(h: np.ndarray, similar: int, edges: np.ndarray) -> np.ndarray:
-    """The regions of a set: a 64-bit key for each non-empty projection."""
-    n = len(h)
-    home = int(np.searchsorted(edges, n, "right")) - 1
-    keys = []
-    for interval in (home, home + 1):
-        low, top = int(edges[interval]), int(edges[interval + 1]) - 1
-        if interval > home and 100 * n < similar * low:
-            continue
-        if (2 * top * (100 - similar)) // (100 + similar) < 1:
-            continue  # only equal sets link here, and those are collapsed
-        k, e = classes(top, similar)
-        of = (mix(h ^ np.uint64(interval * 2 + 1)) >> np.uint64(11)) % np.uint64(k)
-        total = np.zeros(k, np.uint64)
-        np.add.at(total, of.astype(np.int64), mix(h + _B))
-        there = np.flatnonzero(np.bincount(of.astype(np.int64), minlength=k))
-        salt = np.uint64(interval * int(_A) & _MASK)
-        keys.append(mix(mix(total[there]) + salt + mix(there.astype(np.uint64) + _B)))
-        if k - len(there) > e:
-            keys.append(mix(np.array([int(salt) + 1 & _MASK], np.uint64)))
-    return np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
-
-
-def parities(h: np.ndarray, similar: int, edges: np.ndarray) -> np.ndarray:
-    """A bit for each of 2^k hash classes: whether it has an odd number of elements.
-
-    The Hamming distance of two such vectors is at most the number of elements in
-    which the sets differ.  A vector is brought to half its length by exclusive or.
+
+def place(h: np.ndarray) -> np.ndarray:
+    """Which counter a shingle falls on."""
+    return (h >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Counters in one byte each: eight steps for a doubling."""
+    return np.minimum(255, np.round(8 * np.log2(1.0 + counts))).astype(np.uint64) << np.uint64(56)
+
+
+def sites(h: np.ndarray, similar: int, rare: np.ndarray) -> np.ndarray:
+    """The sites of a set: its rarest shingles, as many as a linked set can lack and one more.
+
+    A site is its shingle's rarity and the first 56 bits of its hash, so sites compare as they are ordered.
     """
-    top = int(edges[int(np.searchsorted(edges, max(len(h), 1), "right"))]) - 1
-    bits = max(64, 1 << (6 * classes(top, similar)[0] - 1).bit_length())
-    of = (mix(h ^ _B) % np.uint64(bits)).astype(np.int64)
-    return np.packbits((np.bincount(of, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+    least = len(h) + similar * len(h) // -100 + 1
+    key = rare[place(h)] | (h >> np.uint64(8))
+    return np.partition(key, least - 1)[:least]
 
 
-def _sets(df: DataFrame, text_col: str, size: int, similar: int | None) -> DataFrame:
-    """``df`` with n (shingles), s1 and s2 (hash of the set), keys (its regions) and
-    bits (its parities) or, without ``similar``, the set itself in keys."""
+def count_places(docs: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of all sets fall on each counter; a task sums up its own first."""
+
+    def count(batches):
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for piece in in_pieces(raw_texts(batch, "text"), 1 << 22):
+                total += np.bincount(place(np.concatenate(shingle_sets(piece, size))), minlength=1 << COUNTERS)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["i", "n"])
+
+    ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
+    found = docs.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each counter
+    out = np.zeros(1 << COUNTERS, np.int64)
+    out[found["i"].to_numpy()] = found["n"].to_numpy()
+    return out
 
-    def make():
-        known, edges = WordHashes(), size_regions(similar) if similar else None
 
+def _sets(df: DataFrame, size: int, similar: int, rare) -> DataFrame:
+    """``df`` (with text) with n (shingles), s1 and s2 (hash of the set) and keys (its
+    sites); ``rare`` is the broadcast order."""
+
+    def make():
         def work(batch: pa.RecordBatch) -> dict[str, list]:
-            n, s1, s2, keys, bits = [], [], [], [], []
-            for text in raw_texts(batch, text_col):
-                h = shingles(text, size, known)
-                n.append(len(h))
-                s1.append(int(mix(h).sum(dtype=np.uint64).astype(np.int64)))
-                s2.append(int(mix(h ^ _A).sum(dtype=np.uint64).astype(np.int64)))
-                keys.append((projections(h, similar, edges) if similar and len(h) else h if not similar else h[:0]).view(np.int64))
-                bits.append(parities(h, similar, edges) if similar else None)
+            sets = shingle_sets(raw_texts(batch, "text"), size)
+            keys = [sites(h, similar, rare.value) if len(h) else h for h in sets]
             at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
-            return {"n": n, "s1": s1, "s2": s2, "keys": pa.ListArray.from_arrays(pa.array(at), flat), "bits": bits}
+            flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            return {
+                "n": list(map(len, sets)),
+                "s1": [int(mix(h).sum(dtype=np.uint64).astype(np.int64)) for h in sets],
+                "s2": [int(mix(h ^ _A).sum(dtype=np.uint64).astype(np.int64)) for h in sets],
+                "keys": pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64), pa.int64())),
+            }
 
         return work
 
-    return append_columns(df, make, {"n": "long", "s1": "long", "s2": "long", "keys": "array<long>", "bits": "array<long>"})
+    return append_columns(df, make, {"n": "long", "s1": "long", "s2": "long", "keys": "array<long>"})
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # two runs, which are merged
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
@@ -210,57 +201,48 @@ def _joined(work: Workspace, label: DataFrame, links: DataFrame, name: str) -> D
     for c in ("a", "b"):
         own = label.select(F.col("id").alias(c), F.col("component").alias("_c"))
         links = links.join(own, c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
+    links = work.cut(links.where("a <> b"), f"{name}-links")
+    if not links.limit(1).count():
+        return label
     new = components(work, links, name)
     up = new.select(F.col("id").alias("component"), F.col("component").alias("_c"))
     old = label.join(up, "component", "left").select("id", F.coalesce("_c", "component").alias("component"))
     return work.cut(old.union(new.join(label, "id", "left_anti").select("id", "component")), f"{name}-all")
 
 
-#: Rows up to which a list of ids or keys (8 bytes each) is broadcast; beyond it is shuffled.
-SMALL = 2_000_000
-
-
 def _distances(work: Workspace, texts: DataFrame, pairs: DataFrame, size: int, similar: int, name: str) -> DataFrame:
     """(a, b, d, link) for pairs of ids: d is their exact distance."""
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     need = work.cut(need, f"{name}-need")
     found = texts.join(if_small(need, SMALL), "id", "left_semi")
-    sets = work.cut(_sets(found, "text", size, None).select("id", "n", "keys"), f"{name}-sets")
-    a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-    b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    whole = append_columns(found, lambda: lambda batch: {"set": [s.tobytes() for s in shingle_sets(raw_texts(batch, "text"), size)]}, {"set": "binary"}, keep=["id"])
+    sets = work.cut(whole, f"{name}-sets")
     # a pivot, and so b, can be in very many pairs: those come last and skewed partitions are split
-    done = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("ka", "kb")).cast("long"))
-    done = done.select("a", "b", "both", (F.col("na") + F.col("nb") - F.col("both")).alias("all"))
-    done = done.select("a", "b", (1 - F.col("both") / F.col("all")).alias("d"), (100 * F.col("both") >= similar * F.col("all")).alias("link"))
-    done = work.cut(done.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("link").alias("link")), f"{name}-d")
-    work.drop(f"{name}-sets")
-    work.drop(f"{name}-need")
-    return done
-
-
-def _may_link(a: Column, na: Column, b: Column, nb: Column, similar: int) -> Column:
-    """Whether the parities of two sets leave it possible that they link."""
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
 
-    def halved(x: Column) -> Column:
-        half = (F.size(x) / 2).cast("int")
-        return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+    def make():
+        def work(batch: pa.RecordBatch) -> dict[str, list]:
+            d, link = [], []
+            for x, y in zip(*(batch.column(batch.schema.get_field_index(c)) for c in "xy")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = overlap(x, y)
+                every = len(x) + len(y) - both
+                d.append(1 - both / every)
+                link.append(100 * both >= similar * every)
+            return {"d": d, "link": link}
 
-    def apart(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, c: acc + c)
+        return work
 
-    d = (
-        F.when(F.size(a) == F.size(b), apart(a, b))
-        .when(F.size(a) == 2 * F.size(b), apart(halved(a), b))
-        .when(2 * F.size(a) == F.size(b), apart(a, halved(b)))
-        .otherwise(0)
-    )
-    return F.coalesce(d * (100 + similar) <= (100 - similar) * (na + nb), F.lit(True))
+    done = work.cut(append_columns(met, make, {"d": "double", "link": "boolean"}, keep=["a", "b"]), f"{name}-d")
+    work.drop(f"{name}-sets")
+    work.drop(f"{name}-need")
+    return done
 
 
 def _regions(keys: DataFrame) -> DataFrame:
-    """One key for each set of members that has different sets in it.
+    """One site for each set of members that has different sets in it.
 
-    Near copies share most of their keys, so many regions have the same members;
+    Near copies share most of their sites, so many regions have the same members;
     a count and two sums of hashes of the members tell which.
     """
     one, two = F.xxhash64("id", "s1"), F.xxhash64("s1", "id")
@@ -271,69 +253,136 @@ def _regions(keys: DataFrame) -> DataFrame:
     return by_key.where("lo <> hi").groupBy("k", "f1", "f2").agg(F.min("key").alias("key")).select("key")
 
 
+def _open_cells(work: Workspace, cells: DataFrame, label: DataFrame, name: str) -> DataFrame | None:
+    """The cells with several components and someone at home: (key, id, n, home, d, c, homes)."""
+    seen = cells.join(label, "id", "left").select("key", "id", "n", "home", "d", F.coalesce("component", "id").alias("c"))
+    seen = work.cut(seen, f"{name}-seen")
+    apart = seen.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if("home").alias("homes"))
+    apart = work.cut(apart.where("lo <> hi AND homes > 0").select("key", "homes"), f"{name}-apart")
+    if not apart.limit(1).count():
+        return None
+    done = work.cut(seen.join(apart, "key"), f"{name}-open")
+    work.drop(f"{name}-seen")
+    return done
+
+
+def _pairs(cells: DataFrame, step: int, similar: int) -> tuple[DataFrame, DataFrame]:
+    """(key, pivot, ...) with pivots of those at home in each cell (all of a small one), and the pairs to
+    compare: all of a large cell's members with its pivots, of a small one those that may link."""
+    bucket = F.when(F.col("homes") <= LEAF, F.col("id")).otherwise(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(PIVOTS)))
+    chosen = cells.where("home").groupBy("key", bucket.alias("bucket")).agg(F.min(F.struct("id", "n", "c", "d")).alias("p"))
+    chosen = chosen.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), F.col("p.d").alias("pd"))
+    radius = 1 - similar / 100 + 1e-9
+    sizes = 100 * F.least("n", "pn") >= similar * F.greatest("n", "pn")
+    window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= radius, F.lit(True))
+    may = (F.col("homes") > LEAF) | ((F.col("c") != F.col("pc")) & sizes & window)
+    met = cells.join(chosen, "key").where((F.col("id") != F.col("pivot")) & may)
+    return chosen, met.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+
+
+def _cells(cells: DataFrame, chosen: DataFrame, known: DataFrame, similar: int) -> DataFrame:
+    """The Voronoi cells of the large cells' pivots, without the pivots themselves."""
+    large = cells.where(F.col("homes") > LEAF).join(chosen.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
+    met = large.drop("d").join(chosen.select("key", "pivot"), "key")
+    met = met.withColumns({"a": F.greatest("id", "pivot"), "b": F.least("id", "pivot")}).join(known.select("a", "b", "d"), ["a", "b"])
+    near = met.groupBy("key", "id", "n", "home").agg(F.min(F.struct("d", "pivot")).alias("near"), F.collect_list(F.struct("pivot", "d")).alias("all"))  # at most PIVOTS
+    far = F.col("near.d") + 2 * (1 - similar / 100) + 1e-9
+    each = near.select("key", "id", "n", "home", "near", far.alias("far"), F.explode("all").alias("x"))
+    own = F.col("x.pivot") == F.col("near.pivot")
+    to = F.when(F.col("home"), own | (F.col("x.pivot") < F.col("near.pivot"))).otherwise(True) & (F.col("x.d") <= F.col("far"))
+    return each.where(to).select(F.xxhash64("key", "x.pivot").alias("key"), "id", "n", (F.col("home") & own).alias("home"), F.col("x.d").alias("d"))
+
+
 def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """For ``docs`` (id, text): the sets (id, n, s1, s2, keys) and (id, component) of all that link."""
-    sets = work.cut(_sets(docs, "text", size, similar).select("id", "n", "s1", "s2", "keys", "bits"), "sets")
+    """For ``docs`` (id, text), where rows with the same id have the same set: (id, n, s1, s2)
+    of each row, and (id, component) of all that link."""
+    ship(docs.sparkSession)
+    rare = docs.sparkSession.sparkContext.broadcast(rarity(count_places(docs, size)))
+    sets = work.cut(_sets(docs, size, similar, rare).select("id", "n", "s1", "s2", "keys"), "sets")
 
     # equal sets: one representative each
     whole = sets.where("n > 0 AND id IS NOT NULL")
     narrow = whole.select("id", "n", "s1", "s2")
     groups = narrow.groupBy("n", "s1", "s2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     groups = work.cut(groups.select("n", "s1", "s2", "first"), "groups")
-    copies = work.cut(narrow.join(groups, ["n", "s1", "s2"]).where("id <> first").select("id", "s1", "first").distinct(), "copies")
-    # an id with several sets is one vertex with the links of all: its copies stay in the graph
-    several = narrow.distinct().groupBy("id").agg(F.count("*").alias("sets")).where("sets > 1").select("id")
-    links = work.cut(copies.join(several, "id", "left_semi").select(F.col("first").alias("a"), F.col("id").alias("b")), "links")
+    copies = work.cut(narrow.join(groups, ["n", "s1", "s2"]).where("id <> first").select("id", "first").distinct(), "copies")
+    work.drop("groups")
 
     # regions that hold different sets, and their members without the copies
-    keys = whole.select("id", "s1", F.explode("keys").alias("key"))
+    keys = whole.select("id", "n", "s1", F.explode("keys").alias("key"))
     region = work.cut(_regions(keys), "regions")
-    member = keys.join(if_small(region, SMALL), "key").join(copies.select("id", "s1"), ["id", "s1"], "left_anti")
-    member = work.cut(member.select("key", "id").distinct(), "members")
-    pivots = work.cut(member.groupBy("key").agg(F.min("id").alias("pivot")), "pivots")
-    base = work.cut(member.join(pivots, "key").where("id <> pivot"), "base")
-    pairs = work.cut(base.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    member = keys.join(if_small(region, SMALL), "key").join(if_small(copies.select("id"), SMALL), "id", "left_anti")
+    member = work.cut(member.select("key", "id", "n").distinct(), "members")
     work.drop("regions")
+    pivots = work.cut(member.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p")), "pivots")
+    base = member.join(pivots, "key").where("id <> p.id")
+    base = work.cut(base.select("key", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), "base")
     work.drop("members")
+    work.drop("pivots")
+    pairs = work.cut(base.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     work.tidy()
 
     texts = docs.where("id IS NOT NULL")
     known = _distances(work, texts, pairs, size, similar, "dist")
-    links = links.union(known.where("link").select("a", "b"))
+    label = components(work, known.where("link").select("a", "b"), "comp0")
     far = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
-    base = work.cut(base.join(far, ["id", "pivot"]).select("key", "id", "d"), "base0")
-    # of an id with several sets the parities say nothing
-    bits = work.cut(whole.join(several, "id", "left_anti").select("id", F.col("n").alias("m"), "bits").distinct(), "bits")
-    step, spread, radius = 0, 1, 1 - similar / 100 + 1e-9
-    label = components(work, links, "comp0")
-    while True:
-        # regions whose members aren't connected yet
-        rest = base.join(label, "id", "left").select("key", "id", "d", F.coalesce("component", "id").alias("c"))
-        rest = work.cut(rest, f"rest{step}")
-        apart = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        apart = work.cut(apart, f"apart{step}")
-        if not apart.limit(1).count():
-            break
-        step, spread = step + 1, spread * 8  # eight times as many pivots as in the round before
-        rest = work.cut(rest.join(apart, "key").join(bits, "id", "left"), f"open{step}")
-        cell = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(spread))
-        chosen = rest.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("id", "c", "d", "m", "bits")).alias("p"))
-        chosen = work.cut(chosen.select("key", F.col("p.id").alias("pivot"), F.col("p.c").alias("pc"), F.col("p.d").alias("pd"), F.col("p.m").alias("pm"), F.col("p.bits").alias("pbits")), f"pivots{step}")
-        # nor do their distances, the least of several, obey the triangle inequality
-        close = (F.abs(rest["d"] - chosen["pd"]) <= radius) | rest["m"].isNull() | chosen["pm"].isNull()
-        window = (rest["key"] == chosen["key"]) & (rest["c"] != chosen["pc"]) & close
-        near = rest.join(chosen, window & _may_link(rest["bits"], rest["m"], chosen["pbits"], chosen["pm"], similar))
-        pairs = near.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-        pairs = work.cut(pairs, f"pairs{step}")
+    cells = work.cut(base.join(far, ["id", "pivot"]).select("key", "id", "n", F.lit(True).alias("home"), "d"), "cells0")
+    for name in ("base", "pairs", "dist-d"):
+        work.drop(name)
+    step = 0
+    while (rest := _open_cells(work, cells, label, f"round{step}")) is not None:
+        work.drop(f"cells{step}")
+        step += 1
+        chosen, pairs = _pairs(rest, step, similar)
+        chosen, pairs = work.cut(chosen, f"pivots{step}"), work.cut(pairs, f"pairs{step}")
         known = _distances(work, texts, pairs, size, similar, f"dist{step}")
         label = _joined(work, label, known.where("link").select("a", "b"), f"comp{step}")
-        used = chosen.select("key", F.col("pivot").alias("id"))  # compared with all that they could link to
-        base = work.cut(rest.select("key", "id", "d").join(used, ["key", "id"], "left_anti"), f"base{step}")
+        large = rest.where(F.col("homes") > LEAF).limit(1).count()
+        if large:
+            cells = work.cut(_cells(rest, chosen, known, similar), f"cells{step}")
+        for name in (f"round{step - 1}-open", f"round{step - 1}-apart", f"pivots{step}", f"pairs{step}", f"dist{step}-d"):
+            work.drop(name)
         work.tidy()
+        if not large:
+            break
     head = label.withColumnRenamed("id", "first")
     others = copies.join(head, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
-    done = label.union(others).groupBy("id").agg(F.min("component").alias("component"))
-    return sets, work.cut(done, "components")
+    return sets.drop("keys"), work.cut(label.union(others), "components")
+
+
+def _numbered(df: DataFrame, ident, text_col: str, size: int, work: Workspace) -> DataFrame | None:
+    """Rows (vertex, id, text) with a vertex for each row that has an id, written to the
+    shared folder, if rows share an id; None if no id occurs twice."""
+    twice = df.where(ident.isNotNull()).groupBy(ident.alias("id")).count().where("count > 1")
+    if not twice.limit(1).count():
+        return None
+    vertex = F.when(ident.isNotNull(), F.monotonically_increasing_id())
+    rows = df.select(vertex.alias("vertex"), ident.alias("id"), F.col(text_col).alias("text"))
+    return work.cut(rows, "numbered")
+
+
+def _of_ids(work: Workspace, rows: DataFrame, label: DataFrame) -> DataFrame:
+    """(id, component) of ids whose rows are several vertices: rows with one id are linked."""
+    owner = rows.where("id IS NOT NULL").select("vertex", "id")
+    part = owner.join(label.withColumnRenamed("id", "vertex"), "vertex", "left").select("id", F.coalesce("component", "vertex").alias("part"))
+    part = work.cut(part.distinct(), "parts")
+    # ids that have a part in common are linked with the first of them
+    ids = part.groupBy("part").agg(F.min("id").alias("first"))
+    links = part.join(ids, "part").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    return components(work, links, "ids")
+
+
+def linked_ids(df: DataFrame, ident, text_col: str, size: int, similar: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(id, n) of each row, and (id, component) of all ids that links connect with another."""
+    rows = _numbered(df, ident, text_col, size, work)
+    if rows is None:
+        docs = df.select(ident.alias("id"), F.col(text_col).alias("text"))
+        sets, label = find_components(docs, size, similar, work)
+        return sets.select("id", "n"), label
+    sets, label = find_components(rows.select(F.col("vertex").alias("id"), "text"), size, similar, work)
+    label = _of_ids(work, rows, label)
+    sets = sets.withColumnRenamed("id", "vertex").join(rows.select("vertex", "id"), "vertex", "left").select("id", "n")
+    return work.cut(sets, "sizes"), label
 
 
 def jaccard_components(
@@ -350,23 +399,18 @@ def jaccard_components(
     """``df`` (or its columns ``keep``) with the size of its set and the smallest
     id that its links reach."""
     work = workspace or Workspace(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets, label = find_components(docs, size, similar, work)
+    ident = F.col(id_col).cast("long")
+    sets, label = linked_ids(df, ident, text_col, size, similar, work)
     if keep == [id_col]:
         out = sets.select(F.col("id").alias(id_col), F.col("n").alias(n_shingles)).join(label.withColumnRenamed("id", id_col), id_col, "left")
         return out.select(id_col, n_shingles, F.coalesce("component", id_col).alias(component))
-    top, ident, n = fresh(df, "component"), fresh(df, "id"), fresh(df, "n")
-    label = label.select(F.col("id").alias(ident), F.col("component").alias(top))
+    top, other, n = fresh(df, "component"), fresh(df, "id"), fresh(df, "n")
+    label = label.select(F.col("id").alias(other), F.col("component").alias(top))
     # sizes again from the row's own text: rows of one id may differ
-    sized = append_columns(df, lambda: _counts(text_col, size, n), {n: "long"})
-    out = sized.join(label, F.col(id_col).cast("long") == F.col(ident), "left")
+    sized = append_columns(df, lambda: lambda batch: {n: list(map(len, shingle_sets(raw_texts(batch, text_col), size)))}, {n: "long"})
+    out = sized.join(label, ident == F.col(other), "left")
     kept = [c for c in (keep or df.columns) if c.lower() not in (n_shingles.lower(), component.lower())]
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col(n).alias(n_shingles), F.coalesce(F.col(top), F.col(id_col).cast("long")).alias(component))
-
-
-def _counts(text_col: str, size: int, name: str):
-    known = WordHashes()
-    return lambda batch: {name: [len(shingles(t, size, known)) for t in raw_texts(batch, text_col)]}
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.col(n).alias(n_shingles), F.coalesce(F.col(top), ident).alias(component))
 
 
 def drop_linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similar: int = 80, workspace: Workspace | None = None) -> DataFrame:
@@ -376,22 +420,23 @@ def drop_linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     work = workspace or Workspace(df.sparkSession)
     gone, key = fresh(df, "gone"), fresh(df, "key")
     ident = F.col(id_col).cast("long")
-    docs = df.select(ident.alias("id"), F.col(text_col).alias("text"))
-    bare, salt = None, 0
+    bare, ids = None, df.where(ident.isNotNull())
     if df.where(ident.isNull()).limit(1).count():
         numbered = work.cut(df.where(ident.isNull()).withColumn(key, F.monotonically_increasing_id()), "bare")
-        while bare is None or bare.join(docs.select(F.col("id").alias(key)), key, "left_semi").limit(1).count() or bare.groupBy(key).count().where("count > 1").limit(1).count():
+        salt, taken = 0, ids.select(ident.alias(key))
+        while bare is None or bare.join(taken, key, "left_semi").limit(1).count() or bare.groupBy(key).count().where("count > 1").limit(1).count():
             bare, salt = numbered.withColumn(key, F.xxhash64(key, F.lit(salt))), salt + 1  # numbers that are no ids
-        docs = docs.where("id IS NOT NULL").union(bare.select(key, text_col))
-    _, label = find_components(docs, size, similar, work)
-    if bare is None:
-        lost = label.where("id <> component").select(F.col("id").alias(gone))
-    else:
+        ids = ids.select(ident.alias("id"), F.col(text_col).alias("text")).union(bare.select(key, text_col))
+        _, label = linked_ids(ids, F.col("id"), "text", size, similar, work)
         label = label.union(label.select(F.col("component").alias("id"), "component")).distinct()  # the least of copies may have no row
         label = label.join(bare.select(F.col(key).alias("id"), F.lit(1).alias("bare")), "id", "left").withColumn("bare", F.coalesce("bare", F.lit(0)))
         stays = label.groupBy("component").agg(F.min(F.struct("bare", "id"))["id"].alias("stays"))
         lost = label.join(stays, "component").where("id <> stays").select(F.col("id").alias(gone))
+    else:
+        _, label = linked_ids(ids, ident, text_col, size, similar, work)
+        lost = label.where("id <> component").select(F.col("id").alias(gone))
     lost = if_small(work.cut(lost, "lost"), SMALL)
+    work.drop("sets")
     if bare is None:
         return df.join(lost, ident == F.col(gone), "left_anti")
     kept = bare.join(lost, F.col(key) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

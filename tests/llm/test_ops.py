@@ -355,22 +355,61 @@ def test_drop_linked_null_ids(spark):
     assert got in ([3, 5, 8, 9, 10, 11], [3, 6, 8, 9, 10, 11])
 
 
-def test_projection_bound():
-    """Sets that link share a region, for pairs at the edge of what links."""
+def test_linked_sets_share_a_site():
+    """Pairs at the edge of what links, whatever the order of the shingles."""
     import numpy as np
 
     r = random.Random(9)
+    rare = jaccard_join.rarity(np.array([r.randint(0, 9) for _ in range(1 << jaccard_join.COUNTERS)]))
     for similar in (80, 90):
-        edges = jaccard_join.size_regions(similar)
         for _ in range(400):
             both = r.randint(1, 400)
             spare = (100 * both // similar) - both
             a = r.randint(0, spare)
             pool = np.array([r.getrandbits(64) for _ in range(both + spare)], np.uint64)
             x, y = np.unique(pool[: both + a]), np.unique(np.concatenate([pool[:both], pool[both + a :]]))
-            if len(x) != len(y) or (x != y).any():
-                kx, ky = (set(jaccard_join.projections(s, similar, edges).tolist()) for s in (x, y))
-                assert kx & ky
+            kx, ky = (set(jaccard_join.sites(s, similar, rare).tolist()) for s in (x, y))
+            assert kx & ky and len(kx) == len(x) - -(-similar * len(x) // 100) + 1
+
+
+def test_shingles_are_the_words():
+    """Equal shingles for equal words and only for these, at any length and place of a word."""
+    r = random.Random(3)
+    alphabet = ["a", "B", "é", "\0", "日本", "x" * 7, "y" * 8, "z" * 9, "q" * 300, " ", "\n", "\t", "\x0b", "\x1c", " "]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 12))) for _ in range(1500)]
+    for size in (1, 3):
+        got = jaccard_join.shingle_sets([t.encode() for t in texts], size)
+        meaning: dict[int, tuple] = {}
+        for t, s in zip(texts, got):
+            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+            n = min(size, len(w))
+            want = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+            assert len(s) == len(want) and (s[1:] > s[:-1]).all()
+            for k in want:
+                h = int(jaccard_join.shingles(" ".join(k).encode(), size)[0])
+                assert h in s and meaning.setdefault(h, k) == k
+
+
+def test_jaccard_voronoi_cells(spark, monkeypatch):
+    """Regions far larger than their pivots: sets that share a rare passage, at all distances."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard_join, "LEAF", 12)
+    r = random.Random(21)
+    shared = [f"p{k}" for k in range(12)]
+    rows = []
+    for k in range(150):
+        own = [f"o{r.randint(0, 3)}x{j}" for j in range(r.choice([2, 4, 8, 12]))]
+        rows.append((k, " ".join(shared[: r.randint(9, 12)] + own)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(docs(spark, rows), size=2, similar=80, keep=["doc_id"]).collect()}
+    assert got == brute_components(rows, 2, 80)
+
+
+def test_jaccard_query(spark, tmp_path):
+    """The registered query's rows, over a table of whole texts."""
+    rows = [r[:2] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.QUERIES["op8_jaccard_join"](spark, SMALL)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"] and dict(got.dtypes) == {c: "bigint" for c in got.columns}
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute_components([tuple(r) for r in rows], 3, 90)
 
 
 def test_jaccard_rows(odd, none):
@@ -470,24 +509,3 @@ def test_gif_rows(odd, none):
     for r in stored:
         assert gif_media.read_back(bytes(r.media))[0] == gif_media.padded((r.text or "").encode())
     assert gif_media.store_texts(none).count() == 0
-
-
-def test_parities_bound_the_difference(spark):
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    r = random.Random(11)
-    edges, rows = jaccard_join.size_regions(90), []
-    for _ in range(200):
-        n = r.randint(5, 2000)
-        x = np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64))
-        y = np.unique(np.concatenate([x[r.randint(0, n // 8) :], np.array([r.getrandbits(64) for _ in range(r.randint(0, n // 8))], np.uint64)]))
-        link = 100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y))
-        rows.append((jaccard_join.parities(x, 90, edges).tolist(), len(x), jaccard_join.parities(y, 90, edges).tolist(), len(y), bool(link)))
-    rows.append((jaccard_join.parities(x, 90, edges).tolist(), n, jaccard_join.parities(x[:0], 90, edges).tolist(), 0, False))
-    df = spark.createDataFrame(rows, "a array<long>, na int, b array<long>, nb int, link boolean")
-    got = df.withColumn("may", jaccard_join._may_link(*(F.col(c) for c in ("a", "na", "b", "nb")), 90)).collect()
-    assert all(g.may for g in got if g.link) and any(g.link for g in got)
-    far = spark.createDataFrame([(jaccard_join.parities(np.arange(s, s + 400).astype(np.uint64), 90, edges).tolist(), 400) for s in (0, 1000)], "a array<long>, n int").collect()
-    one = spark.createDataFrame([(far[0].a, 400, far[1].a, 400)], "a array<long>, na int, b array<long>, nb int")
-    assert not one.select(jaccard_join._may_link(*(F.col(c) for c in ("a", "na", "b", "nb")), 90).alias("m")).first().m
