@@ -122,6 +122,8 @@ def append_columns(
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             arrays += [x if isinstance(x := out[k], pa.Array) else pa.array(x, kind) for k, kind in kinds.items()]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, *kinds])
+            del batch, out, arrays
+        pa.default_memory_pool().release_unused()  # workers live on
 
     ship(df.sparkSession)
     bound_batches(df.sparkSession)

@@ -11,15 +11,18 @@ then recovered backwards from the end.
 
 Texts are cut where no piece can reach across: before a run of spaces, and
 around characters that are in no longer piece.  A segment is encoded once and
-kept in a bounded table of each Python worker.
+kept in a table of each Python worker, which is bounded in entries and, as long
+segments aren't kept, in bytes (about 50 MB).
 
 Defined results
 ---------------
 * null and empty texts have only the begin and end ids and decode to "";
 * characters without a piece become their UTF-8 byte pieces, or the unknown
   id if the model has none;
-* each row is encoded by itself, so repeated rows and null ids do no harm;
-* extra columns pass through.
+* very long texts are encoded whole, segment by segment;
+* each row is encoded by itself, so ties, repeated rows and null ids do no harm;
+* an empty table gives an empty result; extra columns pass through, but for those
+  named as a new one, which are replaced.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ SPACE = "▁"
 class PieceModel:
     """A merge-type SentencePiece model, read by the library; encodes and decodes itself."""
 
-    #: Segments kept in each of two generations.
-    KEPT = 200_000
+    #: Segments kept in each of two generations, the longest of them, and pairs of tokens kept.
+    KEPT, LONGEST, PAIRS = 65_536, 64, 200_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -63,8 +66,8 @@ class PieceModel:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.cut = self._cuts()
-        self.new: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.new: dict[str, tuple[bytes, str | None]] = {}
+        self.old: dict[str, tuple[bytes, str | None]] = {}
 
     def _cuts(self) -> re.Pattern:
         """A pattern of segments between which no piece of the model can reach."""
@@ -105,7 +108,7 @@ class PieceModel:
                 if start and before >= 0:  # a character without a piece merges with nothing
                     known = pairs.get(before << 32 | i)
                     if known is None:
-                        if len(pairs) > 500_000:
+                        if len(pairs) > self.PAIRS:
                             pairs.clear()
                         known = pairs[before << 32 | i] = self.compatible(piece[before], piece[i])
                     if not known:
@@ -119,17 +122,18 @@ class PieceModel:
         out.reverse()
         return out
 
-    def segment(self, text: str) -> tuple[bytes, str]:
-        """A segment's ids as little-endian integers, and what they decode to."""
+    def segment(self, text: str) -> tuple[bytes, str | None]:
+        """A segment's ids as little-endian integers, and what they decode to if that isn't the segment."""
         found = self.new.get(text) or self.old.get(text)
         if found is None:
             ids = self.tokens(text)
             if -1 in ids:
                 ids = self._fallback(text, ids)
-            found = struct.pack(f"<{len(ids)}I", *ids), self.joined(ids)
+            decoded = self.joined(ids)
+            found = struct.pack(f"<{len(ids)}I", *ids), None if decoded == text.replace(SPACE, " ") else decoded
         if len(self.new) >= self.KEPT:
             self.old, self.new = self.new, {}
-        if len(text) <= 64:
+        if len(text) <= self.LONGEST:
             self.new[text] = found
         return found
 
@@ -167,8 +171,11 @@ class PieceModel:
         if not text:
             return b"", ""
         got = self.new.get
-        parts = [got(s) or self.segment(s) for s in self.cut.findall(SPACE + text.replace(" ", SPACE))]
-        decoded = "".join([d for _, d in parts])
+        segments = self.cut.findall(SPACE + text.replace(" ", SPACE))
+        parts = [got(s) or self.segment(s) for s in segments]
+        if all([d is None for _, d in parts]):
+            return b"".join([i for i, _ in parts]), text.replace(SPACE, " ")
+        decoded = "".join([s.replace(SPACE, " ") if d is None else d for s, (_, d) in zip(segments, parts)])
         return b"".join([i for i, _ in parts]), decoded[1:] if decoded[:1] == " " else decoded
 
     def encode(self, text: str) -> list[int]:
@@ -206,9 +213,9 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def encode_documents(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """``df`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if
-    ``keep_ids``, ``ids`` (binary, little-endian 32-bit) and ``decoded``.
+def encode_documents(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
+    """``df`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked for,
+    ``ids`` (binary, little-endian 32-bit) and ``decoded``.
 
     ``path`` is the model's path on every executor.
     """
@@ -227,6 +234,7 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", keep_ids:
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
                     out["ids"].append(ids)
+                if keep_decoded:
                     out["decoded"].append(decoded)
             return out
 
@@ -234,7 +242,9 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", keep_ids:
 
     fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     if keep_ids:
-        fields |= {"ids": "binary", "decoded": "string"}
+        fields["ids"] = "binary"
+    if keep_decoded:
+        fields["decoded"] = "string"
     return append_columns(df, make, fields)
 
 
@@ -246,6 +256,4 @@ def default_model() -> str:
 
 def op3_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_documents(docs, default_model(), keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-
-
+    return encode_documents(docs, default_model(), keep_ids=False, keep_decoded=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
