@@ -51,7 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = piece_bpe.encode_documents(docs, piece_bpe.default_model(), keep_ids=True)
+    done = piece_bpe.encode_documents(docs, piece_bpe.default_model(), keep_ids=True, keep_decoded=False)
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
