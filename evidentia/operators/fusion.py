@@ -74,12 +74,10 @@ def rerank(fused: DataFrame, pair: str | None, k: int, base: str = "hybrid_score
     the tail keeps a share of its score.  Without pair scores all pass through."""
     if pair is None:
         return fused.withColumns({"rerank_score": F.lit(0.0), "final_retrieval_score": F.col(base)})
-    rn = F.row_number().over(Window.orderBy(F.desc(base), F.asc("cid")))
-    marked = fused.withColumn("_head", rn <= k)
-    ends = marked.where("_head").agg(F.min(pair).alias("_lo"), F.max(pair).alias("_hi"))  # one row
+    head = fused.orderBy(F.desc(base), F.asc("cid")).limit(k)
+    ends = head.agg(F.min(pair).alias("_lo"), F.max(pair).alias("_hi"))  # one row
     norm = F.coalesce((F.col(pair) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9)), F.lit(0.0))
     blend = s.rerank_keep * F.col(base) + (1 - s.rerank_keep) * norm
-    out = marked.crossJoin(F.broadcast(ends))
-    out = out.withColumn("rerank_score", F.when(F.col("_head"), _rounded(norm, digits)).otherwise(0.0))
-    out = out.withColumn("final_retrieval_score", F.when(F.col("_head"), _rounded(blend, digits)).otherwise(s.tail_factor * F.col(base)))
-    return out.drop("_head", "_lo", "_hi")
+    best = head.crossJoin(F.broadcast(ends)).withColumns({"rerank_score": _rounded(norm, digits), "final_retrieval_score": _rounded(blend, digits)}).drop("_lo", "_hi")
+    tail = fused.join(F.broadcast(head.select("cid")), "cid", "left_anti")  # k rows
+    return best.unionByName(tail.withColumns({"rerank_score": F.lit(0.0), "final_retrieval_score": s.tail_factor * F.col(base)}))

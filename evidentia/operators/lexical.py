@@ -3,7 +3,12 @@
 The index is two tables, postings (term, doc, tf, dl, cid, weight) and
 documents (doc, cid, weight, section, dl), plus one row of corpus statistics.
 Postings carry the document's length, owner and weight, so a query needs one
-join with the handful of its terms and one aggregation by document.
+join with the handful of its terms and one aggregation by document.  An index
+that isn't stored is asked by its tokens: those that aren't in the query go
+before anything is counted, so no posting of another term is ever made.
+
+Scores are summed as decimals: their sums don't depend on the order, so partial
+sums are taken before each shuffle and equal inputs give bitwise equal scores.
 """
 
 from __future__ import annotations
@@ -22,6 +27,15 @@ class LexicalIndex:
     postings: DataFrame  # term, doc, cid, weight, tf, dl
     documents: DataFrame  # doc, cid, weight, section, dl
     corpus: DataFrame  # n, avgdl
+    tokens: DataFrame | None = None  # doc, cid, weight, dl, tokens; of an index that isn't stored
+
+    def matches(self, terms: DataFrame) -> DataFrame:
+        """The postings of the query's terms, with the terms' columns."""
+        asked = F.broadcast(terms)  # a query's terms: a few rows
+        if self.tokens is None:
+            return self.postings.join(asked, "term")
+        hits = self.tokens.select("doc", "cid", "weight", "dl", F.explode("tokens").alias("term")).join(asked, "term")
+        return hits.groupBy("doc", "cid", "weight", "dl", *terms.columns).agg(F.count("*").alias("tf"))
 
     def save(self, path: str, buckets: int = 0) -> None:
         """As parquet; postings in order of terms, so that a query skips row groups."""
@@ -35,22 +49,15 @@ class LexicalIndex:
 
 
 def build_index(chunks: DataFrame, doc: str = "doc", cid: str = "cid", weight: str = "weight", section: str | None = None, text: str = "text") -> LexicalIndex:
-    """From chunks of text.  Term frequencies are counted inside each row, so
-    indexing needs no shuffle; a text without tokens has length 0 and no postings."""
+    """From chunks of text.  Term frequencies are counted by hash, in the task that
+    holds the chunk first; a text without tokens has length 0 and no postings."""
     sec = F.col(section) if section else F.lit(None).cast("string")
     base = chunks.select(F.col(doc).alias("doc"), F.col(cid).alias("cid"), F.col(weight).cast("double").alias("weight"), sec.alias("section"), tokens(F.col(text)).alias("tokens"))
     sized = base.withColumn("dl", F.size("tokens").cast("long"))
-    # counting tokens inside the row: sort, then the ends of runs
-    ordered = sized.withColumn("sorted", F.array_sort("tokens"))
-    distinct = ordered.withColumn("terms", F.array_distinct("sorted"))
-    first = F.transform("terms", lambda t: F.array_position("sorted", t))
-    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array((F.col("dl") + 1).cast("long")))
-    counted = distinct.withColumn("starts", first).withColumn("tf", F.zip_with(ends, "starts", lambda a, b: a - b))
-    postings = counted.select("doc", "cid", "weight", "dl", F.explode(F.arrays_zip("terms", "tf")).alias("p"))
-    postings = postings.select(F.col("p.terms").alias("term"), "doc", "cid", "weight", F.col("p.tf").alias("tf"), "dl")
+    postings = sized.select("doc", "cid", "weight", "dl", F.explode("tokens").alias("term")).groupBy("doc", "cid", "weight", "dl", "term").agg(F.count("*").alias("tf"))
     documents = sized.select("doc", "cid", "weight", "section", "dl")
     corpus = documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(postings, documents, corpus)
+    return LexicalIndex(postings.select("term", "doc", "cid", "weight", "tf", "dl"), documents, corpus, sized.drop("section"))
 
 
 def query_terms(spark: SparkSession, text: str) -> DataFrame:
@@ -64,32 +71,38 @@ def query_terms(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "term string, qtf int, pos int")
 
 
+def exact_sum(value: Column) -> Column:
+    """A sum of doubles that doesn't depend on their order, to fifteen decimals."""
+    return F.sum(value.cast("decimal(28,15)")).cast("double")
+
+
 def bm25(index: LexicalIndex, terms: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(doc, cid, weight, score) of the documents with a score above zero.
 
-    Terms with an idf below the least are dropped.  A document's terms are added
-    in the query's order, so equal inputs give bitwise equal scores.
+    Terms with an idf below the least are dropped.
     """
-    mine = index.postings.join(F.broadcast(terms), "term")  # the query's terms: a few rows
-    df = mine.groupBy("term").agg(F.count("*").alias("df"))
+    mine = index.matches(terms)
+    df = mine.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # asks for tf, so that both uses share one shuffle
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     rated = df.crossJoin(F.broadcast(index.corpus)).withColumn("idf", idf).where(F.col("idf") >= s.least_idf)
     norm = F.col("tf") + s.k1 * (1 - s.b) + (s.k1 * s.b) / F.col("avgdl") * F.col("dl")
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (s.k1 + 1)) / norm
-    scored = mine.join(F.broadcast(rated.select("term", "idf", "avgdl")), "term").select("doc", "cid", "weight", F.struct("pos", part.alias("v")).alias("part"))
-    total = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda acc, x: acc + x["v"])
-    return scored.groupBy("doc", "cid", "weight").agg(total.alias("score")).where("score > 0")
-
-
-def by_owner(scored: DataFrame, documents: DataFrame | None = None, score: str = "score") -> DataFrame:
-    """(cid, score, top_chunks): weighted sums over each owner's chunks, and its
-    five best chunks by score."""
-    value = F.col(score) * F.col("weight")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("neg"), F.col("doc")))), 1, 5)
-    parts = F.array_sort(F.collect_list(F.struct(F.col("doc"), value.alias("v"))))
-    total = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x["v"])
-    top = F.transform(best, lambda x: F.struct(x["doc"].alias("doc"), (-x["neg"]).alias("score")))
-    return scored.groupBy("cid").agg(total.alias("score"), top.alias("top_chunks"))
+    scored = mine.join(F.broadcast(rated.select("term", "idf", "avgdl")), "term").select("doc", "cid", "weight", part.alias("part"))
+    return scored.groupBy("doc", "cid", "weight").agg(exact_sum(F.col("part")).alias("score")).where("score > 0")
+
+
+def by_owner(scored: DataFrame, score: str = "score", chunks: int = 5) -> DataFrame:
+    """(cid, score, top_chunks): weighted sums over each owner's chunks, and its best
+    chunks by score; without the latter if ``chunks`` is 0.
+
+    No owner's chunks are gathered: sums are partial, and the window keeps the best of each task first.
+    """
+    total = scored.groupBy("cid").agg(exact_sum(F.col(score) * F.col("weight")).alias("score"))
+    if not chunks:
+        return total
+    best = top_per_group(scored, "cid", chunks, F.col(score), "doc").select("cid", F.struct("rn", "doc", F.col(score).alias("score")).alias("x"))
+    listed = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["doc"].alias("doc"), x["score"].alias("score")))
+    return total.join(best.groupBy("cid").agg(listed.alias("top_chunks")), "cid")
 
 
 def boosted(ranked: DataFrame, chunks: DataFrame, must: tuple[str, ...], titles: tuple[str, ...], k: int) -> DataFrame:

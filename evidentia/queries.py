@@ -43,7 +43,7 @@ def _bm25(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _owners(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.by_owner(_bm25(spark, d)).drop("top_chunks")
+    return lexical.by_owner(_bm25(spark, d), chunks=0)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ def _asked(spark: SparkSession, d: str):
 
 
 def _dense_owners(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.by_owner(dense.search(_vectors(spark, d), _asked(spark, d), 5 * K)).drop("top_chunks")
+    return lexical.by_owner(dense.search(_vectors(spark, d), _asked(spark, d), 5 * K), chunks=0)
 
 
 def _r(*columns: str, digits: int = 6) -> dict:
