@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +21,17 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(package.parent))
     sc.addPyFile(str(archive))
     sc._evidentia_shipped = True
+
+
+#: Bytes below which a file is likely to be a single row group, and so a single task.
+ONE_TASK = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if what it reads is so small that one task would get it all.
+
+    Larger tables are read as they lie, without a shuffle.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= ONE_TASK:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

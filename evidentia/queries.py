@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .cluster import spread
 from .config import DEFAULT, EVIDENCE
 from .functions.numeric import between, clamp
 from .functions.text import contacts, jaccard, matched, pack_chunks, sentences, tokens
@@ -29,9 +30,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
+    """A table whose rows take long, on all cores."""
+    return spread(_t(spark, d, name))
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     weight = F.when(F.col("lang") == "en", 1.2).when(F.col("lang") == "de", 1.0).otherwise(0.8)
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("cid"), weight.alias("weight"), "text", "lang")
+    return _texts(spark, d).select(F.col("doc_id").alias("doc"), F.col("source").alias("cid"), weight.alias("weight"), "text", "lang")
 
 
 def _query(spark: SparkSession, d: str) -> str:
@@ -68,7 +74,7 @@ def _r(*columns: str, digits: int = 6) -> dict:
 
 def tokenize_stats(spark, d):
     n = F.size(tokens(F.col("text")))
-    return _t(spark, d, "documents").select("doc_id", n.cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens(F.col("text")))).cast("long").alias("n_distinct"))
+    return _texts(spark, d).select("doc_id", n.cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens(F.col("text")))).cast("long").alias("n_distinct"))
 
 
 def corpus_stats(spark, d):
@@ -81,22 +87,22 @@ def term_df_topk(spark, d):
 
 
 def sentence_split(spark, d):
-    s = _t(spark, d, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    s = _texts(spark, d).select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
     return s.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
 def sentence_chunks(spark, d):
-    c = _t(spark, d, "documents").select("doc_id", F.posexplode(pack_chunks(F.col("text"), 512)).alias("part", "chunk"))
+    c = _texts(spark, d).select("doc_id", F.posexplode(pack_chunks(F.col("text"), 512)).alias("part", "chunk"))
     return c.select("doc_id", F.col("part").cast("long").alias("part"), F.md5("chunk").alias("chunk_md5"), F.length("chunk").cast("long").alias("size"))
 
 
 def keyword_match(spark, d):
     m = matched(F.lower("text"), WORDS)
-    return _t(spark, d, "documents").select("doc_id", F.array_join(m, ",").alias("keywords"), F.size(m).cast("long").alias("n"))
+    return _texts(spark, d).select("doc_id", F.array_join(m, ",").alias("keywords"), F.size(m).cast("long").alias("n"))
 
 
 def evidence_piecewise(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    rows = _texts(spark, d).select("doc_id", F.lower("text").alias("low"))
     hits = {g: F.size(matched(F.col("low"), words)) for g, (words, _) in GROUPS.items()}
     total = sum((checks.evidence_level(hits[g]) * w for g, (_, w) in GROUPS.items()), F.lit(0.0))
     return rows.select("doc_id", *[h.cast("long").alias(f"hits_{g}") for g, h in hits.items()], F.round(F.least(F.lit(1.0), total), 6).alias("score"))
@@ -104,7 +110,7 @@ def evidence_piecewise(spark, d):
 
 def contact_extract(spark, d):
     found = contacts(F.col("text"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
-    return _t(spark, d, "documents").select("doc_id", F.array_join(found, ",").alias("emails"), F.size(found).cast("long").alias("n")).where("n > 0")
+    return _texts(spark, d).select("doc_id", F.array_join(found, ",").alias("emails"), F.size(found).cast("long").alias("n")).where("n > 0")
 
 
 def text_truncation(spark, d):
@@ -298,7 +304,7 @@ def label_metrics(spark, d):
 
 def explain_template(spark, d):
     w = tokens(F.col("text"))
-    base = _t(spark, d, "documents").select("doc_id", F.slice(F.array_distinct(w), 1, 5).alias("w"), (F.size(w) % 9).alias("must"), (F.size(w) % 12).cast("double").alias("years"), (F.length("text") % 5).alias("stack"))
+    base = _texts(spark, d).select("doc_id", F.slice(F.array_distinct(w), 1, 5).alias("w"), (F.size(w) % 9).alias("must"), (F.size(w) % 12).cast("double").alias("years"), (F.length("text") % 5).alias("stack"))
     seed = explain.seed_of(F.col("must"), F.col("years"), F.col("stack"))
     signal = explain.first_largest([("skills", F.col("must") * 1.5), ("tech", F.col("stack") * 2.0), ("career", F.lit(3.5)), ("experience", F.least(F.lit(1.0), F.col("years") / 10) * 4)])
     partial = explain.concern(seed, F.lit(None).cast("string"), F.col("must"))
@@ -330,7 +336,7 @@ def parsed_queries(spark, d):
 
 def evidence_terms(spark, d):
     """Hits of the engine's own evidence lists in documents."""
-    rows = _t(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    rows = _texts(spark, d).select("doc_id", F.lower("text").alias("low"))
     hits = {c: F.size(matched(F.col("low"), terms)) for c, (terms, _) in DEFAULT.evidence.items()}
     return rows.select("doc_id", *[h.cast("long").alias(c) for c, h in hits.items()]).where(" + ".join(hits) + " > 0")
 
@@ -416,7 +422,7 @@ SELECT cid AS source, round(CASE WHEN rn <= 2000 THEN score * (1 + 0.15 * coales
     "fusion_rrf": f"""WITH {_BM25}, {_DENSE}, a AS (SELECT cid, row_number() OVER (ORDER BY round(score, 6) DESC, cid) AS r FROM lex), b AS (SELECT cid, row_number() OVER (ORDER BY round(score, 6) DESC, cid) AS r FROM sem)
 SELECT cid AS source, round(sum(1.0::DOUBLE / (60 + r)), 8) AS rrf_score FROM (SELECT * FROM a WHERE r <= {K} UNION ALL SELECT * FROM b WHERE r <= {K}) GROUP BY cid""",
     "rerank_blend": f"""WITH {_FUSED}, qt AS (SELECT list_distinct({_TEXT}) AS q FROM benchmark WHERE item_id = 0),
-pr AS (SELECT cid, max(len(list_intersect(list_distinct(w), q)) / len(list_distinct(list_concat(w, q)))) AS pair FROM d, qt WHERE doc < 500 GROUP BY cid),
+pr AS (SELECT cid, max(len(list_intersect(list_distinct(w), q)) / len(list_distinct(list_concat(w, q)))) AS pair FROM d, qt GROUP BY cid),
 b AS (SELECT fused.cid, round(hybrid_score, 5) AS h, pair, row_number() OVER (ORDER BY round(hybrid_score, 5) DESC, fused.cid) <= 10 AS head FROM fused LEFT JOIN pr USING (cid)),
 e AS (SELECT min(pair) AS lo, max(pair) AS hi FROM b WHERE head), n AS (SELECT *, coalesce((pair - lo) / greatest(hi - lo, 1e-9), 0) AS norm FROM b, e)
 SELECT cid AS source, round(CASE WHEN head THEN norm ELSE 0 END, 5)::DOUBLE AS rerank_score, round(CASE WHEN head THEN 0.7 * h + 0.3 * norm ELSE 0.8 * h END, 5)::DOUBLE AS final_retrieval_score FROM n""",
