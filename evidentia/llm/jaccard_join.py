@@ -19,8 +19,9 @@ coarse pivots to fine ones, and each step is exact:
    order that are nearer than ``d + 2r``.  By the triangle inequality one of two linked
    members then is at home where the other one is home or guest, so guests need
    not meet guests.  Regions of up to ``LEAF`` members need no cells: each is
-   compared with each, unless they are connected already, their sizes differ too
-   much or their distances to the last pivot differ by more than the radius.
+   compared with each, unless they are connected already or can't link by their sizes,
+   their distances to the last pivot or their sketches (512 parities, which differ in
+   at most as many bits as the sets in elements).  Sizes and sketches also spare stars.
 
 Pivots that are whole documents can't begin the join: unrelated texts are at a
 distance of nearly 1 from all of them, so every window would hold nearly
@@ -111,6 +112,15 @@ def sites(h: np.ndarray, similar: int, rare: np.ndarray) -> np.ndarray:
     return np.partition(key, least - 1)[:least]
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A bit for each of 512 classes of shingles: whether the set has an odd number of them.
+
+    Two sketches differ in at most as many bits as the sets do in elements.
+    """
+    odd = np.bincount(((h >> np.uint64(16)) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def count_places(docs: DataFrame, size: int) -> np.ndarray:
     """How many shingles of all sets fall on each counter; a task sums up its own first."""
 
@@ -131,8 +141,8 @@ def count_places(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(df: DataFrame, size: int, similar: int, rare) -> DataFrame:
-    """``df`` (with text) with n (shingles), s1 and s2 (hash of the set) and keys (its
-    sites); ``rare`` is the broadcast order."""
+    """``df`` (with text) with n (shingles), s1 and s2 (hash of the set), its sketch and
+    keys (its sites); ``rare`` is the broadcast order."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, list]:
@@ -144,12 +154,13 @@ def _sets(df: DataFrame, size: int, similar: int, rare) -> DataFrame:
                 "n": list(map(len, sets)),
                 "s1": [int(mix(h).sum(dtype=np.uint64).astype(np.int64)) for h in sets],
                 "s2": [int(mix(h ^ _A).sum(dtype=np.uint64).astype(np.int64)) for h in sets],
+                "sketch": [sketch(h) for h in sets],
                 "keys": pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64), pa.int64())),
             }
 
         return work
 
-    return append_columns(df, make, {"n": "long", "s1": "long", "s2": "long", "keys": "array<long>"})
+    return append_columns(df, make, {"n": "long", "s1": "long", "s2": "long", "sketch": "array<long>", "keys": "array<long>"})
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -239,18 +250,24 @@ def _distances(work: Workspace, texts: DataFrame, pairs: DataFrame, size: int, s
     return done
 
 
+def _may_link(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches leave it possible that they link."""
+    for c in "ab":
+        own = sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        pairs = pairs.join(own, c)
+    apart = sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(8)), F.lit(0))
+    sizes = 100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")
+    return pairs.where(sizes & (apart * (100 + similar) <= (100 - similar) * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
 def _regions(keys: DataFrame) -> DataFrame:
     """One site for each set of members that has different sets in it.
 
     Near copies share most of their sites, so many regions have the same members;
-    a count and two sums of hashes of the members tell which.
+    their number, two of them and the exclusive or of hashes of all tell which.
     """
-    one, two = F.xxhash64("id", "s1"), F.xxhash64("s1", "id")
-    by_key = keys.groupBy("key").agg(
-        F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count("*").alias("k"),
-        F.sum(F.shiftright(one, 24)).alias("f1"), F.sum(F.shiftright(two, 24)).alias("f2"),
-    )
-    return by_key.where("lo <> hi").groupBy("k", "f1", "f2").agg(F.min("key").alias("key")).select("key")
+    by_key = keys.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("id", "s1")).alias("x"))
+    return by_key.where("lo <> hi").groupBy("lo", "hi", "k", "x").agg(F.min("key").alias("key")).select("key")
 
 
 def _open_cells(work: Workspace, cells: DataFrame, label: DataFrame, name: str) -> DataFrame | None:
@@ -266,18 +283,19 @@ def _open_cells(work: Workspace, cells: DataFrame, label: DataFrame, name: str)
     return done
 
 
-def _pairs(cells: DataFrame, step: int, similar: int) -> tuple[DataFrame, DataFrame]:
-    """(key, pivot, ...) with pivots of those at home in each cell (all of a small one), and the pairs to
-    compare: all of a large cell's members with its pivots, of a small one those that may link."""
+def _pairs(cells: DataFrame, sets: DataFrame, step: int, similar: int) -> tuple[DataFrame, DataFrame]:
+    """(key, pivot) with pivots of those at home in each cell (all of a small one), and the
+    pairs to compare: all of a large cell's members with its pivots, of a small one those that may link."""
     bucket = F.when(F.col("homes") <= LEAF, F.col("id")).otherwise(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(PIVOTS)))
     chosen = cells.where("home").groupBy("key", bucket.alias("bucket")).agg(F.min(F.struct("id", "n", "c", "d")).alias("p"))
     chosen = chosen.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), F.col("p.d").alias("pd"))
-    radius = 1 - similar / 100 + 1e-9
     sizes = 100 * F.least("n", "pn") >= similar * F.greatest("n", "pn")
-    window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= radius, F.lit(True))
-    may = (F.col("homes") > LEAF) | ((F.col("c") != F.col("pc")) & sizes & window)
-    met = cells.join(chosen, "key").where((F.col("id") != F.col("pivot")) & may)
-    return chosen, met.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+    window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 1 - similar / 100 + 1e-9, F.lit(True))
+    met = cells.join(chosen, "key").where(F.col("id") != F.col("pivot"))
+    pair = (F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
+    small = met.where((F.col("homes") <= LEAF) & (F.col("c") != F.col("pc")) & sizes & window).select(*pair).distinct()
+    large = met.where(F.col("homes") > LEAF).select(*pair).distinct()
+    return chosen.select("key", "pivot"), _may_link(small, sets, similar).union(large).distinct()
 
 
 def _cells(cells: DataFrame, chosen: DataFrame, known: DataFrame, similar: int) -> DataFrame:
@@ -298,7 +316,7 @@ def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -
     of each row, and (id, component) of all that link."""
     ship(docs.sparkSession)
     rare = docs.sparkSession.sparkContext.broadcast(rarity(count_places(docs, size)))
-    sets = work.cut(_sets(docs, size, similar, rare).select("id", "n", "s1", "s2", "keys"), "sets")
+    sets = work.cut(_sets(docs, size, similar, rare).select("id", "n", "s1", "s2", "sketch", "keys"), "sets")
 
     # equal sets: one representative each
     whole = sets.where("n > 0 AND id IS NOT NULL")
@@ -316,24 +334,25 @@ def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -
     work.drop("regions")
     pivots = work.cut(member.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p")), "pivots")
     base = member.join(pivots, "key").where("id <> p.id")
-    base = work.cut(base.select("key", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), "base")
+    base = work.cut(base.select("key", "id", "n", F.col("p.id").alias("pivot")), "base")
     work.drop("members")
     work.drop("pivots")
-    pairs = work.cut(base.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    pairs = base.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = work.cut(_may_link(pairs, whole, similar), "pairs")
     work.tidy()
 
     texts = docs.where("id IS NOT NULL")
     known = _distances(work, texts, pairs, size, similar, "dist")
     label = components(work, known.where("link").select("a", "b"), "comp0")
     far = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
-    cells = work.cut(base.join(far, ["id", "pivot"]).select("key", "id", "n", F.lit(True).alias("home"), "d"), "cells0")
+    cells = work.cut(base.join(far, ["id", "pivot"], "left").select("key", "id", "n", F.lit(True).alias("home"), "d"), "cells0")
     for name in ("base", "pairs", "dist-d"):
         work.drop(name)
     step = 0
     while (rest := _open_cells(work, cells, label, f"round{step}")) is not None:
         work.drop(f"cells{step}")
         step += 1
-        chosen, pairs = _pairs(rest, step, similar)
+        chosen, pairs = _pairs(rest, whole, step, similar)
         chosen, pairs = work.cut(chosen, f"pivots{step}"), work.cut(pairs, f"pairs{step}")
         known = _distances(work, texts, pairs, size, similar, f"dist{step}")
         label = _joined(work, label, known.where("link").select("a", "b"), f"comp{step}")

@@ -390,6 +390,18 @@ def test_shingles_are_the_words():
                 assert h in s and meaning.setdefault(h, k) == k
 
 
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    r = random.Random(11)
+    for n in (1, 5, 60, 400, 3000):
+        for _ in range(40):
+            x = np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64))
+            y = np.unique(np.concatenate([x[r.randint(0, n // 4) :], np.array([r.getrandbits(64) for _ in range(r.randint(0, n // 4))], np.uint64)]))
+            bits = sum(int(b).bit_count() for b in (jaccard_join.sketch(x) ^ jaccard_join.sketch(y)).view(np.uint64))
+            assert bits <= len(np.setxor1d(x, y)) and jaccard_join.overlap(x, y) == len(np.intersect1d(x, y))
+
+
 def test_jaccard_voronoi_cells(spark, monkeypatch):
     """Regions far larger than their pivots: sets that share a rare passage, at all distances."""
     monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
