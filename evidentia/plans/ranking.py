@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import DEFAULT, Settings
+from ..config import DEFAULT, DEFAULT_QUERY, Settings
 from ..operators import dense, explain, features, fusion, lexical, model
 from ..operators.checks import with_checks
 from ..sources import candidates as source
 from ..sources.profile import evidence_chunks, profiles
 from .query import ParsedQuery, parse_query
+from .resume import FORMATS, uploads
 
 RESULT = (
     "candidate_id", "name", "current_title", "final_score", "rule_score", "model_score", "legacy_score", "retrieval_score", "lexical_score",
@@ -137,16 +138,12 @@ class Engine:
         """Load, index and rank a file of records."""
         return self.index(source.read_jsonl(self.spark, path)).rank(query, k, **options)
 
-    def ingest_documents(self, files: DataFrame, query: str, top_n: int = 10, **options) -> tuple[DataFrame, DataFrame]:
-        """Rank uploaded résumé files (``binaryFile`` rows).  Gives the ranking of 5 to 50
-        rows and the files that couldn't be read."""
-        from .resume import file_texts, structure_column
-
-        read = file_texts(files)
-        good = source.with_upload_ids(read.where("error IS NULL AND text <> ''").select("path", "text"), "path")
-        raw = structure_column(good, "candidate_id", "text")
-        ranking = self.index(raw).rank(query, max(5, min(50, top_n)), **options)
-        return ranking, read.where("error IS NOT NULL OR text = ''").select("path", F.coalesce("error", F.lit("no text")).alias("error"))
+    def ingest_documents(self, files: DataFrame, query: str = "", top_n: int = 10, formats: tuple[str, ...] = FORMATS, **options) -> tuple[DataFrame, DataFrame]:
+        """Rank uploaded files (``binaryFile`` rows): résumés, and JSON with any number of
+        records.  Gives the ranking of 5 to 50 rows and the files that gave no record;
+        without a query the default one is asked."""
+        raw, errors = uploads(files, formats)
+        return self.index(raw).rank(query.strip() or DEFAULT_QUERY, max(5, min(50, top_n)), **options), errors
 
     def training_rows(self, as_of: str) -> DataFrame:
         """(features, label) of all candidates, scored against the engine's own lists."""
@@ -156,9 +153,12 @@ class Engine:
         return out.select("candidate_id", model.feature_vector().alias("features"), model.pseudo_label().alias("label"))
 
 
+def scan_scores(people: DataFrame, as_of: str, s: Settings = DEFAULT) -> DataFrame:
+    """Profiles and the legacy score, without retrieval."""
+    return features.with_features(people, features.Lists(s.keywords.must, s.keywords.nice), as_of, s)
+
+
 def scan_top(people: DataFrame, k: int, as_of: str, s: Settings = DEFAULT) -> DataFrame:
-    """The best ``k`` profiles by the legacy score alone, without retrieval; only
-    they are explained."""
-    scored = features.with_features(people, features.Lists(s.keywords.must, s.keywords.nice), as_of, s)
-    best = scored.orderBy(F.desc("legacy_score"), F.asc("candidate_id")).limit(k)
+    """The best ``k`` profiles by the legacy score alone; only they are explained."""
+    best = scan_scores(people, as_of, s).orderBy(F.desc("legacy_score"), F.asc("candidate_id")).limit(k)
     return lexical.ranked(best.withColumn("reasoning", explain.short_reasoning()), "legacy_score", "candidate_id")

@@ -26,20 +26,34 @@ def schema() -> T.StructType:
     return T._parse_datatype_string(SCHEMA_DDL)
 
 
-#: The key of the behaviour record has a vendor's prefix, such as ``x_signals``; all are read as ``signals``.
-SIGNALS_KEY, SIGNALS = r'"[A-Za-z]+_signals"\s*:', '"signals":'
+#: What a record may have at its top instead of the nested fields.
+FLAT_DDL = "name STRING, title STRING, company STRING, summary STRING, headline STRING, location STRING, years_of_experience DOUBLE, id STRING"
 
 
-def json_text(text: Column) -> Column:
-    return F.regexp_replace(text, SIGNALS_KEY, SIGNALS)
+def record(text: Column, signals_key: str | None = None) -> Column:
+    """A record (struct, with the flat fields) of one JSON object.
 
+    Its behaviour record stands under ``signals_key`` at its top; by default under
+    ``signals`` or the first key there that ends in ``_signals``.
+    """
+    one = T.StructType([*schema().fields, *T._parse_datatype_string(FLAT_DDL).fields])
+    read = F.from_json(text, one)
+    if signals_key:
+        key = F.lit(signals_key)
+    else:
+        key = F.get(F.filter(F.json_object_keys(text), lambda k: k.endswith("_signals")), F.lit(0))
+    # a path needs its key in quotes, as a key may hold dots
+    found = F.call_function("get_json_object", text, F.concat(F.lit("$['"), key, F.lit("']")))
+    signals = F.coalesce(F.from_json(found, schema()["signals"].dataType), read["signals"])
+    return F.when(F.json_object_keys(text).isNotNull(), read.withField("signals", signals))  # no keys: no object
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+
+def parse_lines(lines: DataFrame, column: str = "value", signals_key: str | None = None) -> DataFrame:
     """Records of lines of JSON, with the other columns; blank and malformed lines
     and records without an id are dropped."""
     others = [c for c in lines.columns if c != column]
-    rows = lines.select(F.from_json(json_text(F.col(column)), schema()).alias("_r"), *others)
-    return normalise(rows.select("_r.*", *others))
+    rows = lines.select(record(F.col(column), signals_key).alias("_r"), *others)
+    return normalise(rows.select(*[F.col(f"_r.{f.name}") for f in schema().fields], *others))
 
 
 def read_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -92,25 +106,34 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return parse_json(text, "value")
 
 
-def parse_json(df: DataFrame, column: str) -> DataFrame:
-    """Records of uploaded JSON texts, in the order of the forms that :func:`read_json` knows."""
-    flat = "name STRING, title STRING, company STRING, summary STRING, headline STRING, location STRING, years_of_experience DOUBLE, id STRING"
-    one = T.StructType([*schema().fields, *T._parse_datatype_string(flat).fields])
-    many = T.ArrayType(one)
-    wrapped = T.StructType([T.StructField("candidates", many)])
-    s = F.trim(json_text(F.col(column)))
-    records = (
+def parse_json(df: DataFrame, column: str, keep: tuple[str, ...] = (), signals_key: str | None = None) -> DataFrame:
+    """Records of uploaded JSON texts, in the order of the forms that :func:`read_json`
+    knows; with ``keep``, these columns and the record's position in its text."""
+    many = T.ArrayType(T.StringType())  # each element as its own JSON
+    s = F.trim(F.col(column))
+    wrapped = F.get_json_object(s, "$.candidates")
+    # one object over several lines: its first line is none by itself
+    single = s.startswith("{") & F.json_object_keys(s).isNotNull() & F.json_object_keys(F.get(F.split(s, r"\r?\n"), F.lit(0))).isNull()
+    texts = (
         F.when(s.startswith("["), F.from_json(s, many))
-        .when(F.get_json_object(s, "$.candidates").isNotNull(), F.from_json(s, wrapped)["candidates"])
-        .when(s.startswith("{") & F.from_json(s, T.MapType(T.StringType(), T.StringType())).isNotNull() & ~s.contains("}\n{"), F.array(F.from_json(s, one)))
-        .otherwise(F.transform(F.filter(F.split(s, r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, one)))
+        .when(wrapped.isNotNull(), F.from_json(wrapped, many))
+        .when(single, F.array(s))
+        .otherwise(F.filter(F.split(s, r"\r?\n"), lambda x: F.trim(x) != ""))
     )
-    rows = df.select(F.explode(records).alias("r")).where("r IS NOT NULL").select("r.*")
-    return unflatten(rows)
+    rows = df.select(F.posexplode(texts).alias("pos", "one"), *keep).select(record(F.col("one"), signals_key).alias("r"), "pos", *keep)
+    out = unflatten(rows.where("r IS NOT NULL").select("r.*", "pos", *keep), ("pos", *keep))
+    return out if keep else out.drop("pos")
+
+
+def read_upload(spark: SparkSession, path: str, most: int = 100) -> DataFrame:
+    """The first ``most`` records of one uploaded JSON file, less those without an id."""
+    text = spark.read.option("wholetext", True).text(path).withColumn("at", F.lit(0))
+    rows = parse_json(text, "value", ("at",)).orderBy("pos").limit(most)
+    return normalise(rows.drop("pos", "at"))
 
 
-def unflatten(rows: DataFrame) -> DataFrame:
-    """Flat records (name, title, ...) brought into the nested form."""
+def unflatten(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Flat records (name, title, ...) brought into the nested form, and the columns ``keep``."""
     p = F.col("profile")
     profile = F.struct(
         F.coalesce(p["anonymized_name"], "name").alias("anonymized_name"),
@@ -125,7 +148,7 @@ def unflatten(rows: DataFrame) -> DataFrame:
         p["current_industry"].alias("current_industry"),
     )
     out = rows.withColumns({"profile": profile, "candidate_id": F.coalesce("candidate_id", "id")})
-    return out.select(*[f.name for f in schema().fields])
+    return out.select(*[f.name for f in schema().fields], *keep)
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -147,7 +170,7 @@ def missing(ids: DataFrame, loaded: DataFrame) -> DataFrame:
     return ids.select("candidate_id").distinct().join(loaded.select("candidate_id"), "candidate_id", "left_anti")
 
 
-def with_upload_ids(df: DataFrame, order: str, start: int = 1, prefix: str = "UPLOAD_") -> DataFrame:
+def with_upload_ids(df: DataFrame, *order: str, start: int = 1, prefix: str = "UPLOAD_") -> DataFrame:
     """New ids in upload order, UPLOAD_001 and so on; ids that came along are replaced."""
-    n = F.row_number().over(Window.orderBy(order)) + (start - 1)
+    n = F.row_number().over(Window.orderBy(*order)) + (start - 1)
     return df.withColumn("candidate_id", F.concat(F.lit(prefix), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))

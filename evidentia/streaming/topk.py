@@ -1,43 +1,52 @@
-"""Top-K over a stream of records: each micro-batch is merged into the K best so far."""
+"""Top-K over a stream of records.
+
+Each micro-batch adds the scores of its records to a log, one folder an epoch; the
+K best are those of each id's latest record.  A batch costs what it holds, a worse
+update takes a record down again, and a replayed batch gives the same folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.ranking import scan_top
-from ..sources.candidates import parse_lines
+from ..operators import explain
+from ..plans.ranking import scan_scores
+from ..sources.candidates import last_wins, parse_lines
 from ..sources.profile import profiles
 
+LOG = "candidate_id STRING, legacy_score DOUBLE, reasoning STRING, epoch LONG"
+
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lines(spark.readStream.text(path))
+    """Records of a folder of JSON lines, and where each stands (``_at``): of one id in a
+    batch the last in order of files, then in a file, counts."""
+    at = F.struct("_metadata.file_modification_time", "_metadata.file_name", "_metadata.file_block_start")
+    return parse_lines(spark.readStream.text(path).select("value", at.alias("_at")))
 
 
-def merge_top(old: DataFrame | None, new: DataFrame, k: int, score: str = "legacy_score", key: str = "candidate_id") -> DataFrame:
-    """The K best of both; of one id the newer row counts."""
-    if old is not None:
-        new = old.join(new.select(key), key, "left_anti").unionByName(new)
-    return new.orderBy(F.desc(score), F.asc(key)).limit(k)
+def latest(log: DataFrame) -> DataFrame:
+    """Of each id the row of its last epoch."""
+    row = F.struct("epoch", "legacy_score", "reasoning")
+    return log.groupBy("candidate_id").agg(F.max(row).alias("r")).select("candidate_id", "r.legacy_score", "r.reasoning")
 
 
 class StreamingTopK:
-    """The state is a table of at most K rows per batch, so a replayed batch
-    gives the same table again."""
+    """The log of scores below ``path``, and the K best of it."""
 
     def __init__(self, path: str, k: int, as_of: str):
         self.path, self.k, self.as_of = path.rstrip("/"), k, as_of
 
-    def _at(self, epoch: int) -> str:
-        return f"{self.path}/epoch={epoch}"
-
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = scan_top(profiles(batch), self.k, self.as_of).select("candidate_id", "legacy_score", "reasoning")
-        old = spark.read.parquet(self._at(epoch - 1)) if epoch else None
-        merge_top(old, new, self.k).coalesce(1).write.mode("overwrite").parquet(self._at(epoch))
+        place = [c for c in ("_at",) if c in batch.columns]
+        rows = last_wins(batch.withColumn("_at", F.struct(*place, F.monotonically_increasing_id().alias("_row"))), "_at")
+        scored = scan_scores(profiles(rows), self.as_of).withColumn("reasoning", explain.short_reasoning())
+        scored.select("candidate_id", "legacy_score", "reasoning").write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def result(self, spark: SparkSession, epoch: int) -> DataFrame:
-        return spark.read.parquet(self._at(epoch))
+    def result(self, spark: SparkSession, epoch: int | None = None) -> DataFrame:
+        """The K best after an epoch, by default the last."""
+        log = spark.read.schema(LOG).parquet(self.path)
+        log = log if epoch is None else log.where(F.col("epoch") <= epoch)
+        return latest(log).orderBy(F.desc("legacy_score"), F.asc("candidate_id")).limit(self.k)

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.config import DEFAULT_QUERY
 from evidentia.functions import numeric, text
 from evidentia.operators import checks, explain, features, fusion, lexical, model
 from evidentia.operators.dense import HashingEmbedder
@@ -169,9 +170,26 @@ def test_query_parser():
     assert set(q.domains) >= {"retrieval", "ml_production"}
     assert query.parse_query("") .must_have_skills == []
     assert query.alike("search", "vector search") and not query.alike("ml", "html")
+    assert query.optional_tags("Kafka is a plus\nGo is a plus\nKafka is a plus", ["Go"]) == ["Kafka"]
+    assert query.shown("rest apis design") == "REST APIs Design" and query.shown("golang") == "Go" and query.shown("ml html x") == "ML HTML X"
     assert query.split_tag("frontend frameworks such as React, Angular or Vue") == ["React", "Angular", "Vue"]
 
 
+def test_default_query():
+    """The tags of the default query, derived by hand from the rules."""
+    q = query.parse_query(DEFAULT_QUERY)
+    assert (q.role_title, q.seniority, q.min_experience_years, q.work_mode) == ("Senior AI Engineer", "senior", 4.0, "")
+    assert q.must_have_skills == [
+        "Engineering Or Ai/ml Research", "Skills With Production Experience", "Retrieval Systems", "Search", "Ranking", "Recommendation",
+        "FAISS", "Elasticsearch", "Similar", "Production ML Deployment",
+    ]
+    assert q.nice_to_have_skills == [
+        "Cross-encoders, Reranking, RAG", "Sentence Transformers", "Embeddings Models", "FastAPI", "Similar Python Web Frameworks",
+        "Large Language Models", "To Open-source ML Projects", "A/B Testing",
+    ]
+    assert q.responsibilities[0] == "Build and maintain retrieval and ranking systems" and len(q.responsibilities) == 4
+
+
 def test_rank(spark, people):
     e = Engine(spark, make_embedder=HashingEmbedder).index(candidates.from_rows(spark, PEOPLE))
     rows = e.rank(QUERY, 6, as_of=AS_OF).orderBy("rank").collect()
@@ -232,12 +250,47 @@ def test_resume():
     assert resume.structure("", "V")["profile"]["anonymized_name"] == "Unknown"
 
 
-def test_resume_files(spark, tmp_path):
-    (tmp_path / "jane_doe.txt").write_text("Jane Doe\nML Engineer\nPython")
-    e = Engine(spark)
+def test_resume_names_titles_skills():
+    lines = ["Phone +1 234 567 8901", "john van Dyk", "Ann de Witt", "Current: Lead Engineer", "x"]
+    assert resume.name_of(lines) == "Ann de Witt" and resume.title_of(lines) == "Lead Engineer"
+    assert resume.name_of(["(555) 123-4567", "a@b.c"]) == "(555) 123-4567" and resume.title_of(["x" * 90 + " engineer"]) == ""
+    assert resume.skills_of("Golang and Perl\nSkills\nCooking, perl; Cooking | x\nEducation:\nJulia")[:5] == ["Golang", "Julia", "Perl", "GO", "R"]
+    assert resume.skills_of("Golang and Perl\nSkills\nCooking, perl; cooking | x\nEducation:\nJulia")[-1] == "Cooking"
+    assert len(resume.SKILLS) == len(set(resume.SKILLS)) == 122
+    assert resume.structure("", "V", "From File")["profile"]["anonymized_name"] == "From File"
+
+
+def test_uploads(spark, tmp_path):
+    (tmp_path / "a_people.json").write_text(json.dumps([{"candidate_id": "mine", "profile": {"anonymized_name": "A"}, "odd.key_signals": {"notice_period_days": 30}}, {"name": "B", "title": "ML Engineer"}]))
+    (tmp_path / "b_more.JSONL").write_text('{"name": "C"}\n{bad\n\n{"name": "D", "x": "some_signals: 1"}\n')
+    (tmp_path / "c_none.json").write_text("nothing to read here")
+    (tmp_path / "jane-doe_cv.txt").write_text(" \n \n \n \n \n \n ")
+    (tmp_path / "k_lee.txt").write_text("Kim Lee\nML Engineer\nPython, faiss and retrieval")
+    (tmp_path / "tiny.pdf").write_bytes(b"%PDF")
+    (tmp_path / "z.exe").write_bytes(b"0123456789abc")
     files = spark.read.format("binaryFile").load(str(tmp_path))
-    ranking, errors = e.ingest_documents(files, QUERY, as_of=AS_OF)
-    assert [r.candidate_id for r in ranking.collect()] in ([], ["UPLOAD_001"]) and errors.count() == 0
+    raw, errors = resume.uploads(files, (*resume.FORMATS, "txt"))
+    rows = {r.candidate_id: r for r in raw.collect()}
+    assert {k: r.profile.anonymized_name for k, r in rows.items()} == {"UPLOAD_001": "A", "UPLOAD_002": "B", "UPLOAD_003": "C", "UPLOAD_004": "D", "UPLOAD_005": "Kim Lee"}
+    assert rows["UPLOAD_001"].signals.notice_period_days == 30 and rows["UPLOAD_004"].signals is None
+    told = {r.path.rsplit("/", 1)[1]: r.error for r in errors.collect()}
+    assert told == {"c_none.json": "no records", "jane-doe_cv.txt": "no text", "tiny.pdf": "empty or too small", "z.exe": "unsupported format (.exe)"}
+    ranking, errors = Engine(spark).ingest_documents(files.where("path LIKE '%.json%' OR path LIKE '%.exe'"), as_of=AS_OF)
+    assert ranking.columns[0] == "candidate_id" and errors.count() == 2
+    assert [r.name for r in resume.file_texts(files).where("path LIKE '%jane%'").collect()] == ["Jane Doe Cv"]
+
+
+def test_sandbox_upload(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps([{"candidate_id": str(k)} if k % 2 else {"name": "n"} for k in range(300)]))
+    assert sorted(int(r.candidate_id) for r in candidates.read_upload(spark, str(tmp_path / "x.json")).collect()) == list(range(1, 100, 2))
+
+
+def test_behaviour_key(spark):
+    text = json.dumps({"candidate_id": "1", "a_signals": {"notice_period_days": 7}, "b_signals": {"notice_period_days": 9}, "profile": {"summary": '"c_signals": {}'}})
+    df = spark.createDataFrame([(text,)], "value string")
+    row = candidates.parse_lines(df).first()
+    assert row.signals.notice_period_days == 7 and row.profile.summary == '"c_signals": {}'
+    assert candidates.parse_lines(df, signals_key="b_signals").first().signals.notice_period_days == 9
 
 
 def test_model(spark, people):
@@ -251,16 +304,21 @@ def test_model(spark, people):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Three epochs: new records, an update that makes the best one worse, and repeats in a batch."""
     src = tmp_path / "in"
     src.mkdir()
-    for k in range(2):
-        (src / f"{k}.json").write_text("\n".join(json.dumps(p) for p in PEOPLE[k::2]))
-    top = StreamingTopK(str(tmp_path / "state"), 5, AS_OF)
-    q = top.start(read_stream(spark, str(src)), str(tmp_path / "ck"))
-    q.awaitTermination(120)
-    got = [(r.candidate_id, r.legacy_score) for r in top.result(spark, 0).collect()]
-    want = scan_top(profiles(candidates.from_rows(spark, PEOPLE)), 5, AS_OF).orderBy("rank").collect()
-    assert got == [(r.candidate_id, r.legacy_score) for r in want]
+    top = StreamingTopK(str(tmp_path / "state"), 3, AS_OF)
+    worse = person("strong", profile={"current_title": "Cook"})
+    epochs = [PEOPLE[:9], [*PEOPLE[9:], worse], [PEOPLE[0], person("tie_a"), worse, person("tie_a")]]
+    latest = {}
+    for k, batch in enumerate(epochs):
+        (src / f"{k}.json").write_text("\n".join(json.dumps(p) for p in batch))
+        top.start(read_stream(spark, str(src)), str(tmp_path / "ck")).awaitTermination(120)
+        latest |= {p["candidate_id"]: p for p in batch}
+        got = [(r.candidate_id, r.legacy_score) for r in top.result(spark).collect()]
+        want = scan_top(profiles(candidates.from_rows(spark, list(latest.values()))), 3, AS_OF).orderBy("rank").collect()
+        assert got == [(r.candidate_id, r.legacy_score) for r in want]
+    assert top.result(spark, 0).first().candidate_id == "strong" != top.result(spark, 2).first().candidate_id
 
 
 def test_explanation_choice(spark):
