@@ -7,58 +7,61 @@ term is what the unlabelled texts say about negatives after the positives
 among them are taken off, and it may not fall below zero.  Where a step would
 push it below zero, the step goes the other way, as the method asks.
 
-The classifier is linear over hashed words that are clearly commoner among the
-positives than in all texts, with near copies of a positive counted once; every
-word that passes this test is taken.  A word counts with the logarithm of its frequency.  The zero point is set
-last so that the training fold's labelled rows of both classes are told apart
-best.
-
-Samples are bounded: about ``positives`` toxic rows, ``unlabelled`` rows of all
-texts (for the risk) and ``reviewed`` labelled rows, taken by hash of the id; only
-their word counts are gathered.  How many texts have a word is counted over all
-documents.
+The classifier is linear over hashed words.  Words that don't tell are left out
+first, as part of the method: a word stays if it is commoner among the positives
+than its rate in all documents explains (a Poisson test), with near copies of a
+positive counted once; every word that passes is taken.  A word counts with the
+logarithm of its frequency.  Weights minimise the logistic form of the risk; where
+the score crosses one half is chosen by the same estimate of the zero-one risk,
+``p (1 - TPR) + max(0, P_u(toxic) - p TPR)``.  No labelled negative is ever read:
+reviewed rows only say what share of them, the prior ``p``, is toxic.
+
+Samples are bounded: about ``positives`` toxic rows and ``unlabelled`` rows of all
+texts, taken by hash of the id and written to the shared folder; the driver gets
+signatures of the positives and counts of the chosen words.  How many texts have
+a word is counted over all documents.
 
 Defined results
 ---------------
 * null and empty texts are scored by the bias alone;
-* without a toxic row to learn from, every score is 0;
-* rows are scored one by one, so repeats and null ids do no harm;
-* of several labels for an id any toxic one counts; extra columns pass through.
+* without a toxic row to learn from, or a word that tells, every score is 0;
+* very long texts are counted whole;
+* rows are scored one by one, so ties, repeats and null ids do no harm; an empty
+  table gives an empty result;
+* of several labels for an id any toxic one counts; extra columns pass through,
+  but for those named as a new one, which are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import append_columns, crc_fold, raw_texts, ship, table
-from .decontamination import words
+from .common import Workspace, append_columns, bound_batches, crc_fold, hashed_words, in_pieces, letters_of, raw_texts, ship, table
+from .decontamination import WORDS
 
 BITS = 18
+_LETTERS = letters_of(b" ")
 
-
-class WordNumbers(dict):
-    """Hashed word numbers, kept for as long as they fit."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = n = xxhash.xxh3_64_intdigest(word, seed=11) >> (64 - BITS)
-        return n
+Counts = tuple[np.ndarray, np.ndarray]
 
 
-def word_counts(text: bytes, numbers: WordNumbers) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words in the text and how often they occur."""
-    w = words(text)
-    return np.unique(np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)), return_counts=True)
+def word_numbers(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The hashed numbers of each text's words, in order."""
+    for piece in in_pieces(texts):
+        h, at = hashed_words([t.translate(WORDS) for t in piece], _LETTERS)
+        numbers = (h >> np.uint64(64 - BITS)).astype(np.int32)
+        yield from (numbers[lo:hi] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()))
 
 
-Counts = tuple[np.ndarray, np.ndarray]
+def word_counts(texts: list[bytes]) -> list[Counts]:
+    """Numbers of the words in each text and how often they occur."""
+    return [np.unique(n, return_counts=True) for n in word_numbers(texts)]
 
 
 class Rows:
@@ -69,7 +72,7 @@ class Rows:
         self.row = np.repeat(np.arange(self.n), [len(i) for i, _ in docs])
         col, val = (np.concatenate([d[k] for d in docs]) if docs else np.empty(0, np.int32) for k in (0, 1))
         keep = chosen[col]
-        self.row, self.col, self.val = self.row[keep], col[keep], np.log1p(val[keep])
+        self.row, self.col, self.val = self.row[keep], col[keep], np.log1p(val[keep].astype(float))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -78,27 +81,32 @@ class Rows:
         return np.bincount(self.col, self.val * g[self.row], 1 << BITS)
 
 
-def without_copies(docs: list[Counts], slots: int = 32, alike: float = 0.4) -> list[Counts]:
-    """``docs`` less those whose words are much the same as an earlier one's, by MinHash."""
+def signatures(docs: list[Counts], slots: int = 32) -> np.ndarray:
+    """A MinHash of each text's words; -1 for a text without words."""
     rng = np.random.default_rng(5)
-    rank = rng.permuted(np.tile(np.arange(1 << BITS, dtype=np.int32), (slots, 1)), axis=1)
-    kept, signs = [], np.empty((len(docs), slots), np.int32)
-    for i, c in docs:
-        if not len(i):
-            continue
-        sign = rank[:, i].min(axis=1)
-        if not len(kept) or (signs[: len(kept)] == sign).mean(axis=1).max() < alike:
-            signs[len(kept)] = sign
-            kept.append((i, c))
+    a, b = (rng.integers(1 << 62, size=slots, dtype=np.uint64) | np.uint64(1) for _ in "ab")
+    out = np.full((len(docs), slots), -1, np.int32)
+    for k, (i, _) in enumerate(docs):
+        if len(i):
+            out[k] = ((i.astype(np.uint64)[:, None] * a + b) >> np.uint64(33)).min(axis=0).astype(np.int32)
+    return out
+
+
+def without_copies(signs: np.ndarray, alike: float = 0.4) -> list[int]:
+    """Which texts stay when those whose words are much the same as an earlier one's go."""
+    kept: list[int] = []
+    for k, sign in enumerate(signs):
+        if sign[0] >= 0 and (not kept or (signs[kept] == sign).mean(axis=1).max() < alike):
+            kept.append(k)
     return kept
 
 
-def telling_words(pos: list[Counts], frequency: np.ndarray, total: int, sure: float = 9.0) -> np.ndarray:
-    """A mask of the words that are significantly commoner in positives: the
-    chance of their count among the positives, at the rate ``frequency / total``
-    of all texts, is below about exp(-sure) (Chernoff's bound for a Poisson count)."""
-    a = np.bincount(np.concatenate([i for i, _ in pos]), minlength=1 << BITS) / 1.0
-    expected = (frequency + 1) * len(pos) / (total + 1)
+def telling_words(among: np.ndarray, positives: int, frequency: np.ndarray, total: int, sure: float = 9.0) -> np.ndarray:
+    """A mask of the words that are significantly commoner in positives: the chance of
+    being in ``among`` of them, at the rate ``frequency / total`` of all texts, is below
+    about exp(-sure) (Chernoff's bound for a Poisson count)."""
+    a = among / 1.0
+    expected = (frequency + 1) * positives / (total + 1)
     return (a > expected) & (a * np.log(np.maximum(a, 1) / expected) - a + expected >= sure)
 
 
@@ -111,122 +119,149 @@ class ToxicityModel:
     def score(self, index: np.ndarray, counts: np.ndarray) -> float:
         if self.weights is None:
             return 0.0
-        f = float(np.log1p(counts) @ self.weights[index]) + self.bias
+        f = float(np.log1p(counts.astype(float)) @ self.weights[index]) + self.bias
         return float(1 / (1 + np.exp(-np.clip(self.gain * f, -40, 40))))
 
 
-def fit(pos: Rows, unl: Rows, prior: float, rounds: int = 120, rate: float = 0.3, penalty: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk."""
-    w, b = np.zeros(1 << BITS), 0.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+def _sigmoid(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
+
+
+def negative_part(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """The risk on negatives as positives and unlabelled texts tell it: R_u(-) - p R_p(-)."""
+    return float(np.mean(np.logaddexp(0, fu)) - prior * np.mean(np.logaddexp(0, fp)))
+
+
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """The non-negative estimate of the logistic risk, from the outputs for both samples."""
+    return prior * float(np.mean(np.logaddexp(0, -fp))) + max(0.0, negative_part(fp, fu, prior))
+
+
+def slopes(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a step goes along, by output: the risk's slope, or where the negative part
+    is below zero, the slope of what is missing, so that the step brings it back."""
+    sp, su = _sigmoid(fp), _sigmoid(fu)
+    if negative_part(fp, fu, prior) >= 0:
+        return prior * (sp - 1) / len(fp) - prior * sp / len(fp), su / len(fu)
+    return prior * sp / len(fp), -su / len(fu)
+
+
+def fit(pos: Rows, unl: Rows, prior: float, rounds: int = 200, rate: float = 0.3, penalty: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least non-negative risk that the steps came across."""
+    w = np.zeros((1 << BITS) + 1)  # the bias comes last
+    m, v, best, least = np.zeros_like(w), np.zeros_like(w), w.copy(), np.inf
     for k in range(1, rounds + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x.dot(w) + b, -40, 40))) for x in (pos, unl))
-        # logistic loss: of "+" ln(1 + e^-f), of "-" ln(1 + e^f)
-        negative = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
-        if negative >= 0:
-            gp = prior * (sp - 1) / pos.n - prior * sp / pos.n
-            gu = su / unl.n
-        else:
-            gp, gu = prior * sp / pos.n, -su / unl.n
-        g, gb = pos.back(gp) + unl.back(gu) + penalty * w, gp.sum() + gu.sum()
+        fp, fu = (x.dot(w) + w[-1] for x in (pos, unl))
+        if (now := risk(fp, fu, prior)) < least:
+            best, least = w.copy(), now
+        gp, gu = slopes(fp, fu, prior)
+        g = np.append(pos.back(gp) + unl.back(gu), gp.sum() + gu.sum())
+        g[:-1] += penalty * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        c1, c2 = 1 - 0.9**k, 1 - 0.99**k
-        w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-5)
-        b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-5)
-    return w, b
-
-
-def zero_point(f: np.ndarray, toxic: np.ndarray) -> float:
-    """Where to cut ``f`` so that the classes are told apart with the least error;
-    in the middle of the widest gap among the best cuts."""
-    order = np.argsort(f, kind="stable")
-    f, y = f[order], toxic[order].astype(float)
-    wrong = np.concatenate([[len(y) - y.sum()], len(y) - y.sum() + np.cumsum(2 * y - 1)])  # the first k are called clean
+        w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-5)
+    return best[:-1], float(best[-1])
+
+
+def threshold(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """The output above which texts are called toxic: the least non-negative zero-one
+    risk; in the middle of the widest gap among equals."""
+    f = np.unique(np.concatenate((fp, fu)))
     edges = np.concatenate([[f[0] - 1e-3], (f[1:] + f[:-1]) / 2, [f[-1] + 1e-3]])
+    caught, called = (1 - np.searchsorted(np.sort(x), edges, "right") / len(x) for x in (fp, fu))
+    wrong = prior * (1 - caught) + np.maximum(0, called - prior * caught)
     gap = np.concatenate([[1e-6], f[1:] - f[:-1], [1e-6]])
-    wrong = np.where(gap > 1e-9, wrong, np.inf)  # equal values can't be told apart
-    best = np.flatnonzero(wrong == wrong.min())
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
     return float(edges[best[np.argmax(gap[best])]])
 
 
-def _gather(rows: DataFrame, text_col: str, label: str) -> list:
-    def make():
-        numbers = WordNumbers()
+def _mapped(rows: DataFrame, text_col: str, make, fields: dict[str, str]) -> list:
+    got = append_columns(rows.select(text_col), lambda: lambda batch: make(raw_texts(batch, text_col)), fields, keep=[]).collect()
+    return sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in got)
+
+
+def _text_key(t: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(t, seed=7) - (1 << 63)
 
-        def work(batch: pa.RecordBatch) -> dict[str, list]:
-            found = [word_counts(t, numbers) for t in raw_texts(batch, text_col)]
-            return {"i": [i.astype(np.int32).tobytes() for i, _ in found], "c": [c.astype(np.int32).tobytes() for _, c in found]}
 
-        return work
+def _chosen_counts(rows: DataFrame, text_col: str, chosen: np.ndarray) -> list[Counts]:
+    """Counts of the chosen words in each row."""
 
-    got = append_columns(rows, make, {"i": "binary", "c": "binary"}, keep=[label]).collect()
-    got = sorted(((r[label] if r[label] is not None else -1), bytes(r.i), bytes(r.c)) for r in got)
-    return [(y, (np.frombuffer(i, np.int32), np.frombuffer(c, np.int32))) for y, i, c in got]
+    def make(texts: list[bytes]) -> dict[str, list]:
+        found = [(i[chosen[i]], c[chosen[i]]) for i, c in word_counts(texts)]
+        return {"i": [i.astype(np.int32).tobytes() for i, _ in found], "c": [c.astype(np.int32).tobytes() for _, c in found]}
 
+    return [(np.frombuffer(i, np.int32), np.frombuffer(c, np.int32)) for i, c in _mapped(rows, text_col, make, {"i": "binary", "c": "binary"})]
 
-def document_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
-    """In how many of all texts each hashed word occurs; each task sums up its own first."""
+
+def document_frequencies(docs: DataFrame, text_col: str, only: frozenset[int] | None = None) -> np.ndarray:
+    """In how many of all texts each hashed word occurs (or of the texts with the keys
+    ``only``, each once a task); each task sums up its own first."""
 
     def count(batches):
-        numbers, total = WordNumbers(), np.zeros(1 << BITS, np.int64)
+        total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            for text in raw_texts(batch, text_col):
-                total[word_counts(text, numbers)[0]] += 1
+            texts = raw_texts(batch, text_col)
+            for n in word_numbers(texts if only is None else [t for t in texts if _text_key(t) in only]):
+                total[np.unique(n)] += 1
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["i", "n"])
 
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     found = docs.select(text_col).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # 2^BITS rows at most
     out = np.zeros(1 << BITS, np.int64)
     out[found["i"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, positives: int = 2500, unlabelled: int = 5000, reviewed: int = 5000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, positives: int = 2500, unlabelled: int = 5000, workspace: Workspace | None = None) -> ToxicityModel:
     """Learn from ``labels``, which has none that are held out, and ``docs``."""
     flag = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     n = {r.y: r["count"] for r in flag.groupBy("y").count().collect()}
     n_pos, n_all = n.get(1, 0), sum(n.values())
     if not n_pos:
         return ToxicityModel(None)
+    work = workspace or Workspace(docs.sparkSession)
 
     def share(salt: str):
         return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
 
-    some = flag.where(((F.col("y") == 1) & (share("toxic") < positives / n_pos)) | (share("review") < reviewed / n_all))
-    some = F.broadcast(some.limit(2 * (positives + reviewed)))  # bounded by the parameters
-    seen = _gather(docs.select(id_col, text_col).join(some, id_col), text_col, "y")
-    if not any(y == 1 for y, _ in seen):
-        return ToxicityModel(None)
+    some = flag.where((F.col("y") == 1) & (share("toxic") < positives / n_pos)).select(id_col)
+    some = F.broadcast(some.limit(2 * positives))  # bounded by the parameter
+    toxic = work.cut(docs.select(id_col, text_col).join(some, id_col, "left_semi").select(text_col).limit(4 * positives).dropDuplicates(), "toxic")
     total = docs.count()
-    drawn = docs.where(share("unlabelled") < unlabelled / max(total, 1)).select(text_col, F.lit(None).cast("int").alias("y"))
-    unl = [d for _, d in _gather(drawn.limit(2 * unlabelled), text_col, "y")] or [d for _, d in seen]
-
-    pos = without_copies([d for y, d in seen if y == 1])
-    chosen = telling_words(pos, document_frequencies(docs, text_col), total) if pos else np.zeros(1 << BITS, bool)
-    if not chosen.any():
-        return ToxicityModel(None)
-    w, b = fit(Rows(pos, chosen), Rows(unl, chosen), n_pos / n_all)
-    f, y = Rows([d for _, d in seen], chosen).dot(w), np.array([y == 1 for y, _ in seen])
-    cut = zero_point(f, y) if 0 < y.sum() < len(y) else -b
-    return ToxicityModel(w.astype(np.float32), -cut, 3.0 / (float(np.std(f)) or 1.0))
+    drawn = docs.where(share("unlabelled") < unlabelled / max(total, 1)).select(text_col)
+    drawn = work.cut(drawn.limit(2 * unlabelled), "unlabelled")
+
+    def signs(texts: list[bytes]) -> dict[str, list]:
+        return {"key": list(map(_text_key, texts)), "sign": [x.tobytes() for x in signatures(word_counts(texts))]}
+
+    seen = _mapped(toxic, text_col, signs, {"key": "long", "sign": "binary"})
+    matrix = np.array([np.frombuffer(x, np.int32) for _, x in seen]).reshape(len(seen), -1)
+    kept = frozenset(seen[k][0] for k in without_copies(matrix)) if len(seen) else frozenset()
+    model = ToxicityModel(None)
+    if kept:
+        chosen = telling_words(document_frequencies(toxic, text_col, kept), len(kept), document_frequencies(docs, text_col), total)
+        if chosen.any():
+            pos, unl = (Rows(_chosen_counts(rows, text_col, chosen), chosen) for rows in (toxic, drawn))
+            unl = unl if unl.n else pos
+            w, b = fit(pos, unl, n_pos / n_all)
+            fp, fu = pos.dot(w), unl.dot(w)
+            model = ToxicityModel(w.astype(np.float32), -threshold(fp, fu, n_pos / n_all), 3.0 / (float(np.std(np.concatenate((fp, fu)))) or 1.0))
+    work.drop("toxic")
+    work.drop("unlabelled")
+    return model
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``df`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def make():
-        numbers = WordNumbers()
-
-        def work(batch: pa.RecordBatch) -> dict[str, list]:
-            found = [sent.value.score(*word_counts(t, numbers)) for t in raw_texts(batch, text_col)]
-            return {score: found, predicted: [int(s >= 0.5) for s in found]}
-
-        return work
+    def work(batch: pa.RecordBatch) -> dict[str, list]:
+        found = [sent.value.score(*c) for c in word_counts(raw_texts(batch, text_col))]
+        return {score: found, predicted: [int(s >= 0.5) for s in found]}
 
-    return append_columns(df, make, {score: "double", predicted: "int"})
+    return append_columns(df, lambda: work, {score: "double", predicted: "int"})
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

@@ -274,6 +274,66 @@ def test_toxicity_rows(spark, odd, none):
     assert toxicity.score_toxicity(none, model).count() == 0
 
 
+def test_toxicity_risk():
+    """The estimate against a plain one, its slopes against differences, and a step back where the negative part is below zero."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for prior in (0.05, 0.4, 0.9):
+        fp, fu = rng.normal(1, 2, 40), rng.normal(-1, 2, 90)
+        plus = sum(math.log(1 + math.exp(-f)) for f in fp) / 40
+        minus = sum(math.log(1 + math.exp(f)) for f in fu) / 90 - prior * sum(math.log(1 + math.exp(f)) for f in fp) / 40
+        assert toxicity.risk(fp, fu, prior) == pytest.approx(prior * plus + max(0, minus))
+        gp, gu = toxicity.slopes(fp, fu, prior)
+        for g, f, sign in ((gp, fp, 0), (gu, fu, 1)):
+            step = np.zeros_like(f)
+            step[3] = 1e-5
+            moved = (fp + step, fu) if not sign else (fp, fu + step)
+            change = (toxicity.risk(*moved, prior) - toxicity.risk(fp, fu, prior)) / 1e-5
+            back = -(toxicity.negative_part(*moved, prior) - toxicity.negative_part(fp, fu, prior)) / 1e-5
+            assert g[3] == pytest.approx(change if minus >= 0 else back, abs=1e-4)
+    fp, fu = np.full(20, 3.0), np.full(20, -3.0)  # positives alone are called toxic, less often in unlabelled texts than the prior says
+    assert toxicity.negative_part(fp, fu, 0.5) < 0
+    gp, gu = toxicity.slopes(fp, fu, 0.5)
+    assert toxicity.negative_part(fp - 0.1 * gp, fu - 0.1 * gu, 0.5) > toxicity.negative_part(fp, fu, 0.5)
+
+
+def test_toxicity_fit_and_threshold():
+    import numpy as np
+
+    def rows(docs):
+        return toxicity.Rows([(np.array(sorted(set(d)), np.int32), np.array([d.count(x) for x in sorted(set(d))])) for d in docs], np.ones(1 << toxicity.BITS, bool))
+
+    r = random.Random(3)
+    toxic, clean = ([[r.choice(a) for _ in range(6)] for _ in range(n)] for a, n in (((1, 2, 3, 7), 60), ((4, 5, 6, 7), 240)))
+    pos, unl = rows(toxic[:40]), rows(toxic[40:] + clean)
+    w, b = toxicity.fit(pos, unl, 20 / 260)
+    got = toxicity.risk(pos.dot(w) + b, unl.dot(w) + b, 20 / 260)
+    for k in range(200):  # nothing near it, nor at random, is clearly better
+        rng = np.random.default_rng(k)
+        other = w.copy()
+        other[1:8] = (0 if k % 2 else other[1:8]) + rng.normal(0, 1, 7)
+        assert got <= toxicity.risk(pos.dot(other) + b, unl.dot(other) + b, 20 / 260) + 0.02
+    cut = toxicity.threshold(pos.dot(w), unl.dot(w), 20 / 260)
+    f = unl.dot(w)
+    assert (f[:20] > cut).mean() >= 0.95 and (f[20:] > cut).mean() <= 0.01
+    assert toxicity.threshold(np.array([5.0, 6.0]), np.array([0.0, 1.0, 5.5, 0.5]), 0.25) == pytest.approx(3.0)
+
+
+def test_toxicity_awkward_rows_with_a_model(spark, odd):
+    d = docs(spark, [(k, ("vile word here " if k < 40 else "fine words there ") * (1 + k % 3) + f"x{k} y{k * 7}") for k in range(200)])
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(100)] + [(None, 1), (5, None), (5, 0)], "doc_id long, toxic int")
+    model = toxicity.train(d, labels, "doc_id", "text", "toxic")
+    got = toxicity.score_toxicity(odd, model).collect()
+    assert len(got) == len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    empty = {r.score for r in got if not (r.text or "").strip()}
+    assert len(empty) == 1 and {r.predicted for r in got if not r.text} == {0}
+    seen = {r.doc_id: r for r in toxicity.score_toxicity(docs(spark, [(1, "so vile word here"), (2, "so fine"), (3, "vile " * 50_000)]), model).collect()}
+    assert seen[1].predicted == seen[3].predicted == 1 and seen[2].predicted == 0
+
+
 def test_toxicity_rarer_words(spark):
     """Words in few of the toxic texts tell even where more than 1,000 others tell more."""
     import numpy as np
@@ -289,9 +349,9 @@ def test_toxicity_rarer_words(spark):
     model = toxicity.train(d, labels, "doc_id", "text", "toxic")
     got = {x.doc_id: x.score for x in toxicity.score_toxicity(docs(spark, [(1, "r0 r1 r2 r3 r4"), (2, ""), (3, "c1 c2")]), model).collect()}
     assert got[1] > got[2] == got[3]
-    want, numbers = np.zeros(1 << toxicity.BITS, int), toxicity.WordNumbers()
-    for _, t in rows:
-        want[toxicity.word_counts(t.encode(), numbers)[0]] += 1
+    want = np.zeros(1 << toxicity.BITS, int)
+    for i, _ in toxicity.word_counts([t.encode() for _, t in rows]):
+        want[i] += 1
     assert (toxicity.document_frequencies(d, "text") == want).all()
 
 
