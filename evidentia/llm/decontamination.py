@@ -4,17 +4,18 @@ Each benchmark item gives windows of ``window`` consecutive words (an item of
 fewer words is one window).  A document contains a window only if it contains
 all of the window's words, so a prefix of one token, the rarest in the
 document collection, is necessary: documents are joined with windows on that
-token alone.  A match of the token at word ``p`` fixes where the window would
-start; the positional and length bounds (it has to begin at or after the
-document's first word and end before its last) discard candidates, and the
-rest are verified word for word.
+token alone.  A match of the token at word ``p`` fixes, for each offset that the
+token has in a window, where the window would start; the positional and length
+bounds (it has to begin at or after the document's first word and end before its
+last) discard candidates, and the rest are verified word for word.
 
 Rarity is the token's count over all documents, taken in one pass that counts
 only words of the benchmark.
 
 The benchmark's windows are sent to the executors in blocks of at most
-``block_words`` words; what one block broadcasts is thus bounded however
-large the benchmark is, and every document meets every block.
+``block_words`` words (or one item), about 400 bytes of index a word; what one
+block broadcasts is thus bounded however large the benchmark is, and every
+document meets every block.
 
 Defined results
 ---------------
@@ -22,8 +23,9 @@ Defined results
 * wordless items and null texts have no window; items with equal texts each count;
 * items with a null id hit as others do; together they are one null, the last in
   ``item_ids``, which counts there and has no part in the digest, as in SQL;
-* rows that repeat an id are judged row by row;
-* an empty benchmark hits nothing; extra columns pass through.
+* rows that repeat an id are judged row by row; very long texts are read whole;
+* an empty benchmark hits nothing, an empty table of documents gives an empty result;
+* extra columns pass through, but for those named as a new one, which are replaced.
 """
 
 from __future__ import annotations
@@ -60,28 +62,30 @@ def item_windows(text: bytes, window: int = WINDOW) -> list[tuple[bytes, ...]]:
 
 
 class WindowIndex:
-    """Windows by their prefix token: (offset of the token, window, items)."""
+    """Windows by their prefix token, then by its offset in them and their length.
+
+    A word of a document is thus compared with as many windows as there are offsets
+    and lengths under it, at most ``window`` for full windows, however many windows share the token.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], counts: dict[bytes, int], window: int = WINDOW):
         owners: dict[tuple[bytes, ...], list[str | None]] = defaultdict(list)
         for item, text in items:
             for win in item_windows(text, window):
                 owners[win].append(item)
-        self.by_token: dict[bytes, list[tuple[int, tuple[bytes, ...], list[str | None]]]] = defaultdict(list)
+        self.by_token: dict[bytes, dict[tuple[int, int], dict[tuple[bytes, ...], list[str | None]]]] = {}
         for win, ids in owners.items():
-            token, at = min((counts.get(t, 0), t, i) for i, t in enumerate(win))[1:]
-            self.by_token[token].append((at, win, ids))
-        self.by_token.default_factory = None
-        self.longest = max((len(w) for w in owners), default=0)
+            _, token, at = min((counts.get(t, 0), t, i) for i, t in enumerate(win))
+            self.by_token.setdefault(token, {}).setdefault((at, len(win)), {})[win] = ids
 
     def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Spans of words (start, end) in which a window occurs, and the items."""
         spans, found, n, index = [], set(), len(w), self.by_token
         for p, token in [(p, t) for p, t in enumerate(w) if t in index]:
-            for at, win, ids in index[token]:
-                start = p - at
-                if start >= 0 and start + len(win) <= n and tuple(w[start : start + len(win)]) == win:
-                    spans.append((start, start + len(win)))
+            for (at, size), windows in index[token].items():
+                start, end = p - at, p - at + size
+                if start >= 0 and end <= n and (ids := windows.get(tuple(w[start:end]))) is not None:
+                    spans.append((start, end))
                     found.update(ids)
         return spans, found
 
@@ -137,7 +141,7 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    block_words: int = 2_000_000,
+    block_words: int = 150_000,
     workspace: Workspace | None = None,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``item_ids`` (sorted strings),

@@ -5,16 +5,25 @@ strings).  The fourth, ``novel``, is measured: a candidate is a long token
 that stands shortly behind a sensitive word, or the value behind an ``=`` in
 such a token or in the one that the word is part of.  Its novelty is the number of
 bytes by which it makes the compressed form of its surroundings longer, where
-zstandard is primed with a dictionary of common identifiers and code.  Prose,
-identifiers, paths and repeated strings cost few bytes for their length; a
-random key is incompressible and costs nearly its entropy.
+zstandard is primed with a dictionary.  Only that number decides: a token is
+reported if it costs at least ``least_ratio`` bytes a character, which random keys
+do (about 1.2; fewer than one in ten below 1.0) and known identifiers don't (below 0.2).
+
+The dictionary has a fixed part, common in code and configuration, and the table's
+own identifiers: words joined by case, ``_`` or ``-``, and very long words, that at
+least two documents have; the commonest, up to ``MINED`` bytes of them, counted
+over all documents.  Tokens with digits are never taken into it, so that a key
+does not become known by being copied.
 
 Defined results
 ---------------
-* null and empty texts have no spans;
+* null and empty texts have no spans; very long texts are searched whole;
 * matches of a kind don't overlap and are taken from the left; spans of
   different kinds may overlap, and equal ones are all kept;
-* rows are judged one by one; extra columns pass through.
+* rows are judged one by one, so ties, repeated rows and null ids do no harm; a
+  text that is repeated counts once a row in the dictionary's counts;
+* an empty table gives an empty result and no identifiers; extra columns pass
+  through, but for those named as a new one, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +34,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import append_columns, table, texts
 
@@ -51,6 +60,8 @@ CONTEXT = re.compile(r"password|passwd|passphrase|secret|token|api_?key|credenti
 #: How far behind such a word a candidate may begin, and how much text around it primes the compressor.
 REACH, AROUND = 48, 256
 LEAST = 16
+#: Bytes that a candidate costs for each of its characters, at least.
+RATIO = 0.9
 SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Behind ``=`` inside a run a value begins; ``=`` at a run's end is padding.
@@ -73,6 +84,25 @@ com.example.application org.apache.commons java.util.ArrayList javax.servlet.htt
 """.encode()
 
 
+#: Whole runs of twelve letters or more: words joined by case or signs, or one long word.
+WORDLIKE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z_-]{12,200}(?![A-Za-z0-9+/=_-]))[A-Za-z][a-z]{2,}(?:[_-][a-z]{2,}|[_-]?[A-Z][a-z]{2,}){0,20}(?![A-Za-z0-9+/=_-])"
+#: Bytes of the table's own identifiers in a dictionary.
+MINED = 48 << 10
+
+
+def mine_identifiers(df: DataFrame, text_col: str = "text", most: int = MINED) -> bytes:
+    """The identifiers that most texts have, the commonest last (the compressor's nearest)."""
+    found = df.select(F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(WORDLIKE), F.lit(0)))).alias("word"))
+    common = found.groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(most // 12)
+    kept, size = [], 0
+    for r in common.collect():  # at most MINED / 12 rows
+        size += len(r.word) + 1
+        if size > most:
+            break
+        kept.append(r.word)
+    return " ".join(reversed(kept)).encode()
+
+
 class Novelty:
     """Marginal compressed bytes under a dictionary of identifiers."""
 
@@ -111,7 +141,7 @@ def _candidates(text: str, run: re.Match, stop: int):
         yield equal.end(), VALUE.match(text, equal.end()).end() if cut else end
 
 
-def novel_spans(text: str, novelty: Novelty, least_ratio: float = 0.6) -> list[Span]:
+def novel_spans(text: str, novelty: Novelty, least_ratio: float = RATIO) -> list[Span]:
     """Incompressible tokens behind a sensitive word, from the left."""
     spans, done = [], 0
     for word in CONTEXT.finditer(text):
@@ -122,8 +152,7 @@ def novel_spans(text: str, novelty: Novelty, least_ratio: float = 0.6) -> list[S
             for start, end in _candidates(text, run, stop):
                 if start > last:
                     break
-                seen = text[start : min(end, stop)]
-                if end - start < LEAST or not (any(c.isdigit() for c in seen) and any(c.isalpha() for c in seen)):
+                if end - start < LEAST:
                     continue
                 done = start + 1
                 token = text[start:end]
@@ -139,40 +168,36 @@ def digest(spans: list[Span]) -> str:
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
 
 
-def scan_secrets(df: DataFrame, text_col: str = "text", least_ratio: float = 0.6) -> DataFrame:
-    """``df`` with ``secrets``, an array of (kind, start, end) in order."""
+def scan_secrets(df: DataFrame, text_col: str = "text", least_ratio: float = RATIO, identifiers: bytes | None = None) -> DataFrame:
+    """``df`` with ``secrets``, an array of (kind, start, end) in order.  The dictionary
+    is primed with ``identifiers``, by default those of ``df`` itself."""
+    return _scan(df, text_col, least_ratio, identifiers, lambda spans: {"secrets": [[s._asdict() for s in x] for x in spans]}, {"secrets": "array<struct<kind:string,start:long,end:long>>"})
+
+
+def _scan(df: DataFrame, text_col: str, least_ratio: float, identifiers: bytes | None, shape, fields: dict[str, str], keep=None) -> DataFrame:
+    mined = mine_identifiers(df, text_col) if identifiers is None else identifiers
 
     def make():
-        novelty = Novelty()
+        novelty = Novelty(mined + b"\n" + IDENTIFIERS)
 
         def work(batch: pa.RecordBatch) -> dict[str, list]:
             out = []
             for text in texts(batch, text_col):
                 spans = base_spans(text) + novel_spans(text, novelty, least_ratio)
-                out.append([s._asdict() for s in sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))])
-            return {"secrets": out}
+                out.append(sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind))))
+            return shape(out)
 
         return work
 
-    return append_columns(df, make, {"secrets": "array<struct<kind:string,start:long,end:long>>"})
+    return append_columns(df, make, fields, keep)
 
 
-def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict[str, list]:
-            out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
-            for row in batch.column(batch.schema.get_field_index("secrets")).to_pylist():
-                spans = [Span(**s) for s in row]
-                base = [s for s in spans if s.kind != "novel"]
-                for kind in KINDS[:3]:
-                    out[f"n_{kind}"].append(sum(s.kind == kind for s in base))
-                out["base_sha256"].append(hashlib.sha256(digest(base).encode()).hexdigest())
-                out["spans"].append(digest(spans))
-            return out
+def _digests(rows: list[list[Span]]) -> dict[str, list]:
+    base = [[s for s in spans if s.kind != "novel"] for spans in rows]
+    counts = {f"n_{kind}": [sum(s.kind == kind for s in x) for x in base] for kind in KINDS[:3]}
+    return counts | {"base_sha256": [hashlib.sha256(digest(x).encode()).hexdigest() for x in base], "spans": [digest(x) for x in rows]}
 
-        return work
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string"}
-    return append_columns(found, make, fields, keep=["doc_id"])
+    return _scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", RATIO, None, _digests, fields, ["doc_id"])

@@ -69,11 +69,44 @@ def test_secret_novelty():
     n = secrets.Novelty()
     key = "aZ3kQ9xV7bT2mW8pL4sR"
     assert [s.kind for s in secrets.novel_spans(f"the private key is {key} in prose", n)] == ["novel"]
+    assert [s.kind for s in secrets.novel_spans("the private key is hQwPzkVbXmTgRyLdJcNf in prose", n)] == ["novel"]  # letters alone
+    assert [s.kind for s in secrets.novel_spans("credential 83920175640298315577 in prose", n)] == ["novel"]  # digits alone
     assert secrets.novel_spans("the private key is abcdefghijklmnopqrstuvwxyz0123456789 here", n) == []
     assert secrets.novel_spans(f"{key} is used; the private value {key} again", n) == []  # a repeat is cheap
     assert secrets.novel_spans(f"nothing of note {key}", n) == []
 
 
+def test_secret_dictionary_decides(spark):
+    """The same token is novel under a dictionary that lacks it and cheap under one that has it."""
+    names = ["quizzicalJackdawVortexHandler", "wrymouthed_zephyr_klaxon_gizmo", "fjordbankGlyphsVextQuiz", "Kwyjibo-Zugzwang-Flummoxed"]
+    texts = [f"class {a} calls {b} and {c}" for a in names for b in names for c in names]
+    rows = docs(spark, list(enumerate(texts)) + [(999, "the private key 9fK2xQ7mLz0PaT4vWc8RbY1n, the secret Onlyoncehereword"), (1000, None)])
+    mined = secrets.mine_identifiers(rows)
+    assert set(mined.decode().split()) == set(names)  # nothing with digits, nothing that one document has
+    without, primed = secrets.Novelty(b"0123456789"), secrets.Novelty(mined + b"\n" + secrets.IDENTIFIERS)
+    changed = 0
+    for name in names:
+        text = f"credential {name} in use"
+        changed += bool(secrets.novel_spans(text, without)) and not secrets.novel_spans(text, primed)
+        assert not secrets.novel_spans(text, primed)
+    assert changed >= 2
+    assert len(secrets.mine_identifiers(rows, most=40)) <= 40 and secrets.mine_identifiers(rows.limit(0)) == b""
+    got = {r.doc_id: r.secrets for r in secrets.scan_secrets(rows).collect()}
+    assert [x.kind for x in got[999]] == ["novel"] and not any(got[k] for k in range(64))
+
+
+def test_secret_keys_and_names():
+    """Planted keys outside the fixed forms are found, names of code aren't."""
+    import string
+
+    r, n = random.Random(7), secrets.Novelty()
+    keys = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(20, 48))) for _ in range(300)]
+    found = sum(any(s.start == 27 for s in secrets.novel_spans(f"passphrase of the service: {k} and then", n)) for k in keys)
+    assert found >= 0.95 * len(keys)
+    for name in ("application/json-application", "connection_database_server", "java/util/ArrayList/getInstance", "created_at_updated_at_deleted", "addEventListenerQuerySelector"):
+        assert secrets.novel_spans(f"passphrase of the service: {name} and then", n) == []
+
+
 def test_secret_novelty_of_unquoted_values():
     n = secrets.Novelty()
     key = "9fK2xQ7mLz0PaT4vWc8RbY1n"
@@ -116,6 +149,22 @@ def test_decontamination_blocks_and_bounds(spark):
     assert [x.contaminated for x in one] == [True, False, True, False, False, True, True]
 
 
+def test_decontamination_of_repeated_words():
+    """Many windows under one prefix token cost a document no more than a few."""
+    import time
+
+    r = random.Random(6)
+    items = [(str(k), " ".join(r.choice(["aa", "bb", "cc"]) for _ in range(40)).encode()) for k in range(200)]
+    index = decontamination.WindowIndex(items, {})
+    w = decontamination.words(b" ".join(r.choice([b"aa", b"bb", b"cc"]) for _ in range(1950)) + b" " + items[7][1])
+    began = time.process_time()
+    spans, found = index.hits(w)
+    assert time.process_time() - began < 0.5
+    every = {win: i for i, text in items for win in decontamination.item_windows(text)}
+    want = {(p, p + 13) for p in range(len(w) - 12) if tuple(w[p : p + 13]) in every}
+    assert set(spans) == want and "7" in found
+
+
 def test_decontamination_rows(spark, odd, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     out = decontamination.decontaminate(odd, bench)
