@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from ..cluster import ship
+from ..cluster import ship, spread
 
 #: Most rows and bytes of an Arrow batch: some texts are very long, so batches are kept small.
 ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
@@ -84,7 +84,8 @@ def if_small(df: DataFrame, most: int) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def fresh(df: DataFrame, base: str) -> str:

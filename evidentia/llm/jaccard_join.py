@@ -13,22 +13,32 @@ coarse pivots to fine ones, and each step is exact:
 2. *Stars.*  In each region one set is the pivot, and the exact distance of the
    others to it is computed.  A group of near copies becomes one component
    here, by as many pairs as it has members.
-3. *Voronoi cells.*  A region with more than one component is joined
-   recursively: up to ``PIVOTS`` sets become pivots, each member goes home to the
+3. *Small regions.*  In a region of up to ``LEAF`` sets that aren't one component each
+   set is a pivot, and meets those that it may link with by their sizes, their
+   distances to the star's pivot (the triangle inequality's window) and their sketches
+   (parities of hash classes, which differ in at most as many bits as the sets in
+   elements).  Sizes and sketches also spare stars the distances of sets that can't link.
+4. *Projections.*  Sets in larger regions, such as those that share a passage, are
+   joined anew by finer pivots.  In an interval of sizes up to ``m`` linked sets differ in
+   at most ``H = 2m(1-s)/(1+s)`` elements.  Shingles are dealt into ``K = H + 1 + e``
+   classes by hash; as the projection on a class is 1-Lipschitz, linked sets agree
+   wholly on ``1 + e`` classes at least, so a set is replicated to the region of each of its
+   projections (at the border of sizes, to those of both intervals).  ``e`` allows for the
+   empty ones; a set with more of them also is in a region of such sets.  Then as before,
+   where the regions of one pivot are taken as one.
+5. *Voronoi cells.*  A region that still has more than ``CLOSE`` sets in several components is
+   joined recursively: up to ``PIVOTS`` sets become pivots, each member goes home to the
    nearest (at distance ``d``) and is a guest in the cells of pivots before it in
    order that are nearer than ``d + 2r``.  By the triangle inequality one of two linked
    members then is at home where the other one is home or guest, so guests need
-   not meet guests.  Regions of up to ``LEAF`` members need no cells: each is
-   compared with each, unless they are connected already or can't link by their sizes,
-   their distances to the last pivot or their sketches (512 parities, which differ in
-   at most as many bits as the sets in elements).  Sizes and sketches also spare stars.
+   not meet guests.
 
 Pivots that are whole documents can't begin the join: unrelated texts are at a
 distance of nearly 1 from all of them, so every window would hold nearly
-everything (README has figures).  Sites are ordered by the number of sets that
-fall on a shingle's place in a table of ``1 << COUNTERS`` counters, counted over
-the whole corpus, and by hash among equals.  Any fixed order is exact; this one
-leaves passages that many documents share to the last.
+everything (README has figures).  Sites are ordered by how rare their words are,
+the sum of the logarithms of the words' counts in the whole corpus (hashed to
+``1 << COUNTERS`` counters), and by hash among equals.  Any fixed order is exact;
+this one keeps regions small, as unrelated texts share no phrase of rare words.
 
 Equal sets are collapsed before all this, so groups of copies cost one set each.
 
@@ -47,9 +57,11 @@ Shingles are compared by 64-bit hashes, whole sets by 128-bit ones.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Workspace, append_columns, bound_batches, fresh, hashed_words, if_small, in_pieces, letters_of, mix, raw_texts, ship, table
 
@@ -58,34 +70,49 @@ _MASK = (1 << 64) - 1
 _LOW = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _LETTERS = letters_of(b" \t\n\x0b\x0c\r")
 
-#: Binary logarithm of the counters by which sites are ordered.
+#: Binary logarithm of the counters of words by which sites are ordered.
 COUNTERS = 18
-#: Pivots of a large region; regions of up to LEAF members are compared without cells.
-PIVOTS, LEAF = 64, 128
+#: Sets of more shingles have a sketch of a bit for each shingle or two besides the one of 512 bits.
+WIDE = 1024
+#: Pivots of a large region.  Regions of sites with up to LEAF members, and regions of
+#: projections and cells with up to CLOSE, are compared without further pivots.
+PIVOTS, LEAF, CLOSE = 64, 64, 1024
 #: Rows up to which a list of ids or keys (8 bytes each) is broadcast; beyond it is shuffled.
 SMALL = 2_000_000
 
 
-def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: list[bytes], size: int, rare: np.ndarray | None = None) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; with ``rare``, the logarithms of
+    the words' counts, instead the shingles in the order of sites: their rarity in the
+    first 12 bits and the first 52 of their hash."""
     out = []
     for piece in in_pieces(texts):
         w, at = hashed_words([t.translate(_LOW) for t in piece], _LETTERS)
-        whole = _sequences(w, size)
+        known = None if rare is None else rare[place(w)]
+        whole = _sequences(w, known, size)
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
             n = hi - lo
-            s = whole[lo : hi - size + 1] if n >= size else _sequences(w[lo:hi], n) if n else whole[:0]
+            if n >= size:
+                s = whole[lo : hi - size + 1]
+            else:
+                s = _sequences(w[lo:hi], None if known is None else known[lo:hi], n) if n else whole[:0]
             s = np.sort(s)
             out.append(s[np.append(True, s[1:] != s[:-1])] if n > size else s)
     return out
 
 
-def _sequences(w: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each ``n`` consecutive word hashes."""
-    h = np.zeros(max(0, len(w) - n + 1), np.uint64)
+def _sequences(w: np.ndarray, known: np.ndarray | None, n: int) -> np.ndarray:
+    """A hash of each ``n`` consecutive word hashes, or where it stands in the order of sites."""
+    many = max(0, len(w) - n + 1)
+    h, sure = np.zeros(many, np.uint64), np.zeros(many)
     for k in range(n):
-        h = h * _A + w[k : k + len(h)]
-    return mix(h + np.uint64(n * int(_B) & _MASK))
+        h = h * _A + w[k : k + many]
+        if known is not None:
+            sure += known[k : k + many]
+    h = mix(h + np.uint64(n * int(_B) & _MASK))
+    if known is None:
+        return h
+    return (np.minimum(np.round(sure * (128 / n)), 4095).astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(12))
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -93,42 +120,99 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 
 def place(h: np.ndarray) -> np.ndarray:
-    """Which counter a shingle falls on."""
+    """Which counter a word falls on."""
     return (h >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """Counters in one byte each: eight steps for a doubling."""
-    return np.minimum(255, np.round(8 * np.log2(1.0 + counts))).astype(np.uint64) << np.uint64(56)
+def sites(ordered: np.ndarray, similar: int) -> np.ndarray:
+    """The sites of a set in the order of sites: the first, as many as a linked set can lack and one more."""
+    return ordered[: len(ordered) + similar * len(ordered) // -100 + 1]
 
 
-def sites(h: np.ndarray, similar: int, rare: np.ndarray) -> np.ndarray:
-    """The sites of a set: its rarest shingles, as many as a linked set can lack and one more.
+def size_regions(similar: int, ratio: float = 1.25) -> np.ndarray:
+    """Where the intervals of sizes begin; a linked set is at most one interval away."""
+    ratio, edges = max(ratio, 104 / similar), [1]
+    while edges[-1] < 1 << 40:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * ratio + 1)))
+    return np.array(edges, np.int64)
 
-    A site is its shingle's rarity and the first 56 bits of its hash, so sites compare as they are ordered.
-    """
-    least = len(h) + similar * len(h) // -100 + 1
-    key = rare[place(h)] | (h >> np.uint64(8))
-    return np.partition(key, least - 1)[:least]
+
+def classes(low: int, top: int, similar: int) -> tuple[int, int]:
+    """(K, e) of an interval of sizes: ``e`` is what the least set that can be replicated
+    to it is expected to have of empty classes and four deviations, if so few suffice."""
+    least, h = similar * low / 100, (2 * top * (100 - similar)) // (100 + similar)
+    e = 1
+    while e <= h + 8:
+        empty = (h + 1 + e) * math.exp(-least / (h + 1 + e))
+        if e >= empty + 4 * math.sqrt(empty):
+            break
+        e += 1
+    return h + 1 + e, e
+
+
+def projections(h: np.ndarray, similar: int, edges: np.ndarray, known: dict) -> np.ndarray:
+    """The regions of a set: a 64-bit key for each non-empty projection."""
+    home = int(np.searchsorted(edges, len(h), "right")) - 1
+    keys = []
+    for interval in (home, home + 1):
+        low, top = int(edges[interval]), int(edges[interval + 1]) - 1
+        if interval > home and 100 * len(h) < similar * low:
+            continue
+        if interval not in known:
+            known[interval] = classes(low, top, similar)
+        k, e = known[interval]
+        of = ((mix(h ^ np.uint64(interval * 2 + 1)) >> np.uint64(11)) % np.uint64(k)).astype(np.int64)
+        total = np.zeros(k, np.uint64)
+        np.add.at(total, of, mix(h + _B))
+        there = np.flatnonzero(np.bincount(of, minlength=k))
+        salt = np.uint64(interval * int(_A) & _MASK)
+        keys.append(mix(mix(total[there]) + salt + mix(there.astype(np.uint64) + _B)))
+        if k - len(there) > e:
+            keys.append(mix(np.array([int(salt) + 1 & _MASK], np.uint64)))
+    return np.unique(np.concatenate(keys))
+
+
+def _projected(df: DataFrame, size: int, similar: int) -> DataFrame:
+    """``df`` (with text) with keys: its regions by projections."""
+
+    def make():
+        edges, known = size_regions(similar), {}
+        return lambda batch: {"keys": [projections(h, similar, edges, known).view(np.int64) if len(h) else [] for h in shingle_sets(raw_texts(batch, "text"), size)]}
+
+    return append_columns(df, make, {"keys": "array<long>"}, keep=["id"])
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """A bit for each of 512 classes of shingles: whether the set has an odd number of them.
+def sketch(h: np.ndarray, bits: int = 512) -> np.ndarray:
+    """A bit for each class of shingles: whether the set has an odd number of them.
 
-    Two sketches differ in at most as many bits as the sets do in elements.
+    Two sketches differ in at most as many bits as the sets do in elements.  The two
+    halves of a sketch make the one of half as many bits.
     """
-    odd = np.bincount(((h >> np.uint64(16)) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    odd = np.bincount(((h >> np.uint64(16)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def count_places(docs: DataFrame, size: int) -> np.ndarray:
-    """How many shingles of all sets fall on each counter; a task sums up its own first."""
+def wide_sketch(h: np.ndarray) -> bytes | None:
+    """Of a large set, a sketch of as many bits as it has shingles, or up to twice as many."""
+    return sketch(h, 1 << (len(h) - 1).bit_length()).tobytes() if len(h) > WIDE else None
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded."""
+    u, v = (np.frombuffer(z, np.uint64) for z in (x, y))
+    while len(u) != len(v):
+        u, v = (u[: len(u) // 2] ^ u[len(u) // 2 :], v) if len(u) > len(v) else (u, v[: len(v) // 2] ^ v[len(v) // 2 :])
+    return int(np.bitwise_count(u ^ v).sum())
+
+
+def count_words(docs: DataFrame) -> np.ndarray:
+    """How many words of all texts fall on each counter; a task sums up its own first."""
 
     def count(batches):
         total = np.zeros(1 << COUNTERS, np.int64)
         for batch in batches:
-            for piece in in_pieces(raw_texts(batch, "text"), 1 << 22):
-                total += np.bincount(place(np.concatenate(shingle_sets(piece, size))), minlength=1 << COUNTERS)
+            for piece in in_pieces(raw_texts(batch, "text")):
+                total += np.bincount(place(hashed_words([t.translate(_LOW) for t in piece], _LETTERS)[0]), minlength=1 << COUNTERS)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["i", "n"])
 
@@ -141,13 +225,13 @@ def count_places(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(df: DataFrame, size: int, similar: int, rare) -> DataFrame:
-    """``df`` (with text) with n (shingles), s1 and s2 (hash of the set), its sketch and
-    keys (its sites); ``rare`` is the broadcast order."""
+    """``df`` (with text) with n (shingles), s1 and s2 (hash of the set), its sketches and
+    keys (its sites); ``rare`` is what :func:`shingle_sets` needs, broadcast."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, list]:
-            sets = shingle_sets(raw_texts(batch, "text"), size)
-            keys = [sites(h, similar, rare.value) if len(h) else h for h in sets]
+            texts = raw_texts(batch, "text")
+            sets, keys = shingle_sets(texts, size), [sites(k, similar) for k in shingle_sets(texts, size, rare.value)]
             at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
             return {
@@ -155,12 +239,13 @@ def _sets(df: DataFrame, size: int, similar: int, rare) -> DataFrame:
                 "s1": [int(mix(h).sum(dtype=np.uint64).astype(np.int64)) for h in sets],
                 "s2": [int(mix(h ^ _A).sum(dtype=np.uint64).astype(np.int64)) for h in sets],
                 "sketch": [sketch(h) for h in sets],
+                "wide": [wide_sketch(h) for h in sets],
                 "keys": pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64), pa.int64())),
             }
 
         return work
 
-    return append_columns(df, make, {"n": "long", "s1": "long", "s2": "long", "sketch": "array<long>", "keys": "array<long>"})
+    return append_columns(df, make, {"n": "long", "s1": "long", "s2": "long", "sketch": "array<long>", "wide": "binary", "keys": "array<long>"})
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -250,14 +335,30 @@ def _distances(work: Workspace, texts: DataFrame, pairs: DataFrame, size: int, s
     return done
 
 
+def _near(similar: int, na: str, sa: str, nb: str, sb: str) -> Column:
+    """Whether sizes and sketches leave it possible that two sets link."""
+    apart = sum((F.bit_count(F.get(sa, F.lit(k)).bitwiseXOR(F.get(sb, F.lit(k)))) for k in range(8)), F.lit(0))
+    sizes = 100 * F.least(na, nb) >= similar * F.greatest(na, nb)
+    return sizes & (apart * (100 + similar) <= (100 - similar) * (F.col(na) + F.col(nb)))
+
+
 def _may_link(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches leave it possible that they link."""
     for c in "ab":
-        own = sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        pairs = pairs.join(own, c)
-    apart = sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(8)), F.lit(0))
-    sizes = 100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")
-    return pairs.where(sizes & (apart * (100 + similar) <= (100 - similar) * (F.col("na") + F.col("nb")))).select("a", "b")
+        pairs = pairs.join(sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+    most = (100 - similar) * (F.col("na") + F.col("nb"))  # elements in which linked sets differ, times 100 + similar
+    near = pairs.where(_near(similar, "na", "sa", "nb", "sb")).select("a", "b", most.alias("most"))
+    for c in "ab":
+        near = near.join(sets.where("wide IS NOT NULL").select(F.col("id").alias(c), F.col("wide").alias(f"w{c}")), c, "left")
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict[str, list]:
+            rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("most", "wa", "wb")))
+            return {"may": [x is None or y is None or bits_apart(x, y) * (100 + similar) <= most for most, x, y in rows]}
+
+        return work
+
+    return append_columns(near, make, {"may": "boolean"}, keep=["a", "b"]).where("may").select("a", "b")
 
 
 def _regions(keys: DataFrame) -> DataFrame:
@@ -283,24 +384,27 @@ def _open_cells(work: Workspace, cells: DataFrame, label: DataFrame, name: str)
     return done
 
 
-def _pairs(cells: DataFrame, sets: DataFrame, step: int, similar: int) -> tuple[DataFrame, DataFrame]:
-    """(key, pivot) with pivots of those at home in each cell (all of a small one), and the
-    pairs to compare: all of a large cell's members with its pivots, of a small one those that may link."""
-    bucket = F.when(F.col("homes") <= LEAF, F.col("id")).otherwise(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(PIVOTS)))
-    chosen = cells.where("home").groupBy("key", bucket.alias("bucket")).agg(F.min(F.struct("id", "n", "c", "d")).alias("p"))
-    chosen = chosen.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"), F.col("p.d").alias("pd"))
-    sizes = 100 * F.least("n", "pn") >= similar * F.greatest("n", "pn")
-    window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 1 - similar / 100 + 1e-9, F.lit(True))
-    met = cells.join(chosen, "key").where(F.col("id") != F.col("pivot"))
-    pair = (F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
-    small = met.where((F.col("homes") <= LEAF) & (F.col("c") != F.col("pc")) & sizes & window).select(*pair).distinct()
-    large = met.where(F.col("homes") > LEAF).select(*pair).distinct()
-    return chosen.select("key", "pivot"), _may_link(small, sets, similar).union(large).distinct()
-
-
-def _cells(cells: DataFrame, chosen: DataFrame, known: DataFrame, similar: int) -> DataFrame:
-    """The Voronoi cells of the large cells' pivots, without the pivots themselves."""
-    large = cells.where(F.col("homes") > LEAF).join(chosen.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
+def _small_pairs(cells: DataFrame, sets: DataFrame, leaf: int, similar: int) -> DataFrame:
+    """The pairs (a, b) that may link within the cells of up to ``leaf`` sets at home."""
+    mine = cells.where(F.col("homes") <= leaf).join(sets.select("id", "sketch"), "id")
+    others = mine.where("home").select("key", F.col("id").alias("o"), F.col("n").alias("no"), F.col("c").alias("co"), F.col("d").alias("do"), F.col("sketch").alias("so"))
+    window = F.coalesce(F.abs(F.col("d") - F.col("do")) <= 1 - similar / 100 + 1e-9, F.lit(True))
+    once = (F.col("id") > F.col("o")) | ~F.col("home")
+    met = mine.join(others, (mine["key"] == others["key"]) & (F.col("c") != F.col("co")) & once & window & _near(similar, "n", "sketch", "no", "so"))
+    return _may_link(met.select(F.greatest("id", "o").alias("a"), F.least("id", "o").alias("b")).distinct(), sets, similar)
+
+
+def _large_pairs(cells: DataFrame, leaf: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """(key, pivot) of the larger cells, and the pairs of all their members with them."""
+    large = cells.where(F.col("homes") > leaf)
+    chosen = large.where("home").groupBy("key", F.pmod(F.xxhash64("id", F.lit(step)), F.lit(PIVOTS)).alias("bucket")).agg(F.min("id").alias("pivot")).select("key", "pivot")
+    met = large.join(chosen, "key").where("id <> pivot")
+    return chosen, met.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+
+
+def _cells(cells: DataFrame, chosen: DataFrame, known: DataFrame, leaf: int, similar: int) -> DataFrame:
+    """The Voronoi cells of the larger cells' pivots, without the pivots themselves."""
+    large = cells.where(F.col("homes") > leaf).join(chosen.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
     met = large.drop("d").join(chosen.select("key", "pivot"), "key")
     met = met.withColumns({"a": F.greatest("id", "pivot"), "b": F.least("id", "pivot")}).join(known.select("a", "b", "d"), ["a", "b"])
     near = met.groupBy("key", "id", "n", "home").agg(F.min(F.struct("d", "pivot")).alias("near"), F.collect_list(F.struct("pivot", "d")).alias("all"))  # at most PIVOTS
@@ -311,12 +415,58 @@ def _cells(cells: DataFrame, chosen: DataFrame, known: DataFrame, similar: int)
     return each.where(to).select(F.xxhash64("key", "x.pivot").alias("key"), "id", "n", (F.col("home") & own).alias("home"), F.col("x.d").alias("d"))
 
 
+def _stars(work: Workspace, texts: DataFrame, keys: DataFrame, sets: DataFrame, copies: DataFrame, label: DataFrame | None, size: int, similar: int, name: str, merge: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Regions (id, n, s1, key) joined with a pivot each: the components, and the regions
+    with different sets (key, id, n, home, d) but for their pivots.  With ``merge``, regions
+    with the same pivot become one: near texts share many of them."""
+    region = work.cut(_regions(keys), f"{name}-regions")
+    member = keys.join(if_small(region, SMALL), "key").join(if_small(copies.select("id"), SMALL), "id", "left_anti")
+    member = work.cut(member.select("key", "id", "n").distinct(), f"{name}-members")
+    pivots = work.cut(member.groupBy("key").agg(F.min("id").alias("pivot")), f"{name}-pivots")
+    base = member.join(pivots, "key").where("id <> pivot")
+    base = base.select(F.col("pivot").alias("key"), "id", "n", "pivot").distinct() if merge else base.select("key", "id", "n", "pivot")
+    base = work.cut(base, f"{name}-base")
+    for x in ("regions", "members", "pivots"):
+        work.drop(f"{name}-{x}")
+    pairs = base.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = work.cut(_may_link(pairs, sets, similar), f"{name}-near")
+    work.tidy()
+    known = _distances(work, texts, pairs, size, similar, f"{name}-dist")
+    links = known.where("link").select("a", "b")
+    label = components(work, links, f"{name}-comp") if label is None else _joined(work, label, links, f"{name}-comp")
+    far = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
+    cells = work.cut(base.join(far, ["id", "pivot"], "left").select("key", "id", "n", F.lit(True).alias("home"), "d"), f"{name}-cells")
+    for x in ("base", "near", "dist-d"):
+        work.drop(f"{name}-{x}")
+    return label, cells
+
+
+def _recursion(work: Workspace, texts: DataFrame, cells: DataFrame, sets: DataFrame, label: DataFrame, size: int, similar: int) -> DataFrame:
+    """The components after all pairs of the cells are linked, connected or ruled out."""
+    step = 0
+    while (rest := _open_cells(work, cells, label, f"round{step}")) is not None:
+        step += 1
+        pairs = work.cut(_small_pairs(rest, sets, CLOSE, similar), f"pairs{step}")
+        known = _distances(work, texts, pairs, size, similar, f"dist{step}")
+        label = _joined(work, label, known.where("link").select("a", "b"), f"comp{step}")
+        if not rest.where(F.col("homes") > CLOSE).limit(1).count():
+            break
+        chosen, pairs = _large_pairs(rest, CLOSE, step)
+        chosen, pairs = work.cut(chosen, f"pivots{step}"), work.cut(pairs, f"wide{step}")
+        known = _distances(work, texts, pairs, size, similar, f"far{step}")
+        label = _joined(work, label, known.where("link").select("a", "b"), f"link{step}")
+        cells = work.cut(_cells(rest, chosen, known, CLOSE, similar), f"cells{step}")
+        for name in (f"round{step - 1}-open", f"round{step - 1}-apart", f"pivots{step}", f"pairs{step}", f"wide{step}", f"dist{step}-d", f"far{step}-d"):
+            work.drop(name)
+        work.tidy()
+    return label
+
+
 def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """For ``docs`` (id, text), where rows with the same id have the same set: (id, n, s1, s2)
     of each row, and (id, component) of all that link."""
-    ship(docs.sparkSession)
-    rare = docs.sparkSession.sparkContext.broadcast(rarity(count_places(docs, size)))
-    sets = work.cut(_sets(docs, size, similar, rare).select("id", "n", "s1", "s2", "sketch", "keys"), "sets")
+    rare = docs.sparkSession.sparkContext.broadcast(np.log2(1.0 + count_words(docs)).astype(np.float32))
+    sets = work.cut(_sets(docs, size, similar, rare).select("id", "n", "s1", "s2", "sketch", "wide", "keys"), "sets")
 
     # equal sets: one representative each
     whole = sets.where("n > 0 AND id IS NOT NULL")
@@ -326,44 +476,22 @@ def find_components(docs: DataFrame, size: int, similar: int, work: Workspace) -
     copies = work.cut(narrow.join(groups, ["n", "s1", "s2"]).where("id <> first").select("id", "first").distinct(), "copies")
     work.drop("groups")
 
-    # regions that hold different sets, and their members without the copies
-    keys = whole.select("id", "n", "s1", F.explode("keys").alias("key"))
-    region = work.cut(_regions(keys), "regions")
-    member = keys.join(if_small(region, SMALL), "key").join(if_small(copies.select("id"), SMALL), "id", "left_anti")
-    member = work.cut(member.select("key", "id", "n").distinct(), "members")
-    work.drop("regions")
-    pivots = work.cut(member.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p")), "pivots")
-    base = member.join(pivots, "key").where("id <> p.id")
-    base = work.cut(base.select("key", "id", "n", F.col("p.id").alias("pivot")), "base")
-    work.drop("members")
-    work.drop("pivots")
-    pairs = base.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = work.cut(_may_link(pairs, whole, similar), "pairs")
-    work.tidy()
-
     texts = docs.where("id IS NOT NULL")
-    known = _distances(work, texts, pairs, size, similar, "dist")
-    label = components(work, known.where("link").select("a", "b"), "comp0")
-    far = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
-    cells = work.cut(base.join(far, ["id", "pivot"], "left").select("key", "id", "n", F.lit(True).alias("home"), "d"), "cells0")
-    for name in ("base", "pairs", "dist-d"):
-        work.drop(name)
-    step = 0
-    while (rest := _open_cells(work, cells, label, f"round{step}")) is not None:
-        work.drop(f"cells{step}")
-        step += 1
-        chosen, pairs = _pairs(rest, whole, step, similar)
-        chosen, pairs = work.cut(chosen, f"pivots{step}"), work.cut(pairs, f"pairs{step}")
-        known = _distances(work, texts, pairs, size, similar, f"dist{step}")
-        label = _joined(work, label, known.where("link").select("a", "b"), f"comp{step}")
-        large = rest.where(F.col("homes") > LEAF).limit(1).count()
-        if large:
-            cells = work.cut(_cells(rest, chosen, known, similar), f"cells{step}")
-        for name in (f"round{step - 1}-open", f"round{step - 1}-apart", f"pivots{step}", f"pairs{step}", f"dist{step}-d"):
-            work.drop(name)
-        work.tidy()
-        if not large:
-            break
+    keys = whole.select("id", "n", "s1", F.explode("keys").alias("key"))
+    label, cells = _stars(work, texts, keys, whole, copies, None, size, similar, "site")
+    rest = _open_cells(work, cells, label, "site")
+    work.drop("site-cells")
+    if rest is not None:
+        pairs = work.cut(_small_pairs(rest, whole, LEAF, similar), "site-pairs")
+        known = _distances(work, texts, pairs, size, similar, "site-more")
+        label = _joined(work, label, known.where("link").select("a", "b"), "site-comp1")
+        many = work.cut(rest.where(F.col("homes") > LEAF).select("id").distinct(), "many")
+        work.drop("site-open")
+        if many.limit(1).count():
+            found = _projected(texts.join(if_small(many, SMALL), "id", "left_semi"), size, similar)
+            keys = found.join(whole.select("id", "n", "s1"), "id").select("id", "n", "s1", F.explode("keys").alias("key"))
+            label, cells = _stars(work, texts, keys, whole, copies, label, size, similar, "class", merge=True)
+            label = _recursion(work, texts, cells, whole, label, size, similar)
     head = label.withColumnRenamed("id", "first")
     others = copies.join(head, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
     return sets.drop("keys"), work.cut(label.union(others), "components")

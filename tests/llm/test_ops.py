@@ -465,20 +465,43 @@ def test_drop_linked_null_ids(spark):
 
 
 def test_linked_sets_share_a_site():
-    """Pairs at the edge of what links, whatever the order of the shingles."""
+    """Texts at the edge of what links, whatever the counts of their words."""
+    import numpy as np
+
+    r = random.Random(9)
+    rare = np.array([r.random() * r.choice([1, 9]) for _ in range(1 << jaccard_join.COUNTERS)], np.float32)
+    linked = 0
+    for size, similar in ((1, 80), (2, 90), (3, 80)):
+        for _ in range(400):
+            x = [f"w{r.randint(0, 10**6)}" for _ in range(r.randint(1, 200))]
+            y = list(x)
+            for _ in range(r.randint(0, len(x) // 12 + 1)):
+                y[r.randrange(len(y))] = f"v{r.randint(0, 10**6)}"
+            y = y[r.randint(0, 1 + len(y) // 20) :] or ["z"]
+            texts = [" ".join(z).encode() for z in (x, y)]
+            a, b = jaccard_join.shingle_sets(texts, size)
+            o = jaccard_join.shingle_sets(texts, size, rare)
+            assert [len(z) for z in o] == [len(a), len(b)] and all((z[1:] > z[:-1]).all() for z in o)
+            if 100 * len(np.intersect1d(a, b)) >= similar * len(np.union1d(a, b)):
+                linked += 1
+                assert len(np.intersect1d(*(jaccard_join.sites(z, similar) for z in o)))
+    assert linked > 300
+
+
+def test_linked_sets_share_a_projection():
     import numpy as np
 
     r = random.Random(9)
-    rare = jaccard_join.rarity(np.array([r.randint(0, 9) for _ in range(1 << jaccard_join.COUNTERS)]))
     for similar in (80, 90):
+        edges, known = jaccard_join.size_regions(similar), {}
         for _ in range(400):
             both = r.randint(1, 400)
             spare = (100 * both // similar) - both
             a = r.randint(0, spare)
             pool = np.array([r.getrandbits(64) for _ in range(both + spare)], np.uint64)
             x, y = np.unique(pool[: both + a]), np.unique(np.concatenate([pool[:both], pool[both + a :]]))
-            kx, ky = (set(jaccard_join.sites(s, similar, rare).tolist()) for s in (x, y))
-            assert kx & ky and len(kx) == len(x) - -(-similar * len(x) // 100) + 1
+            kx, ky = (set(jaccard_join.projections(s, similar, edges, known).tolist()) for s in (x, y))
+            assert kx & ky
 
 
 def test_shingles_are_the_words():
@@ -509,12 +532,16 @@ def test_sketches_bound_the_difference():
             y = np.unique(np.concatenate([x[r.randint(0, n // 4) :], np.array([r.getrandbits(64) for _ in range(r.randint(0, n // 4))], np.uint64)]))
             bits = sum(int(b).bit_count() for b in (jaccard_join.sketch(x) ^ jaccard_join.sketch(y)).view(np.uint64))
             assert bits <= len(np.setxor1d(x, y)) and jaccard_join.overlap(x, y) == len(np.intersect1d(x, y))
+            for a in (512, 1024, 2048):
+                folded = jaccard_join.bits_apart(jaccard_join.sketch(x, a).tobytes(), jaccard_join.sketch(y, 1024).tobytes())
+                assert bits <= folded <= len(np.setxor1d(x, y)) and (jaccard_join.wide_sketch(x) is None) == (len(x) <= 1024)
 
 
 def test_jaccard_voronoi_cells(spark, monkeypatch):
     """Regions far larger than their pivots: sets that share a rare passage, at all distances."""
     monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
-    monkeypatch.setattr(jaccard_join, "LEAF", 12)
+    monkeypatch.setattr(jaccard_join, "LEAF", 6)
+    monkeypatch.setattr(jaccard_join, "CLOSE", 12)
     r = random.Random(21)
     shared = [f"p{k}" for k in range(12)]
     rows = []
