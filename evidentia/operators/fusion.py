@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..cluster import ship
 from ..config import DEFAULT, Settings
+from ..functions.text import TOKEN
 
 
 class PairScorer(Protocol):
@@ -18,6 +19,16 @@ class PairScorer(Protocol):
     def score(self, pairs: list[tuple[str, str]]) -> list[float]: ...
 
 
+class OverlapScorer:
+    """A stand-in without a model: the share of the query's distinct tokens that a text has."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]:
+        import re
+
+        sets = ([set(re.findall(TOKEN, x.lower())) for x in pair] for pair in pairs)
+        return [len(q & t) / len(q) if q else 0.0 for q, t in sets]
+
+
 def _rounded(x: Column, digits: int | None) -> Column:
     return x if digits is None else F.bround(x, digits)
 

@@ -16,6 +16,8 @@ from .config import DEFAULT, EVIDENCE
 from .functions.numeric import between, clamp
 from .functions.text import contacts, jaccard, matched, pack_chunks, sentences, tokens
 from .operators import checks, dense, explain, features, fusion, lexical, model
+from .sources.candidates import last_wins, missing, pick
+from .sources.profile import split_chunks
 
 K = 50
 AS_OF = "2024-02-01"
@@ -194,8 +196,10 @@ def near_duplicate_pairs(spark, d):
 
 
 def opening_mode(spark, d):
-    first = F.array_join(F.slice(tokens(F.col("text")), 1, 1), " ")
-    rows = _t(spark, d, "conversations").select("conv_id", first.alias("w")).groupBy("conv_id").agg(F.collect_list("w").alias("w"))
+    """Openings of three tokens, as the description check takes them; shorter texts have none."""
+    w = tokens(F.col("text"))
+    rows = _t(spark, d, "conversations").select("conv_id", F.when(F.size(w) >= 3, F.array_join(F.slice(w, 1, 3), " ")).alias("w"))
+    rows = rows.groupBy("conv_id").agg(F.collect_list("w").alias("w"))  # a conversation's turns
     return rows.select("conv_id", F.size("w").cast("long").alias("n"), checks.commonest(F.col("w")).cast("long").alias("most"))
 
 
@@ -317,6 +321,39 @@ def best_first_topk(spark, d):
     return lexical.ranked(lexical.top(o, 100, "score", "o_orderkey"), "score", "o_orderkey")
 
 
+def pair_scores(spark, d):
+    """The pair scorer over the heads of all documents."""
+    rows = _texts(spark, d).select("doc_id", "text")
+    return fusion.score_pairs(rows, _query(spark, d), "text", fusion.OverlapScorer).select("doc_id", F.round("pair_score", 6).alias("score"))
+
+
+def chunk_parts(spark, d):
+    """Documents as evidence chunks, split at 512 characters."""
+    rows = _texts(spark, d).select("doc_id", F.col("source").alias("section"), "text")
+    return split_chunks(rows, 512).groupBy("section").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("size"), F.max("part").cast("long").alias("last"))
+
+
+def latest_wins(spark, d):
+    """Of each user's events the last in order of time, then id."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("candidate_id"), F.struct("ts", "event_id").alias("at"), "event_id", "event_type")
+    return last_wins(e, "at").select(F.col("candidate_id").alias("user_id"), "event_id", "event_type")
+
+
+def short_list(spark, d):
+    """The records of a short list, and which of the list have none."""
+    ids = _t(spark, d, "labels").select(F.col("doc_id").cast("string").alias("candidate_id"))
+    have = _docs(spark, d).where("lang = 'en'").select(F.col("doc").cast("string").alias("candidate_id"), "cid")
+    found = pick(have, ids).select(F.col("candidate_id").cast("long").alias("doc_id"), F.col("cid").alias("source"))
+    return found.unionByName(missing(ids, have).select(F.col("candidate_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("source")))
+
+
+def stored_index(spark, d):
+    """What a stored index holds of the query's terms."""
+    index = lexical.build_index(_docs(spark, d))
+    hits = index.postings.join(F.broadcast(lexical.query_terms(spark, _query(spark, d))), "term")
+    return hits.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum("dl").alias("words"), F.max("qtf").cast("long").alias("qtf"))
+
+
 def gbt_scores(spark, d):
     """Boosted trees over simple text counts, trained on the labels; no SQL form."""
     j = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "n_chars", "text"), "doc_id")
@@ -348,7 +385,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         evidence_terms, contact_extract, text_truncation, bm25_doc_topk, bm25_top_chunks, bm25_boosted_topk, vector_topk, vector_candidate_topk,
         fusion_weighted_norm, fusion_rrf, rerank_blend, funnel_topk, near_duplicate_pairs, opening_mode, positional_weights, behavioral_score,
         json_props, timeline_gaps, timeline_overlaps, band_penalty, weighted_rank_final, distinct_breadth, id_anti, id_semi, id_union,
-        label_metrics, explain_template, best_first_topk, gbt_scores, parsed_queries,
+        label_metrics, explain_template, best_first_topk, gbt_scores, parsed_queries, pair_scores, chunk_parts, latest_wins,
+        short_list, stored_index,
     )
 }
 
@@ -432,7 +470,7 @@ SELECT *, row_number() OVER (ORDER BY score DESC, source) AS rank FROM o""",
     "near_duplicate_pairs": f"""WITH t AS (SELECT conv_id, turn, list_distinct({_TEXT}) AS w FROM conversations)
 SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn
 WHERE len(list_concat(a.w, b.w)) > 0 AND round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) > 0.2""",
-    "opening_mode": f"WITH t AS (SELECT conv_id, array_to_string({_TEXT}[1:1], ' ') AS w FROM conversations), c AS (SELECT conv_id, w, count(*) AS n FROM t GROUP BY ALL) SELECT conv_id, sum(n)::BIGINT AS n, max(n) AS most FROM c GROUP BY conv_id",
+    "opening_mode": f"WITH t AS (SELECT conv_id, CASE WHEN len({_TEXT}) >= 3 THEN array_to_string({_TEXT}[1:3], ' ') END AS w FROM conversations), c AS (SELECT conv_id, w, count(w) AS n FROM t GROUP BY ALL) SELECT conv_id, sum(n)::BIGINT AS n, max(n) AS most FROM c GROUP BY conv_id",
     "positional_weights": "SELECT conv_id, turn, round(CASE WHEN role = 'system' THEN 1.5 ELSE greatest(0.6, 1.2 - 0.15 * turn) END, 6)::DOUBLE AS weight FROM conversations",
     "behavioral_score": f"""WITH e AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
 g AS (SELECT user_id, count(*) AS n, sum(k)::BIGINT AS k, count(*) FILTER (WHERE event_type = 'click') AS clicks, date_diff('day', max(ts)::DATE, DATE '{AS_OF}') AS days FROM e GROUP BY user_id)
@@ -458,5 +496,21 @@ SELECT *, row_number() OVER (ORDER BY score DESC, s_suppkey) AS rank FROM (SELEC
 c AS (SELECT *, must * 11 + floor(years * 7)::BIGINT + stack * 13 AS seed, greatest(must * 1.5, stack * 2.0, 3.5, least(1.0, years / 10) * 4) AS top FROM b)
 SELECT doc_id, seed::BIGINT AS seed, CASE WHEN must * 1.5 = top THEN 'skills' WHEN stack * 2.0 = top THEN 'tech' WHEN 3.5 = top THEN 'career' ELSE 'experience' END AS signal,
 CASE WHEN must < 4 THEN ['The overall fit with JD-specific requirements is partial.', 'Several JD requirements are not directly evidenced in the profile.', 'The match is present but less comprehensive than stronger candidates.'][(seed % 3 + 1)::INT] ELSE '' END AS concern FROM c""",
+    "chunk_parts": f"""WITH RECURSIVE x AS (SELECT doc_id, source, trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS t, {_SENT} AS s FROM documents),
+r(doc_id, source, s, i, part, size, held) AS (
+  SELECT doc_id, source, s, 1, 0, length(s[1]) + 1, s[1] FROM x WHERE length(t) > 512
+  UNION ALL
+  SELECT doc_id, source, s, i + 1, CASE WHEN size + length(s[i + 1]) > 512 THEN part + 1 ELSE part END,
+    CASE WHEN size + length(s[i + 1]) > 512 THEN length(s[i + 1]) + 1 ELSE size + length(s[i + 1]) + 1 END,
+    CASE WHEN size + length(s[i + 1]) > 512 THEN s[i + 1] ELSE held || ' ' || s[i + 1] END
+  FROM r WHERE i < len(s)),
+c AS (SELECT doc_id, source, part, length(arg_max(held, i)) AS size FROM r GROUP BY doc_id, source, part UNION ALL SELECT doc_id, source, 0, length(t) FROM x WHERE length(t) BETWEEN 1 AND 512),
+p AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM c)
+SELECT CASE WHEN n > 1 THEN source || ' [part ' || (part + 1) || ']' ELSE source END AS section, count(*) AS chunks, sum(size)::BIGINT AS size, max(part)::BIGINT AS last FROM p GROUP BY 1""",
+    "pair_scores": f"""WITH q AS (SELECT list_distinct(regexp_extract_all(lower(substring(text, 1, 512)), '[a-z0-9_\\-\\.]+')) AS q FROM benchmark WHERE item_id = 0)
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN NULL ELSE round(len(list_intersect(list_distinct(regexp_extract_all(lower(substring(text, 1, 512)), '[a-z0-9_\\-\\.]+')), q)) / len(q), 6) END AS score FROM documents, q""",
+    "latest_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
+    "short_list": "SELECT l.doc_id, d.source FROM (SELECT DISTINCT doc_id FROM labels) l LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d USING (doc_id)",
+    "stored_index": f"WITH {_POSTINGS}, q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({_TEXT}) AS term FROM benchmark WHERE item_id = 0) GROUP BY term) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, sum(dl)::BIGINT AS words, max(qtf)::BIGINT AS qtf FROM p JOIN dl USING (doc) JOIN q USING (term) GROUP BY term",
     "best_first_topk": "SELECT *, row_number() OVER (ORDER BY score DESC, o_orderkey) AS rank FROM (SELECT o_orderkey, round(o_totalprice, 2) AS score FROM orders ORDER BY 2 DESC, 1 LIMIT 100)",
 }

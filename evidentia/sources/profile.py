@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import joined
+from ..functions.text import joined, pack_chunks
 
 
 def _text(c: str) -> Column:
@@ -103,6 +103,17 @@ def evidence_chunks(people: DataFrame) -> DataFrame:
     return rows.select("cid", "ordinal", "c.*").withColumn("doc", F.concat_ws("#", "cid", F.lpad(F.col("ordinal").cast("string"), 4, "0")))
 
 
+def split_chunks(chunks: DataFrame, most: int = 512) -> DataFrame:
+    """Chunks of at most about ``most`` characters: longer ones are packed anew sentence by
+    sentence and their sections numbered (``[part n]``); blank ones go.  A longer sentence stays whole."""
+    text = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
+    parts = F.when(F.length(text) <= most, F.array("text")).otherwise(pack_chunks(text, most))
+    others = [c for c in chunks.columns if c not in ("section", "text")]
+    rows = chunks.where(text != "").select(*others, "section", F.size(parts).alias("_n"), F.posexplode(parts).alias("part", "text"))
+    section = F.when(F.col("_n") > 1, F.concat("section", F.lit(" [part "), (F.col("part") + 1).cast("string"), F.lit("]"))).otherwise(F.col("section"))
+    return rows.withColumn("section", section).drop("_n")
+
+
 def timeline(career: Column) -> Column:
     """Jobs with the current ones first, then the latest start first."""
     return F.transform(

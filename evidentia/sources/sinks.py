@@ -11,6 +11,22 @@ def write_submission(ranking: DataFrame, path: str, k: int = 100) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def problems(ranking: DataFrame, k: int = 100, score: str = "final_score") -> list[str]:
+    """What is wrong with a ranking of at most ``k`` rows: ids twice or missing, ranks that
+    aren't 1 to n, scores out of 0..1 or out of order."""
+    rows = ranking.select("candidate_id", "rank", score).orderBy("rank").limit(k + 1).collect()
+    ids, scores = [r.candidate_id for r in rows], [r[score] for r in rows]
+    found = {
+        f"more than {k} rows": len(rows) > k,
+        "a row without an id": not all(ids),
+        "an id that occurs twice": len(set(ids)) < len(ids),
+        "ranks that aren't 1 to n": [r.rank for r in rows] != list(range(1, len(rows) + 1)),
+        "a score outside 0 to 1": not all(x is not None and 0 <= x <= 1 for x in scores),
+        "scores that rise": any(a is not None and b is not None and a < b for a, b in zip(scores, scores[1:])),
+    }
+    return [text for text, wrong in found.items() if wrong]
+
+
 def write_scan(ranking: DataFrame, path: str) -> None:
     """The scan's result in the same form."""
     rows = ranking.orderBy("rank").select("candidate_id", "rank", F.col("legacy_score").alias("score"), "reasoning")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia import jobs, queries
 from evidentia.config import DEFAULT_QUERY
 from evidentia.functions import numeric, text
 from evidentia.operators import checks, explain, features, fusion, lexical, model
@@ -12,7 +13,7 @@ from evidentia.operators.dense import HashingEmbedder
 from evidentia.plans import query, resume
 from evidentia.plans.ranking import Engine, scan_top
 from evidentia.sources import candidates, sinks
-from evidentia.sources.profile import evidence_chunks, profiles, timeline
+from evidentia.sources.profile import evidence_chunks, profiles, split_chunks, timeline
 from evidentia.streaming.topk import StreamingTopK, read_stream
 
 AS_OF = "2024-02-01"
@@ -321,6 +322,67 @@ def test_stream_equals_batch(spark, tmp_path):
     assert top.result(spark, 0).first().candidate_id == "strong" != top.result(spark, 2).first().candidate_id
 
 
+def test_jobs(spark, tmp_path):
+    """Index, rank with reranking, scan, and what is read back; a missing input is named."""
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps(p) for p in PEOPLE))
+    (tmp_path / "q.txt").write_text(QUERY)
+    path = {k: str(tmp_path / k) for k in ("in.jsonl", "q.txt", "index", "csv", "json", "scan")}
+    jobs.main(["index", "--input", path["in.jsonl"], "--index", path["index"]])
+    jobs.main(["rank", "--index", path["index"], "--query", path["q.txt"], "--output-csv", path["csv"], "--output-json", path["json"], "--top-k", "5", "--as-of", AS_OF, "--rerank", "--validate"])
+    rows = spark.read.option("header", True).option("escape", '"').csv(path["csv"]).collect()
+    built = Engine(spark, make_embedder=HashingEmbedder, make_scorer=fusion.OverlapScorer).index(candidates.from_rows(spark, PEOPLE)).rank(QUERY, 5, as_of=AS_OF)
+    assert [r.candidate_id for r in rows] == [r.candidate_id for r in built.orderBy("rank").collect()] and rows[0].candidate_id == "strong"
+    last, about = sinks.read_last(spark, path["json"])
+    assert about.first().result_count == len(rows) == last.count() and last.where("rank = 1").first().experience == "9.0 yrs"
+    jobs.main(["scan", "--input", path["in.jsonl"], "--output-csv", path["scan"], "--top-k", "3", "--as-of", AS_OF])
+    assert spark.read.option("header", True).csv(path["scan"]).count() == 3
+    with pytest.raises(SystemExit, match="no such input"):
+        jobs.main(["scan", "--input", path["in.jsonl"] + ".gone"])
+
+
+def test_ranking_problems(spark):
+    rows = spark.createDataFrame([("a", 1, 0.5), ("a", 3, 0.9), (None, 4, 2.0)], "candidate_id string, rank long, final_score double")
+    assert len(sinks.problems(rows, 2)) == 6 and sinks.problems(rows.limit(1)) == []
+
+
+def test_methods_and_training(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"candidates": PEOPLE}))
+    raw = candidates.training_records(spark, str(tmp_path / "t.json"))
+    e = Engine(spark, make_embedder=HashingEmbedder).index(raw)
+    assert e.status() == {"status": "ok", "indexed": True, "candidates": len(PEOPLE)}
+    assert e.retrieve(QUERY, 5, method="rrf").where("hybrid_score > 0").count() > 0
+    fitted = model.train(e.training_rows(AS_OF).withColumn("label", F.col("label").cast("double")), trees=2)
+    model.save(fitted, str(tmp_path / "m"))
+    again = model.load(str(tmp_path / "m"))
+    assert again.getNumTrees == 2 and len(model.importances(again)) > 0
+
+
+def test_chunk_parts(spark):
+    text = " ".join(f"Sentence number {k} goes here." for k in range(40))
+    rows = spark.createDataFrame([("s", " \n "), ("t", "  short  "), ("u", text), ("v", "x" * 600)], "section string, text string")
+    got = [(r.section, len(r.text)) for r in split_chunks(rows, 512).orderBy("section").collect()]
+    assert [s for s, _ in got] == ["t", "u [part 1]", "u [part 2]", "u [part 3]", "v"] and got[0][1] == 5 and got[-1][1] == 600
+    assert all(n <= 512 for s, n in got if s != "v")
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """The other queries are there without it, and a fault inside it isn't hidden."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    for name in ("evidentia", "__spark_entry__.py"):
+        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
+    shutil.rmtree(tmp_path / "evidentia" / "llm", ignore_errors=True)
+    assert int(run().stdout.split()[-1]) == len(queries.QUERIES)
+    (tmp_path / "evidentia" / "llm").mkdir()
+    (tmp_path / "evidentia" / "llm" / "queries.py").write_text("import no_such_module")
+    assert "no_such_module" in run().stderr
+
+
 def test_explanation_choice(spark):
     seed = explain.choose(F.lit(7), [F.lit("a"), F.lit("b"), F.lit("c")])
     assert spark.range(1).select(seed.alias("x")).first().x == "b"
