@@ -15,7 +15,10 @@ Defined results
 * without any labelled row there is nothing to learn: all texts get ``und``;
 * with one language every text with a letter gets it, with score 1;
 * ties between codewords go to the language that sorts first;
-* rows are judged one by one; extra columns pass through.
+* very long texts are counted whole, slice by slice;
+* rows are judged one by one, so repeated rows and null ids do no harm; an empty
+  table gives an empty result;
+* extra columns pass through, but for those named as a new one, which are replaced.
 """
 
 from __future__ import annotations

@@ -23,7 +23,11 @@ Defined results
 * null, empty or short texts match nothing;
 * a template that occurs several times is listed once for each place; windows
   of one place are merged;
-* rows are judged one by one; extra columns pass through.
+* templates of fewer words than a shingle can't be matched: they have no shingles;
+* very long texts are scanned whole, window by window;
+* rows are judged one by one, so ties, repeated rows and null ids do no harm; an
+  empty table gives an empty result;
+* extra columns pass through, but for one named as the new column, which is replaced.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Defined results
   document after all others;
 * ties can't occur: within a batch the smallest id keeps a key, and of two
   batches the earlier one does;
-* extra columns pass through untouched, whatever their names.
+* very long texts and lines are taken whole; an empty table gives an empty result;
+* extra columns pass through, but for those named as a new one, which are replaced.
 
 Keys are compared by two 64-bit hashes with independent seeds.
 """

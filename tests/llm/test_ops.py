@@ -609,9 +609,87 @@ def test_license_rows(odd, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_license_query(spark):
+    """The registered query's rows against every template in every window."""
+    index = license_scan.LicenseIndex()
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.QUERIES["op9_license_scan"](spark, MIDDLE)
+    assert got.columns == ["doc_id", "n_licenses", "license_ids", "spans", "best_contained"]
+    rows = got.collect()
+    assert len(rows) == len(text) and sum(r.n_licenses > 0 for r in rows) > 0
+    for r in rows:
+        want = index.matches((text[r.doc_id] or "").encode(), banded=False)
+        assert r.n_licenses == len(want) and r.spans == ",".join(f"{m.license}:{m.start}:{m.end}" for m in want)
+        assert r.license_ids == ",".join(sorted({m.license for m in want})) and r.best_contained == max((m.contained for m in want), default=0.0)
+
+
 # -- GIF ---------------------------------------------------------------------
 
 
+def plain_gif_levels(data):
+    """The samples of all frames, by a decoder that shares nothing with the operator's."""
+    assert data[:6] == b"GIF89a" and data[10] & 0x80
+    at, out = 13 + 3 * 2 ** ((data[10] & 7) + 1), []
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            at += 2
+        else:
+            assert data[at] == 0x2C and not data[at + 9] & 0xC0
+            least = data[at + 10]
+            at += 11
+            body, k = b"", at
+            while data[k]:
+                body += data[k + 1 : k + 1 + data[k]]
+                k += data[k] + 1
+            bits = "".join(f"{b:08b}"[::-1] for b in body)
+            words, size, pos, before = {}, least + 1, 0, None
+            while True:
+                code, pos = int(bits[pos : pos + size][::-1], 2), pos + size
+                if code == 1 << least:
+                    words, size, before = {k: bytes([k]) for k in range(1 << least)}, least + 1, None
+                    free = (1 << least) + 2
+                    continue
+                if code == (1 << least) + 1:
+                    break
+                word = words[code] if code in words else before + before[:1]
+                out.append(word)
+                if before is not None and free < 4096:
+                    words[free] = before + word[:1]
+                    free += 1
+                    size = min(12, max(size, free.bit_length()))
+                before = word
+            at = k + 1
+            continue
+        while data[at]:
+            at += data[at] + 1
+        at += 1
+    return b"".join(out)
+
+
+def test_gif_against_a_plain_decoder():
+    r = random.Random(16)
+    for k in range(40):
+        p = gif_media.padded(bytes(r.choice(b"abc") if k % 2 else r.randrange(256) for _ in range(r.choice([0, 1, 64, 300, 7000]))))
+        for small in (False, True):
+            assert plain_gif_levels(gif_media.encode_bytes(p, small=small)) == p
+
+
+def test_gif_query(spark):
+    """The registered query's rows, with the media decoded by the plain decoder."""
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.QUERIES["op10_gif_media"](spark, SMALL)
+    assert got.columns[:7] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    rows = got.collect()
+    assert len(rows) == len(text)
+    for k, r in enumerate(rows):
+        payload = text[r.doc_id] + bytes(-len(text[r.doc_id]) % 64 or (0 if text[r.doc_id] else 64))
+        media = gif_media.encode_bytes(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-64:]) and (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        if k % 20 == 0:
+            assert plain_gif_levels(media) == payload
+
+
 def test_gif_round_trips():
     r = random.Random(6)
     for k in range(120):

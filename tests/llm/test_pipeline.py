@@ -100,3 +100,28 @@ def test_encoding_stage(stages):
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, SMALL)
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in stages[-1][2].collect())
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Nulls, repeats, a very long text and clashing names go through all stages; so does an empty table."""
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r.toxic}
+    base = spark.read.parquet(f"{SMALL}/documents.parquet")
+    said = [r.text for r in base.collect() if r.doc_id in toxic]
+    fine = " ".join(f"w{k}" for k in range(300))
+    rows = [(None, None, 1), (1, None, 2), (2, "", 3), (3, fine, 4), (3, fine, 5), (None, fine, 6), (5, fine + " end", 7), (6, "word " * 60_000, 8), (7, said[0] if said else "x", 9)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    for df in (odd, odd.limit(0)):
+        docs = df
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{df is odd}{k}")
+            out = stage(spark, docs, SMALL)
+            if k < 4:
+                assert out.columns == df.columns
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if k == 2 and df is odd:
+                left = sorted(r.score for r in docs.collect())
+                assert set(left) - {9} == {1, 2, 3, 4, 5, 6, 8}  # 6 lost its line to 4 and is empty, 7 is a near copy
+        assert docs.count() == (0 if df is not odd else docs.count()) and {"doc_id", "n_tokens", "ids"} <= set(docs.columns)
+        if df is odd:
+            assert sorted(r.n_tokens for r in docs.collect())[:3] == [2, 2, 2]
