@@ -15,6 +15,13 @@ so a lost executor costs at most the stage at work.
 5. SentencePiece encoding: token counts, ids and the decoded text's digest.
 
 ``n_chars`` follows the text where a stage changes it.
+
+Defined results, besides those of the operators: rows with a null text or id go
+through all stages, as do rows with an empty text; rows that repeat an id are judged
+by their own texts, but of copies and near copies only rows of one id stay (a row
+with a null id goes where another row stays for it); very long texts are taken
+whole; an empty table gives an empty table at every stage; extra columns come
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ from evidentia.llm.common import Workspace, fresh, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic rows go, each by its own text; null and empty texts stay unless the bias alone says toxic."""
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"))
     model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
     score, toxic = fresh(docs, "stage_score"), fresh(docs, "stage_toxic")
@@ -33,6 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; null texts stay null.  Rows that share an id count as one document, null ids as the last."""
     lines, dropped, kept = (fresh(docs, f"stage_{x}") for x in ("lines", "dropped", "kept"))
     done = line_dedup.dedup_lines(docs, n_lines=lines, n_dropped=dropped, kept=kept)
     changed = {"text": F.when(F.col(dropped) > 0, F.col(kept)).otherwise(F.col("text"))}
@@ -42,15 +51,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the smallest id; texts without words link with nothing and stay."""
     return jaccard_join.drop_linked(docs, "doc_id", "text", size=5, similar=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated rows go, each by its own text; wordless ones stay, as do all under an empty benchmark."""
     done = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return done.where("NOT contaminated").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row; null and empty texts have the begin and end ids only."""
     done = piece_bpe.encode_documents(docs, piece_bpe.default_model(), keep_ids=True, keep_decoded=False)
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
