@@ -496,7 +496,7 @@ SELECT *, row_number() OVER (ORDER BY score DESC, s_suppkey) AS rank FROM (SELEC
 c AS (SELECT *, must * 11 + floor(years * 7)::BIGINT + stack * 13 AS seed, greatest(must * 1.5, stack * 2.0, 3.5, least(1.0, years / 10) * 4) AS top FROM b)
 SELECT doc_id, seed::BIGINT AS seed, CASE WHEN must * 1.5 = top THEN 'skills' WHEN stack * 2.0 = top THEN 'tech' WHEN 3.5 = top THEN 'career' ELSE 'experience' END AS signal,
 CASE WHEN must < 4 THEN ['The overall fit with JD-specific requirements is partial.', 'Several JD requirements are not directly evidenced in the profile.', 'The match is present but less comprehensive than stronger candidates.'][(seed % 3 + 1)::INT] ELSE '' END AS concern FROM c""",
-    "chunk_parts": f"""WITH RECURSIVE x AS (SELECT doc_id, source, trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS t, {_SENT} AS s FROM documents),
+    "chunk_parts": f"""WITH RECURSIVE x AS (SELECT doc_id, source, text, trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS t, {_SENT} AS s FROM documents),
 r(doc_id, source, s, i, part, size, held) AS (
   SELECT doc_id, source, s, 1, 0, length(s[1]) + 1, s[1] FROM x WHERE length(t) > 512
   UNION ALL
@@ -504,7 +504,7 @@ r(doc_id, source, s, i, part, size, held) AS (
     CASE WHEN size + length(s[i + 1]) > 512 THEN length(s[i + 1]) + 1 ELSE size + length(s[i + 1]) + 1 END,
     CASE WHEN size + length(s[i + 1]) > 512 THEN s[i + 1] ELSE held || ' ' || s[i + 1] END
   FROM r WHERE i < len(s)),
-c AS (SELECT doc_id, source, part, length(arg_max(held, i)) AS size FROM r GROUP BY doc_id, source, part UNION ALL SELECT doc_id, source, 0, length(t) FROM x WHERE length(t) BETWEEN 1 AND 512),
+c AS (SELECT doc_id, source, part, length(arg_max(held, i)) AS size FROM r GROUP BY doc_id, source, part UNION ALL SELECT doc_id, source, 0, length(text) FROM x WHERE length(t) BETWEEN 1 AND 512),
 p AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM c)
 SELECT CASE WHEN n > 1 THEN source || ' [part ' || (part + 1) || ']' ELSE source END AS section, count(*) AS chunks, sum(size)::BIGINT AS size, max(part)::BIGINT AS last FROM p GROUP BY 1""",
     "pair_scores": f"""WITH q AS (SELECT list_distinct(regexp_extract_all(lower(substring(text, 1, 512)), '[a-z0-9_\\-\\.]+')) AS q FROM benchmark WHERE item_id = 0)

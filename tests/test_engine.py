@@ -361,7 +361,7 @@ def test_chunk_parts(spark):
     text = " ".join(f"Sentence number {k} goes here." for k in range(40))
     rows = spark.createDataFrame([("s", " \n "), ("t", "  short  "), ("u", text), ("v", "x" * 600)], "section string, text string")
     got = [(r.section, len(r.text)) for r in split_chunks(rows, 512).orderBy("section").collect()]
-    assert [s for s, _ in got] == ["t", "u [part 1]", "u [part 2]", "u [part 3]", "v"] and got[0][1] == 5 and got[-1][1] == 600
+    assert [s for s, _ in got] == ["t", "u [part 1]", "u [part 2]", "u [part 3]", "v"] and got[0][1] == 9 and got[-1][1] == 600  # short ones stay as they are
     assert all(n <= 512 for s, n in got if s != "v")
 
 
