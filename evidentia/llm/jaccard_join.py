@@ -79,6 +79,8 @@ WIDE = 1024
 PIVOTS, LEAF, CLOSE = 64, 64, 1024
 #: Rows up to which a list of ids or keys (8 bytes each) is broadcast; beyond it is shuffled.
 SMALL = 2_000_000
+#: Bytes of pivots' sets up to which they are broadcast.
+SENT = 16 << 20
 
 
 def shingle_sets(texts: list[bytes], size: int, rare: np.ndarray | None = None) -> list[np.ndarray]:
@@ -313,8 +315,11 @@ def _distances(work: Workspace, texts: DataFrame, pairs: DataFrame, size: int, s
     found = texts.join(if_small(need, SMALL), "id", "left_semi")
     whole = append_columns(found, lambda: lambda batch: {"set": [s.tobytes() for s in shingle_sets(raw_texts(batch, "text"), size)]}, {"set": "binary"}, keep=["id"])
     sets = work.cut(whole, f"{name}-sets")
-    # a pivot, and so b, can be in very many pairs: those come last and skewed partitions are split
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    # a pivot, and so b, can be in very many pairs: the sets of pivots are sent to all if they are
+    # small together; else those pairs come last, and skewed partitions are split
+    firsts = sets.join(if_small(pairs.select(F.col("b").alias("id")).distinct(), SMALL), "id", "left_semi").select(F.col("id").alias("b"), F.col("set").alias("y"))
+    size_of = firsts.agg(F.sum(F.length("y") + 64).alias("bytes")).first()["bytes"] or 0
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(F.broadcast(firsts) if size_of <= SENT else firsts, "b")
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, list]:
@@ -428,15 +433,25 @@ def _stars(work: Workspace, texts: DataFrame, keys: DataFrame, sets: DataFrame,
     base = work.cut(base, f"{name}-base")
     for x in ("regions", "members", "pivots"):
         work.drop(f"{name}-{x}")
-    pairs = base.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = work.cut(_may_link(pairs, sets, similar), f"{name}-near")
     work.tidy()
-    known = _distances(work, texts, pairs, size, similar, f"{name}-dist")
+    # each set with its first pivot, which is enough for most groups; then with those that it isn't connected with yet
+    first = base.groupBy(F.col("id").alias("a")).agg(F.min("pivot").alias("b"))
+    first = work.cut(_may_link(first, sets, similar), f"{name}-first")
+    known = _distances(work, texts, first, size, similar, f"{name}-star")
     links = known.where("link").select("a", "b")
     label = components(work, links, f"{name}-comp") if label is None else _joined(work, label, links, f"{name}-comp")
+    pairs = base.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    for c in "ab":
+        pairs = pairs.join(label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    pairs = work.cut(_may_link(pairs, sets, similar), f"{name}-near")
+    if pairs.limit(1).count():
+        more = _distances(work, texts, pairs, size, similar, f"{name}-dist")
+        label = _joined(work, label, more.where("link").select("a", "b"), f"{name}-join")
+        known = known.union(more)
     far = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
     cells = work.cut(base.join(far, ["id", "pivot"], "left").select("key", "id", "n", F.lit(True).alias("home"), "d"), f"{name}-cells")
-    for x in ("base", "near", "dist-d"):
+    for x in ("base", "first", "near", "star-d", "dist-d"):
         work.drop(f"{name}-{x}")
     return label, cells
 
