@@ -237,8 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         return {"key": list(map(_text_key, texts)), "sign": [x.tobytes() for x in signatures(word_counts(texts))]}
 
     seen = _mapped(toxic, text_col, signs, {"key": "long", "sign": "binary"})
-    matrix = np.array([np.frombuffer(x, np.int32) for _, x in seen]).reshape(len(seen), -1)
-    kept = frozenset(seen[k][0] for k in without_copies(matrix)) if len(seen) else frozenset()
+    kept = frozenset(seen[k][0] for k in without_copies(np.array([np.frombuffer(x, np.int32) for _, x in seen]))) if seen else frozenset()
     model = ToxicityModel(None)
     if kept:
         chosen = telling_words(document_frequencies(toxic, text_col, kept), len(kept), document_frequencies(docs, text_col), total)
