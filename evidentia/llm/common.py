@@ -58,9 +58,9 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write ``df`` and read it back: the new frame has no lineage."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").parquet(self.path(name), compression=compression)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

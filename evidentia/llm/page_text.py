@@ -33,6 +33,7 @@ from __future__ import annotations
 import re
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -42,7 +43,7 @@ from .common import Workspace, append_columns, fresh, if_small, table
 
 #: A template's subtree is on at least this share of its host's pages, and in this many classes of them.
 SHARE, CLASSES = 0.002, 5
-#: Most templates that are broadcast (two longs each).
+#: Most templates, or hosts, that are broadcast.
 SMALL = 1_000_000
 
 # Elements of HTML and what they are to a reader.
@@ -268,34 +269,75 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     """``pages`` without their html, with ``text``, its code points ``n_chars``, and how many blocks went as
     parts of a template (``n_template``) and of those left for their markup (``n_markup``)."""
     work = workspace or Workspace(pages.sparkSession)
-    host, cls, found, row, dead = (fresh(pages, x) for x in ("host", "class", "blocks", "row", "dead"))
+    host, cls, texts, inside, paths, dead = (fresh(pages, x) for x in ("host", "class", "texts", "inside", "paths", "dead"))
+    others = [c for c in pages.columns if c != html_col]
 
-    def make():
+    def parse_all():
         def run(batch: pa.RecordBatch) -> dict[str, list]:
-            got = [blocks(h or "") for h in batch.column(batch.schema.get_field_index(html_col)).to_pylist()]
-            return {found: [[{"text": t, "inside": i, "path": p} for t, i, p in x] for x, _ in got], cls: [c for _, c in got]}
+            of = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (host, html_col)}
+            out: dict[str, list] = {c: [] for c in (cls, texts, inside, paths)}
+            for site, page in zip(of[host], of[html_col]):
+                found, about = blocks(page or "")
+                # a subtree's hash is that of its host too, so it is a key by itself
+                salt = xxhash.xxh3_64_intdigest(site.encode()) - (1 << 63) if site else 0
+                out[cls].append(about)
+                out[texts].append([t for t, _, _ in found])
+                out[inside].append([i for _, i, _ in found])
+                out[paths].append([[h ^ salt for h in p] if site else [] for _, _, p in found])
+            return out
 
         return run
 
     named = F.lower(F.nullif(F.regexp_extract(F.col(url_col), HOST, 1), F.lit("")))
-    fields = {found: "array<struct<text:string,inside:boolean,path:array<long>>>", cls: "int"}
-    others = [c for c in pages.columns if c != html_col]
-    parsed = append_columns(pages.withColumn(host, named), make, fields, keep=[*others, host]).withColumn(row, F.monotonically_increasing_id())
-    parsed = work.cut(parsed, "parsed")
+    fields = {cls: "int", texts: "array<string>", inside: "array<boolean>", paths: "array<array<long>>"}
+    parsed = work.cut(append_columns(pages.withColumn(host, named), parse_all, fields, keep=[*others, host]), "parsed", "zstd")
 
-    seen = parsed.where(F.col(host).isNotNull()).select(row, host, cls, F.explode(F.array_distinct(F.flatten(F.transform(found, lambda b: b["path"])))).alias("sub"))
-    counted = seen.groupBy(host, "sub").agg(F.count("*").alias("n"), F.bit_or(F.expr(f"shiftleft(1L, `{cls}`)")).alias("of"))
+    seen = parsed.select(host, cls, F.explode(F.array_distinct(F.flatten(paths))).alias("sub"))
+    counted = seen.groupBy("sub").agg(F.count("*").alias("n"), F.bit_or(F.expr(f"shiftleft(1L, `{cls}`)")).alias("of"), F.first(host).alias(host))
     sizes = work.cut(parsed.groupBy(host).agg(F.count("*").alias("pages")), "hosts")
     many = counted.where(F.bit_count("of") >= classes).join(if_small(sizes, SMALL), host)
-    templates = work.cut(many.where(F.col("n") >= share * F.col("pages")).select(host, "sub"), "templates")
-    gone = seen.join(if_small(templates, SMALL), [host, "sub"], "left_semi").groupBy(row).agg(F.collect_set("sub").alias(dead))
-
-    out = parsed.join(gone, row, "left").withColumn(dead, F.coalesce(dead, F.array().cast("array<long>")))
-    stay = F.filter(found, lambda b: ~F.arrays_overlap(b["path"], F.col(dead)))
-    out = out.withColumns({"n_template": (F.size(found) - F.size(stay)).cast("long"), found: stay})
-    kept = F.filter(found, lambda b: b["inside"])
-    out = out.withColumns({"n_markup": (F.size(found) - F.size(kept)).cast("long"), "text": F.array_join(F.transform(kept, lambda b: b["text"]), "\n")})
-    return out.withColumn("n_chars", F.length("text").cast("long")).drop(host, cls, found, row, dead)
+    templates = work.cut(many.where(F.col("n") >= share * F.col("pages")).select("sub"), "templates")
+
+    if templates.limit(SMALL + 1).count() <= SMALL:  # eight bytes each go to the executors
+        known = parsed.sparkSession.sparkContext.broadcast(np.sort(templates.toArrow()["sub"].to_numpy()))
+        rows = parsed
+    else:  # each page's own come to it by a join
+        known = None
+        row = fresh(parsed, "row")
+        rows = work.cut(parsed.withColumn(row, F.monotonically_increasing_id()), "rows", "zstd")
+        gone = rows.select(row, F.explode(F.array_distinct(F.flatten(paths))).alias("sub")).join(templates, "sub", "left_semi")
+        rows = rows.join(gone.groupBy(row).agg(F.collect_set("sub").alias(dead)), row, "left").drop(row)
+
+    def assemble():
+        def run(batch: pa.RecordBatch) -> dict[str, list]:
+            of = {c: batch.column(batch.schema.get_field_index(c)) for c in (texts, inside, paths)}
+            subs = of[paths].flatten().flatten().to_numpy(zero_copy_only=False)
+            if known is not None:
+                all_of = known.value
+                hit = all_of[np.minimum(np.searchsorted(all_of, subs), max(len(all_of) - 1, 0))] == subs if len(all_of) else np.zeros(len(subs), bool)
+                at = 0
+            else:
+                own = [frozenset(x or ()) for x in batch.column(batch.schema.get_field_index(dead)).to_pylist()]
+            out: dict[str, list] = {c: [] for c in ("text", "n_chars", "n_template", "n_markup")}
+            for k, (page, there, ways) in enumerate(zip(of[texts].to_pylist(), of[inside].to_pylist(), of[paths].to_pylist())):
+                stay = []
+                for t, i, way in zip(page, there, ways):
+                    if known is not None:
+                        at += len(way)
+                        if hit[at - len(way) : at].any():
+                            continue
+                    elif not own[k].isdisjoint(way):
+                        continue
+                    stay.append((t, i))
+                text = "\n".join(t for t, i in stay if i)
+                for c, v in zip(out, (text, len(text), len(page) - len(stay), sum(not i for _, i in stay))):
+                    out[c].append(v)
+            return out
+
+        return run
+
+    new = {"text": "string", "n_chars": "long", "n_template": "long", "n_markup": "long"}
+    return append_columns(rows, assemble, new, keep=others)
 
 
 def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,9 @@ def _pages():
     return rows + [(500, "http://long.example.org/", "<article>" + "<p>word</p>" * 50_000 + "</article>")]
 
 
-def test_pages_rows(spark, tmp_path):
+@pytest.mark.parametrize("most", [0, page_text.SMALL])
+def test_pages_rows(spark, most, monkeypatch):
+    monkeypatch.setattr(page_text, "SMALL", most)  # 0: joins by shuffle
     rows = _pages()
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("old"), "HOST": F.lit(1), "sub": F.lit(2)}).repartition(5)
     out = page_text.extract_text(df).collect()
