@@ -28,6 +28,29 @@ def round_half_even(x: Column, digits: int) -> Column:
     return F.bround(x, digits)
 
 
+def round_exact(x: Column, digits: int) -> Column:
+    """Rounded by the exact binary value, halves to even, as ``round`` of a Python float.
+
+    ``x`` times the power of ten is taken as a sum of two doubles, p and its error e (Veltkamp's
+    split, Dekker's product), so whether it is above the middle between two integers is exact.
+    """
+    scale = float(10**digits)
+    high = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    low = scale - high
+
+    def rounded(v: Column) -> Column:
+        p, c = v * scale, v * 134217729.0
+        vh = c - (c - v)
+        vl = v - vh
+        e = ((vh * high - p) + vh * low + vl * high) + vl * low
+        n = F.floor(p).cast("double")
+        above = ((p - n) - 0.5) + e
+        whole = F.when(above > 0, n + 1).when(above < 0, n).otherwise(n + F.abs(n % 2))
+        return F.when(F.abs(p) < 2.0**52, whole / scale).otherwise(v)
+
+    return F.get(F.transform(F.array(x.cast("double")), rounded), F.lit(0))  # x is evaluated once
+
+
 def parse_date(text: Column) -> Column:
     """A date from Y-m-d, Y-m or Y in the first ten characters, else null."""
     s = F.substring(F.trim(text), 1, 10)
@@ -41,7 +64,7 @@ def whole(x: Column) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """A number as text with ``digits`` decimals."""
-    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+    return F.format_string(f"%.{digits}f", round_exact(x, digits))
 
 
 def python_title(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.numeric import fixed, parse_date, whole
+from ..functions.numeric import fixed, parse_date, round_exact, whole
 from ..functions.text import any_of, jaccard, matched, tokens
 
 SENIOR = ("senior", "lead", "principal", "staff", "director", "head of")
@@ -36,8 +36,8 @@ def proof_of_work(s: Settings = DEFAULT) -> Column:
     summary = F.when(F.size(parts) > 0, F.array_join(parts, " · ")).otherwise("no concrete production evidence found")
     count = sum((F.size(h) for h in hits.values()), F.lit(0))
     return F.struct(
-        F.bround(F.least(F.lit(1.0), total), 4).alias("pow_score"),
-        F.struct(*[F.bround(evidence_level(F.size(h)), 3).alias(c) for c, h in hits.items()]).alias("category_scores"),
+        round_exact(F.least(F.lit(1.0), total), 4).alias("pow_score"),
+        F.struct(*[round_exact(evidence_level(F.size(h)), 3).alias(c) for c, h in hits.items()]).alias("category_scores"),
         F.struct(*[F.slice(h, 1, 5).alias(c) for c, h in hits.items()]).alias("evidence_hits"),
         summary.alias("evidence_summary"),
         count.alias("total_evidence_count"),
@@ -77,9 +77,9 @@ def contradictions(s: Settings = DEFAULT) -> Column:
     factor = factor * F.aggregate(absent, F.lit(1.0), lambda acc, _: acc * 0.99) * F.when(ratio < 0.5, 0.96).otherwise(1.0)
     factor = factor * F.when(few, 0.97).otherwise(1.0) * F.when(young, 0.95).otherwise(1.0)
     return F.struct(
-        F.bround(F.greatest(factor, F.lit(s.contradiction_floor)), 4).alias("penalty"), warnings.alias("warnings"), F.size(warnings).alias("warning_count"),
+        round_exact(F.greatest(factor, F.lit(s.contradiction_floor)), 4).alias("penalty"), warnings.alias("warnings"), F.size(warnings).alias("warning_count"),
         F.struct(fits.alias("title_relevant"), off.alias("title_irrelevant"), F.size(claimed).alias("claimed_must_haves_in_skills"),
-                 F.bround(career / F.greatest(F.col("years"), F.lit(0.1)), 2).alias("career_vs_claimed_ratio")).alias("details"),
+                 round_exact(career / F.greatest(F.col("years"), F.lit(0.1)), 2).alias("career_vs_claimed_ratio")).alias("details"),
     )
 
 
@@ -219,11 +219,11 @@ def credibility(s: Settings = DEFAULT) -> tuple[dict[str, Column], Column]:
     points = {f"_points_{n}": p for n, (p, _) in parts.items()} | {f"_reasons_{n}": r for n, (_, r) in parts.items()}
     jobs, told = F.size("career"), F.col("_told")
     sure = 0.5 + F.when(jobs >= 3, 0.3).when(jobs == 2, 0.15).otherwise(0.0) + F.when(told >= 2, 0.15).when(told == 1, 0.05).otherwise(0.0) + F.when(F.size("skills") >= 3, 0.05).otherwise(0.0)
-    penalty = F.bround(credibility_penalty(*[F.col(f"_points_{n}") for n in parts], s), 4)
+    penalty = round_exact(credibility_penalty(*[F.col(f"_points_{n}") for n in parts], s), 4)
     return points, F.struct(
-        penalty.alias("credibility_penalty"), F.bround(1 - penalty, 4).alias("credibility_multiplier"),
-        F.struct(*[F.bround(F.col(f"_points_{n}"), 4).alias(n) for n in parts]).alias("signal_scores"),
-        F.concat(*[F.col(f"_reasons_{n}") for n in parts]).alias("reason_codes"), F.bround(F.least(F.lit(1.0), sure), 3).alias("confidence"),
+        penalty.alias("credibility_penalty"), round_exact(1 - penalty, 4).alias("credibility_multiplier"),
+        F.struct(*[round_exact(F.col(f"_points_{n}"), 4).alias(n) for n in parts]).alias("signal_scores"),
+        F.concat(*[F.col(f"_reasons_{n}") for n in parts]).alias("reason_codes"), round_exact(F.least(F.lit(1.0), sure), 3).alias("confidence"),
     )
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..cluster import ship
+from ..functions.numeric import round_exact
+from .vectors import near_best
 
 
 class Embedder(Protocol):
@@ -65,16 +67,26 @@ def inner(a: Column, b: Column) -> Column:
 
 
 def vector(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)).cast("float") for v in values])
+    return F.array(*[F.lit(float(v)) for v in values])
 
 
-def search(vectors: DataFrame, query: Column, k: int, key: str = "doc", embedding: str = "embedding", score: str = "score") -> DataFrame:
+def best_by_product(vectors: DataFrame, asked: list[float], k: int, key: str = "doc", embedding: str = "embedding", digits: int | None = None, score: str = "score", least: float = float("-inf")) -> DataFrame:
+    """The k best rows by inner product, rounded to ``digits`` if given, ties by key.
+
+    Matrix products of whole batches choose who can be among them; their scores come from :func:`inner`.
+    """
+    value = inner(F.col(embedding), vector(asked))
+    value = value if digits is None else F.round(value, digits)
+    return near_best(vectors, asked, k, embedding, least).withColumn(score, value).drop(embedding).orderBy(F.desc(score), F.asc(key)).limit(k)
+
+
+def search(vectors: DataFrame, asked: list[float], k: int, key: str = "doc", embedding: str = "embedding", score: str = "score") -> DataFrame:
     """The k best rows by inner product, ties by key."""
-    return vectors.withColumn(score, inner(F.col(embedding), query)).drop(embedding).orderBy(F.desc(score), F.asc(key)).limit(k)
+    return best_by_product(vectors, asked, k, key, embedding, None, score)
 
 
-def search_owners(vectors: DataFrame, query: Column, k: int, key: str = "doc") -> DataFrame:
+def search_owners(vectors: DataFrame, asked: list[float], k: int, key: str = "doc") -> DataFrame:
     """(cid, score, top_chunks) of owners, from the best 5k chunks; scores to four digits."""
     from .lexical import by_owner
 
-    return by_owner(search(vectors, query, 5 * k, key)).withColumn("score", F.bround("score", 4))
+    return by_owner(search(vectors, asked, 5 * k, key)).withColumn("score", round_exact(F.col("score"), 4))

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import whole
+from ..functions.numeric import round_exact, whole
 from .checks import kept
 
 
@@ -197,7 +197,7 @@ def with_explanation(scored: DataFrame) -> DataFrame:
     text = finished(lead(s, must, rel["must_matched"], years, prod["tier1"], made, stack, seed), support(s, seed, facts), concern(seed, F.get(F.col("_gaps"), F.lit(0))["claim"], must))
     made_of = F.struct(
         text.alias("reasoning_text"), F.col("_strengths").alias("strengths"), F.col("_gaps").alias("gaps"), F.concat(told, notes).alias("warnings"),
-        refs.alias("evidence_refs"), F.bround(F.col("_sure"), 3).alias("confidence"),
+        refs.alias("evidence_refs"), round_exact(F.col("_sure"), 3).alias("confidence"),
     )
     return out.withColumn("explanation", made_of).drop("_strengths", "_gaps", "_sure", "_signal", "_seed")
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.numeric import between, clamp, or_default, parse_date
+from ..functions.numeric import between, clamp, or_default, parse_date, round_exact
 from ..functions.text import any_of, matched
 
 
@@ -124,7 +124,7 @@ def negative(s: Settings = DEFAULT) -> Column:
     )
     factor = negative_multiplier(none, irrelevant, n, wrapper, F.col("years"), s)
     return F.struct(
-        F.bround(factor, 4).alias("multiplier"), F.filter(flags, lambda x: x.isNotNull()).alias("flags"),
+        round_exact(factor, 4).alias("multiplier"), F.filter(flags, lambda x: x.isNotNull()).alias("flags"),
         n.alias("relevant_prior_count"), titles.alias("relevant_prior_titles"),
     )
 
@@ -134,7 +134,7 @@ def career_history() -> Column:
     now, n = F.col("_fits") & ~off, F.size(titles)
     blended = 0.40 * F.when(now, 1.0).otherwise(0.0) + 0.60 * F.when(n >= 2, 1.0).when(n == 1, 0.6).otherwise(0.0)
     return F.struct(
-        F.bround(clamp(blended), 4).alias("score"), now.alias("current_title_relevant"), n.alias("career_history_relevant_count"),
+        round_exact(clamp(blended), 4).alias("score"), now.alias("current_title_relevant"), n.alias("career_history_relevant_count"),
         F.slice(titles, 1, 5).alias("career_history_relevant_titles"), (off & (n >= 2)).alias("is_career_pivot"), F.size("career").alias("total_roles"),
     )
 
@@ -152,4 +152,4 @@ def with_features(people: DataFrame, lists: Lists, as_of: str, s: Settings = DEF
         {"relevance": relevance(), "production": production(), "technical": technical(), "behavioral": behavioral(as_of, s), "negative": negative(s), "career_history_relevance": career_history()}
     ).drop(*first)
     score = weighted_score(F.col("relevance.score"), F.col("production.score"), F.col("technical.score"), F.col("behavioral.score"), F.col("career_history_relevance.score"), F.col("negative.multiplier"), s)
-    return out.withColumn("legacy_score", F.bround(score, 4))
+    return out.withColumn("legacy_score", round_exact(score, 4))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..cluster import ship
 from ..config import DEFAULT, Settings
+from ..functions.numeric import round_exact
 from ..functions.text import TOKEN
 
 
@@ -30,7 +31,7 @@ class OverlapScorer:
 
 
 def _rounded(x: Column, digits: int | None) -> Column:
-    return x if digits is None else F.bround(x, digits)
+    return x if digits is None else round_exact(x, digits)
 
 
 def normalised(df: DataFrame, score: str, out: str, digits: int | None = 4) -> DataFrame:

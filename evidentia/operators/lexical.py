@@ -13,13 +13,17 @@ sums are taken before each shuffle and equal inputs give bitwise equal scores.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..cluster import bucketed, read_bucketed
 from ..config import DEFAULT, Settings
-from ..functions.text import any_of, tokens
+from ..functions.text import TOKEN, any_of, tokens
+
+POSTINGS = "term STRING, doc {0}, cid {1}, weight DOUBLE, tf BIGINT, dl BIGINT"
 
 
 @dataclass
@@ -32,20 +36,26 @@ class LexicalIndex:
     def matches(self, terms: DataFrame) -> DataFrame:
         """The postings of the query's terms, with the terms' columns."""
         asked = F.broadcast(terms)  # a query's terms: a few rows
-        if self.tokens is None:
-            return self.postings.join(asked, "term")
+        if self.tokens is None:  # literals choose the buckets and the pages that are read
+            names = [r.term for r in terms.select("term").collect()]
+            return self.postings.where(F.col("term").isin(names)).join(asked, "term")
         hits = self.tokens.select("doc", "cid", "weight", "dl", F.explode("tokens").alias("term")).join(asked, "term")
         return hits.groupBy("doc", "cid", "weight", "dl", *terms.columns).agg(F.count("*").alias("tf"))
 
-    def save(self, path: str, buckets: int = 0) -> None:
-        """As parquet; postings in order of terms, so that a query skips row groups."""
-        (self.postings.repartitionByRange(*([buckets] if buckets else []), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings"))
+    def save(self, path: str, buckets: int = 64) -> None:
+        """As parquet; postings bucketed by term and sorted in the buckets, so that a query
+        reads its terms' buckets only and joins without an exchange."""
+        bucketed(self.postings, f"{path}/postings", buckets, "term")
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        kinds = F.lit(",".join(self.postings.schema[c].dataType.simpleString() for c in ("doc", "cid")))
+        self.corpus.coalesce(1).withColumns({"buckets": F.lit(buckets), "kinds": kinds}).write.mode("overwrite").parquet(f"{path}/corpus")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "corpus")))
+        corpus = spark.read.parquet(f"{path}/corpus")
+        one = corpus.first()
+        postings = read_bucketed(spark, f"{path}/postings", POSTINGS.format(*one.kinds.split(",")), one.buckets, "term")
+        return cls(postings, spark.read.parquet(f"{path}/documents"), corpus.select("n", "avgdl"))
 
 
 def build_index(chunks: DataFrame, doc: str = "doc", cid: str = "cid", weight: str = "weight", section: str | None = None, text: str = "text") -> LexicalIndex:
@@ -60,20 +70,24 @@ def build_index(chunks: DataFrame, doc: str = "doc", cid: str = "cid", weight: s
     return LexicalIndex(postings.select("term", "doc", "cid", "weight", "tf", "dl"), documents, corpus, sized.drop("section"))
 
 
+def word_counts(text: str) -> Counter[str]:
+    """A query's terms and how often each occurs, in the order in which they first do."""
+    return Counter(re.findall(TOKEN, text.lower()))
+
+
 def query_terms(spark: SparkSession, text: str) -> DataFrame:
     """(term, qtf, pos) of a query, in the order in which terms first occur."""
-    import re
+    rows = [(t, n, k) for k, (t, n) in enumerate(word_counts(text).items())]
+    return spark.createDataFrame(rows, "term string, qtf int, pos int")
 
-    from ..functions.text import TOKEN
 
-    found = Counter(re.findall(TOKEN, text.lower()))
-    rows = [(t, n, k) for k, (t, n) in enumerate(found.items())]
-    return spark.createDataFrame(rows, "term string, qtf int, pos int")
+def exact_total(value: Column) -> Column:
+    """A sum of doubles that doesn't depend on their order, to fifteen decimals."""
+    return F.sum(value.cast("decimal(28,15)"))
 
 
 def exact_sum(value: Column) -> Column:
-    """A sum of doubles that doesn't depend on their order, to fifteen decimals."""
-    return F.sum(value.cast("decimal(28,15)")).cast("double")
+    return exact_total(value).cast("double")
 
 
 def bm25(index: LexicalIndex, terms: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..cluster import ship
 from ..config import DEFAULT, Settings
-from ..functions.numeric import clamp
+from ..functions.numeric import clamp, round_exact
+from . import boosting
 
 #: Fixed order of the vector.
 NAMES = (
@@ -57,35 +59,27 @@ def pseudo_label() -> Column:
     return clamp(F.col("legacy_score") + on - off)
 
 
-def train(vectors: DataFrame, features: str = "features", label: str = "label", least_rows: int = 10, trees: int = 200, depth: int = 4, rate: float = 0.05, seed: int = 42):
-    """A boosted-tree regressor; there is no L1/L2 penalty, so it isn't equal bit by bit to other libraries' trees."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor
-
+def train(vectors: DataFrame, features: str = "features", label: str = "label", least_rows: int = 10, trees: int = 200, depth: int = 4, rate: float = 0.05, seed: int = 42, **options) -> boosting.Boosted:
+    """Boosted trees with L1 and L2 penalties, rows and features sampled; see :mod:`boosting`."""
     if vectors.limit(least_rows).count() < least_rows:
         raise ValueError(f"at least {least_rows} rows are needed")
-    rows = vectors.select(array_to_vector(F.col(features).cast("array<double>")).alias("x"), F.col(label).cast("double").alias("y"))
-    return GBTRegressor(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, seed=seed).fit(rows)
+    return boosting.train(vectors, features, label, trees, depth, rate, seed=seed, **options)
 
 
-def predict(model, df: DataFrame, features: str = "features", out: str = "model_score") -> DataFrame:
+def predict(model: boosting.Boosted | None, df: DataFrame, features: str = "features", out: str = "model_score") -> DataFrame:
     """Predictions bounded to 0..1; null without a model."""
     if model is None:
         return df.withColumn(out, F.lit(None).cast("double"))
-    from pyspark.ml.functions import array_to_vector
-
-    x = df.withColumn("x", array_to_vector(F.col(features).cast("array<double>")))
-    return model.setPredictionCol("_p").transform(x).withColumn(out, clamp(F.col("_p"))).drop("x", "_p")
-
+    ship(df.sparkSession)
+    return df.withColumn(out, clamp(model.predict(F.col(features))))
 
-def save(model, path: str) -> None:
-    model.write().overwrite().save(path)
 
+def save(model: boosting.Boosted, path: str) -> None:
+    model.save(SparkSession.active(), path)
 
-def load(path: str):
-    from pyspark.ml.regression import GBTRegressionModel
 
-    return GBTRegressionModel.load(path)
+def load(path: str) -> boosting.Boosted:
+    return boosting.Boosted.load(SparkSession.active(), path)
 
 
 def metrics(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
@@ -96,8 +90,8 @@ def metrics(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
     )
 
 
-def importances(model, names=NAMES, k: int = 10) -> list[tuple[str, float]]:
-    return sorted(zip(names, map(float, model.featureImportances.toArray())), key=lambda x: (-x[1], x[0]))[:k]
+def importances(model: boosting.Boosted, names=NAMES, k: int = 10) -> list[tuple[str, float]]:
+    return sorted(zip(names, model.importances()), key=lambda x: (-x[1], x[0]))[:k]
 
 
 def rule_score(legacy: Column, retrieval: Column, power: Column, behaviour: Column, contradiction: Column, credibility: Column) -> Column:
@@ -106,4 +100,4 @@ def rule_score(legacy: Column, retrieval: Column, power: Column, behaviour: Colu
 
 def blend(rule: Column, model: Column, s: Settings = DEFAULT) -> Column:
     """The rule score, mixed with a model's where there is one."""
-    return F.when(model.isNull(), rule).otherwise(F.bround(clamp(s.rule_share * rule + s.model_share * model), 4))
+    return F.when(model.isNull(), rule).otherwise(round_exact(clamp(s.rule_share * rule + s.model_share * model), 4))

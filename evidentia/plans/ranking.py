@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT, DEFAULT_QUERY, Settings
+from ..functions.numeric import round_exact
 from ..operators import dense, explain, features, fusion, lexical, model
 from ..operators.checks import with_checks
 from ..sources import candidates as source
@@ -90,7 +91,7 @@ class Engine:
             else:
                 out = out.withColumn("hybrid_score", F.col("lexical_score"))
             return out.withColumn("semantic_score", F.lit(0.0))
-        asked = dense.vector(self.make_embedder().encode([query])[0])
+        asked = self.make_embedder().encode([query])[0]
         sem = lexical.top(dense.search_owners(self.vectors, asked, depth), depth)
         if method == "rrf":
             both = fusion.weighted_norm(lex, sem, s).drop("hybrid_score")
@@ -131,7 +132,7 @@ class Engine:
         out = deal(features.with_features(deal(people), lists, as_of, s))
         out = deal(with_checks(deal(out), s))
         rule = model.rule_score(F.col("legacy_score"), F.col("retrieval_score"), F.col("proof_of_work.pow_score"), F.col("behavioral.score"), F.col("contradictions.penalty"), F.col("credibility.credibility_multiplier"))
-        out = out.withColumn("rule_score", F.bround(rule, 4)).withColumn("features", model.feature_vector())
+        out = out.withColumn("rule_score", round_exact(rule, 4)).withColumn("features", model.feature_vector())
         return model.predict(self.model, out).withColumn("final_score", model.blend(F.col("rule_score"), F.col("model_score"), s))
 
     def run(self, path: str, query: str, k: int = 100, **options) -> DataFrame:

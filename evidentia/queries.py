@@ -11,11 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .cluster import spread
+from . import profile_queries
+from .cluster import shared_folder, spread
 from .config import DEFAULT, EVIDENCE
 from .functions.numeric import between, clamp
 from .functions.text import contacts, jaccard, matched, pack_chunks, sentences, tokens
-from .operators import checks, dense, explain, features, fusion, lexical, model
+from .operators import blockmax, checks, dense, explain, features, fusion, lexical, model, vectors
 from .sources.candidates import last_wins, missing, pick
 from .sources.profile import split_chunks
 
@@ -60,7 +61,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str):
-    return dense.vector(_t(spark, d, "embeddings").where("vec_id = 0").first()["embedding"])
+    return _t(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
 
 
 def _dense_owners(spark: SparkSession, d: str) -> DataFrame:
@@ -148,8 +149,15 @@ def bm25_boosted_topk(spark, d):
 
 def vector_topk(spark, d):
     v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
-    v = v.withColumn("score", F.round(dense.inner(F.col("embedding"), _asked(spark, d)), 6)).drop("embedding")
-    return lexical.top(v, K, "score", "doc").select(F.col("doc").alias("vec_id"), "score")
+    return dense.best_by_product(v, _asked(spark, d), K, digits=6).select(F.col("doc").alias("vec_id"), "score")
+
+
+def vector_index_topk(spark, d):
+    """The same from a stored index of cells."""
+    v, path = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), "embedding"), shared_folder(spark)
+    vectors.VectorIndex.build(v, "doc").save(path)
+    best, _ = vectors.VectorIndex.load(spark, path).search(_asked(spark, d), K, "doc", 6)
+    return best.select(F.col("doc").alias("vec_id"), "score")
 
 
 def vector_candidate_topk(spark, d):
@@ -348,12 +356,22 @@ def short_list(spark, d):
 
 
 def stored_index(spark, d):
-    """What a stored index holds of the query's terms."""
-    index = lexical.build_index(_docs(spark, d))
-    hits = index.postings.join(F.broadcast(lexical.query_terms(spark, _query(spark, d))), "term")
+    """What an index that was saved and loaded again holds of the query's terms."""
+    path = shared_folder(spark)
+    lexical.build_index(_docs(spark, d)).save(path, 16)
+    hits = lexical.LexicalIndex.load(spark, path).matches(lexical.query_terms(spark, _query(spark, d)))
     return hits.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum("dl").alias("words"), F.max("qtf").cast("long").alias("qtf"))
 
 
+def blockmax_doc_topk(spark, d):
+    """The best documents by a stored index of posting blocks."""
+    path = shared_folder(spark)
+    blockmax.BlockIndex.build(lexical.build_index(_docs(spark, d)), span=32).save(path, 16)
+    found = blockmax.BlockIndex.load(spark, path).search(_query(spark, d), K).scores
+    best = lexical.top(found.withColumns(_r("score")), K, "score", "doc")
+    return best.select(F.col("doc").alias("doc_id"), F.col("cid").alias("source"), "score")
+
+
 def gbt_scores(spark, d):
     """Boosted trees over simple text counts, trained on the labels; no SQL form."""
     j = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "n_chars", "text"), "doc_id")
@@ -386,7 +404,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fusion_weighted_norm, fusion_rrf, rerank_blend, funnel_topk, near_duplicate_pairs, opening_mode, positional_weights, behavioral_score,
         json_props, timeline_gaps, timeline_overlaps, band_penalty, weighted_rank_final, distinct_breadth, id_anti, id_semi, id_union,
         label_metrics, explain_template, best_first_topk, gbt_scores, parsed_queries, pair_scores, chunk_parts, latest_wins,
-        short_list, stored_index,
+        short_list, stored_index, blockmax_doc_topk, vector_index_topk,
     )
 }
 
@@ -514,3 +532,6 @@ SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN NULL ELSE round(len(list_i
     "stored_index": f"WITH {_POSTINGS}, q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({_TEXT}) AS term FROM benchmark WHERE item_id = 0) GROUP BY term) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, sum(dl)::BIGINT AS words, max(qtf)::BIGINT AS qtf FROM p JOIN dl USING (doc) JOIN q USING (term) GROUP BY term",
     "best_first_topk": "SELECT *, row_number() OVER (ORDER BY score DESC, o_orderkey) AS rank FROM (SELECT o_orderkey, round(o_totalprice, 2) AS score FROM orders ORDER BY 2 DESC, 1 LIMIT 100)",
 }
+QUERIES |= profile_queries.QUERIES
+SQL |= profile_queries.SQL
+SQL |= {"blockmax_doc_topk": SQL["bm25_doc_topk"], "vector_index_topk": SQL["vector_topk"]}
