@@ -26,6 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..cluster import ship, staged
 
 RENEW = 25
+#: Rows of a task, at least.
+LEAST_ROWS = 20_000
+#: Tasks up to which their sums go to the driver as they are.
+FEW = 16
 UNIT = float(1 << 32)
 
 
@@ -177,14 +181,16 @@ def train(
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), pa.array(np.full(len(x), start)), pa.array(keys, pa.int64())], ["bins", "y", "margin", "key"])
 
     ship(some.sparkSession)
-    rows = staged(some.mapInArrow(load, "bins binary, y double, margin double, key long"))
+    loaded = some.mapInArrow(load, "bins binary, y double, margin double, key long")
+    rows = staged(loaded.coalesce(max(1, found.n // LEAST_ROWS)) if found.n < LEAST_ROWS * FEW else loaded)  # few rows: few tasks, as each level is a job
+    tasks = rows.rdd.getNumPartitions()
     rng = np.random.default_rng(seed)
     fresh: list[Tree] = []
     for number in range(trees):
         mine = sorted(rng.choice(width, max(1, round(features_share * width)), replace=False).tolist())
         tree, frontier, held = Tree(), [0], None
         for _ in range(depth):
-            sums = _histograms(rows, fresh, tree, frontier, width, most, number, rows_share, seed)
+            sums = _histograms(rows, fresh, tree, frontier, width, most, number, rows_share, seed, tasks)
             if held is None:  # the root's sums, for a tree that has no split
                 held = sums[0][0][0].sum(), sums[0][1][0].sum()
                 tree.value[0] = float(-rate * shrunk(held[0], alpha) / (held[1] + lam)) if held[1] else 0.0
@@ -219,7 +225,7 @@ def _renewed(rows: DataFrame, fresh: list[Tree], width: int) -> DataFrame:
     return rows.mapInArrow(run, "bins binary, y double, margin double, key long")
 
 
-def _histograms(rows: DataFrame, fresh: list[Tree], tree: Tree, frontier: list[int], width: int, most: int, number: int, share: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _histograms(rows: DataFrame, fresh: list[Tree], tree: Tree, frontier: list[int], width: int, most: int, number: int, share: float, seed: int, tasks: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each node of the frontier the sums of gradients and of second derivatives, by feature and bin."""
     size = len(frontier) * width * most
     place = np.full(len(tree.feature), -1)
@@ -244,9 +250,13 @@ def _histograms(rows: DataFrame, fresh: list[Tree], tree: Tree, frontier: list[i
         there = np.flatnonzero(h)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(g[there].astype(np.int64)), pa.array(h[there].astype(np.int64))], ["slot", "g", "h"])
 
-    found = rows.mapInArrow(run, "slot long, g long, h long").groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+    found = rows.mapInArrow(run, "slot long, g long, h long")
+    if tasks > FEW:  # the sums of a few tasks are added up here
+        found = found.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    told = found.toArrow()
     g, h = np.zeros(size), np.zeros(size)
-    slot = found["slot"].to_numpy()
-    g[slot], h[slot] = found["g"].to_numpy() / UNIT, found["h"].to_numpy()
+    slot = told["slot"].to_numpy()
+    np.add.at(g, slot, told["g"].to_numpy() / UNIT)
+    np.add.at(h, slot, told["h"].to_numpy())
     shape = (len(frontier), width, most)
     return list(zip(g.reshape(shape), h.reshape(shape)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .config import DEFAULT as S
 from .operators import features
 from .operators.checks import with_checks
+from .plans.resume import structure_column
 from .sources.candidates import schema
 from .sources.profile import profiles
 
@@ -99,6 +100,35 @@ def profile_checks(spark, d):
     )
 
 
+NAMES = ("Ann Lee", "Bo van Dyk", "Cy El Amin", "Di Roe")
+DEGREES = ("B.S", "MBA", "PhD")
+FIELDS = ("Physics", "Law", "Art History")
+PLACES = ("Foo College", "Stanford", "Acme Institute")
+FIRMS = ("Acme", "Globex", "Initech", "Hooli", "Umbra")
+ROLES = ("ML Engineer", "Data Scientist", "Shop Manager", "Lead Designer")
+
+
+def resume_records(spark, d):
+    """Résumé texts made of customers (their orders are jobs, in order of their keys), read back as records."""
+    k, n = F.col("o_orderkey"), F.col("c_custkey")
+    line = F.concat(_pick(ROLES, k), F.when(k % 3 == 0, F.lit(", ")).otherwise(" at "), _pick(FIRMS, k), F.lit(" "), (F.lit(1990) + k % 20).cast("string"), F.when(k % 7 == 0, F.lit(" - present")).otherwise(F.concat(F.lit(" - "), (F.lit(2010) + k % 10).cast("string"))))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", F.struct(k.alias("k"), F.concat(line, F.lit("\n- order number "), k.cast("string")).alias("line")).alias("job"))
+    jobs = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("job")), lambda j: j["line"]), "\n").alias("jobs"))
+    customers = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
+    rows = customers.join(jobs, customers["c_custkey"] == jobs["o_custkey"], "left")
+    text = F.concat(
+        F.when(n % 2 == 0, F.lit("mail@x.org\n")).otherwise(""), _pick(NAMES, n), F.lit("\n"), _pick(ROLES, n), F.lit("\nExperience\n"), F.coalesce("jobs", F.lit("none")), F.lit("\nEducation:\n"),
+        _pick(DEGREES, n), F.lit(" in "), _pick(FIELDS, n), F.lit(" from "), _pick(PLACES, n), F.lit(", 2001\nSkills\n"), _pick(SKILLS, n), F.lit("; skill "), n.cast("string"),
+    )
+    out = structure_column(rows.select(n.alias("i"), text.alias("t")), "i", "t")
+    told = F.transform("career_history", lambda j: F.concat_ws("|", j["title"], j["company"], j["start_date"], F.coalesce(j["end_date"], F.lit("now")), j["description"]))
+    school = F.get("education", F.lit(0))
+    return out.select(
+        F.col("candidate_id"), F.col("profile.anonymized_name").alias("name"), F.col("profile.current_title").alias("title"), F.array_join(told, ";").alias("jobs"), F.size("career_history").cast("long").alias("n"),
+        school["degree"].alias("degree"), school["field_of_study"].alias("field"), school["institution"].alias("place"), F.element_at(F.transform("skills", lambda s: s["name"]), -1).alias("last_skill"), F.col("profile.years_of_experience").alias("years"),
+    )
+
+
 # -- SQL -----------------------------------------------------------------------
 
 
@@ -196,5 +226,10 @@ round(least(1.0, 0.5 + CASE WHEN n_jobs >= 3 THEN 0.3 WHEN n_jobs = 2 THEN 0.15
 round(greatest(0.80::DOUBLE, coalesce(list_product(list_transform(warned, lambda z: z::DOUBLE)), 1.0::DOUBLE) * 0.99::DOUBLE ** len(absent)), 4)::DOUBLE AS contradiction,
 evidence::BIGINT AS evidence, (len(warned) + len(absent))::BIGINT AS warnings, len(codes)::BIGINT AS reasons, array_to_string(codes, ',') AS codes FROM h"""
 
-QUERIES = {"profile_scores": profile_scores, "profile_checks": profile_checks}
-SQL = {"profile_scores": PROFILE_SCORES, "profile_checks": PROFILE_CHECKS}
+RESUME_RECORDS = f"""WITH j AS (SELECT o_custkey AS n, list(concat_ws('|', {_at(ROLES, 'o_orderkey')}, {_at(FIRMS, 'o_orderkey')}, 1990 + o_orderkey % 20, CASE WHEN o_orderkey % 7 = 0 THEN 'now' ELSE (2010 + o_orderkey % 10)::VARCHAR END, 'order number ' || o_orderkey) ORDER BY o_orderkey) AS jobs FROM orders GROUP BY o_custkey),
+c AS (SELECT c_custkey AS n, coalesce(jobs, [])[1:10] AS jobs FROM customer LEFT JOIN j ON n = c_custkey)
+SELECT n::VARCHAR AS candidate_id, {_at(NAMES, 'n')} AS name, {_at(ROLES, 'n')} AS title, array_to_string(jobs, ';') AS jobs, len(jobs)::BIGINT AS n, {_at(DEGREES, 'n')} AS degree, {_at(FIELDS, 'n')} AS field, {_at(PLACES, 'n')} AS place,
+'skill ' || n AS last_skill, 2.5::DOUBLE * len(jobs) AS years FROM c"""
+
+QUERIES = {"resume_records": resume_records, "profile_scores": profile_scores, "profile_checks": profile_checks}
+SQL = {"resume_records": RESUME_RECORDS, "profile_scores": PROFILE_SCORES, "profile_checks": PROFILE_CHECKS}

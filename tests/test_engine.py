@@ -242,23 +242,42 @@ def test_dates(spark):
     assert [str(r[0]) for r in df.select(numeric.parse_date(F.col("d"))).collect()] == ["2020-03-04", "2020-03-01", "2020-01-01", "None", "None", "2020-01-02"]
 
 
-def test_resume():
-    r = resume.structure("Jane Doe\nSenior ML Engineer\njane@x.com\nSummary\nBuilds search.\nExperience\nML Engineer at Google Jan 2019 - Present\n- built retrieval\nData Engineer, Foo 2015 - 2018\nEducation\nB.S. in Computer Science from MIT, 2014\nSkills\nPython, Kafka\n", "U")
-    assert r["profile"]["anonymized_name"] == "Jane Doe" and r["profile"]["current_title"] == "Senior ML Engineer"
-    assert [(j["title"], j["company"], j["is_current"]) for j in r["career_history"]] == [("ML Engineer", "Google", True), ("Data Engineer", "Foo", False)]
-    assert r["education"][0]["institution"] == "MIT" and r["profile"]["summary"] == "Builds search."
+def parsed(spark, *texts):
+    rows = spark.createDataFrame([(str(k), *(t if isinstance(t, tuple) else (t, None))) for k, t in enumerate(texts)], "i string, t string, called string")
+    return [r.asDict(recursive=True) for r in resume.structure_column(rows, "i", "t", "called").orderBy(F.col("candidate_id").cast("int")).collect()]
+
+
+def test_resume(spark):
+    text = "Jane Doe\nSenior ML Engineer\njane@x.com\nSummary\nBuilds search.\nExperience\nML Engineer at Google Jan 2019 - Present\n- built retrieval\n* and ranking\nData Engineer, Foo 2015 - 2018\nInitech | Analyst\nEducation\nB.S. in Computer Science from MIT, 2014\nFoo College\nGardening club\nSkills\nPython, Kafka\n"
+    r, empty, named, null, loose, late = parsed(
+        spark, text, "", ("", "From File"), None, "Kim Lee\n\n  12 years of experience, 3 yrs here\nPaint and\nShop 2001 to 2003 Manager\nsold paint\nskills\nPhD in Physics at Stanford",
+        "Experience\nwork that nobody dated\nEngineer - Acme" + "\nMay 2001 – now" * 12 + "\n" + "x" * 600,
+    )
+    assert r["profile"]["anonymized_name"] == "Jane Doe" and r["profile"]["current_title"] == "Senior ML Engineer" and r["profile"]["current_company"] == "Google"
+    assert [(j["title"], j["company"], j["is_current"], j["start_date"], j["end_date"], j["description"]) for j in r["career_history"]] == [
+        ("ML Engineer", "Google", True, "Jan 2019", None, "built retrieval and ranking"), ("Data Engineer", "Foo", False, "2015", "2018", ""), ("Analyst", "Initech", False, "", "", ""),
+    ]
+    assert [(e["degree"], e["field_of_study"], e["institution"]) for e in r["education"]] == [("B.S", "Computer Science", "MIT"), ("", "", "Foo College")]
+    assert r["profile"]["summary"] == "Builds search." and r["profile"]["years_of_experience"] == 7.5
     assert {"Python", "Kafka"} <= {s["name"] for s in r["skills"]}
-    assert resume.structure("", "V")["profile"]["anonymized_name"] == "Unknown"
-
-
-def test_resume_names_titles_skills():
-    lines = ["Phone +1 234 567 8901", "john van Dyk", "Ann de Witt", "Current: Lead Engineer", "x"]
-    assert resume.name_of(lines) == "Ann de Witt" and resume.title_of(lines) == "Lead Engineer"
-    assert resume.name_of(["(555) 123-4567", "a@b.c"]) == "(555) 123-4567" and resume.title_of(["x" * 90 + " engineer"]) == ""
-    assert resume.skills_of("Golang and Perl\nSkills\nCooking, perl; Cooking | x\nEducation:\nJulia")[:5] == ["Golang", "Julia", "Perl", "GO", "R"]
-    assert resume.skills_of("Golang and Perl\nSkills\nCooking, perl; cooking | x\nEducation:\nJulia")[-1] == "Cooking"
+    for e, name in ((empty, "Unknown"), (named, "From File"), (null, "Unknown")):
+        assert e["profile"]["anonymized_name"] == name and e["skills"] == e["career_history"] == e["education"] == [] and e["profile"]["years_of_experience"] == 0
+    assert loose["profile"]["years_of_experience"] == 12 and [(j["title"], j["company"]) for j in loose["career_history"]] == [("Shop  Manager", "")]
+    assert loose["career_history"][0]["description"] == "sold paint" and loose["education"][0]["institution"] == "Stanford"
+    assert len(late["career_history"]) == 10 and (late["career_history"][0]["title"], late["career_history"][0]["company"]) == ("Engineer", "Acme")
+    assert late["career_history"][1]["is_current"] and late["career_history"][1]["title"] == ""
+
+
+def test_resume_names_titles_skills(spark):
+    a, b, c, d = parsed(
+        spark, "Phone +1 234 567 8901\njohn van Dyk\nAnn de Witt\nCurrent: Lead Engineer\nx", "(555) 123-4567\na@b.c\n" + "x" * 90 + " engineer",
+        "Golang and Perl\nSkills\nCooking, perl; Cooking | x\nEducation:\nJulia", "Golang and Perl\nSkills\nCooking, perl; cooking | x\nEducation:\nJulia",
+    )
+    assert a["profile"]["anonymized_name"] == "Ann de Witt" and a["profile"]["current_title"] == "Lead Engineer"
+    assert b["profile"]["anonymized_name"] == "(555) 123-4567" and b["profile"]["current_title"] == ""
+    assert [s["name"] for s in c["skills"]][:5] == ["Golang", "Julia", "Perl", "GO", "R"]
+    assert [s["name"] for s in d["skills"]][-1] == "Cooking" and len(c["skills"]) == len(d["skills"])
     assert len(resume.SKILLS) == len(set(resume.SKILLS)) == 122
-    assert resume.structure("", "V", "From File")["profile"]["anonymized_name"] == "From File"
 
 
 def test_uploads(spark, tmp_path):
