@@ -10,10 +10,10 @@ reported if it costs at least ``least_ratio`` bytes a character, which random ke
 do (about 1.2; fewer than one in ten below 1.0) and known identifiers don't (below 0.2).
 
 The dictionary has a fixed part, common in code and configuration, and the table's
-own identifiers: words joined by case, ``_`` or ``-``, and very long words, that at
-least two documents have; the commonest, up to ``MINED`` bytes of them, counted
-over all documents.  Tokens with digits are never taken into it, so that a key
-does not become known by being copied.
+own identifiers: words joined by case, ``_`` or ``-``, and very long words, that
+different texts have; the commonest, up to ``MINED`` bytes of them, counted
+over all documents.  Tokens with digits are never taken into it, nor any that stands
+where secrets are looked for, so that a key does not become known by being copied.
 
 Defined results
 ---------------
@@ -86,14 +86,21 @@ com.example.application org.apache.commons java.util.ArrayList javax.servlet.htt
 
 #: Whole runs of twelve letters or more: words joined by case or signs, or one long word.
 WORDLIKE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z_-]{12,200}(?![A-Za-z0-9+/=_-]))[A-Za-z][a-z]{2,}(?:[_-][a-z]{2,}|[_-]?[A-Z][a-z]{2,}){0,20}(?![A-Za-z0-9+/=_-])"
+#: How far a sensitive word reaches, and the rest of the run that it reaches into.
+BEHIND_WORD = rf"^[\s\S]{{0,{REACH}}}[A-Za-z0-9+/=_-]*"
 #: Bytes of the table's own identifiers in a dictionary.
 MINED = 48 << 10
 
 
 def mine_identifiers(df: DataFrame, text_col: str = "text", most: int = MINED) -> bytes:
     """The identifiers that most texts have, the commonest last (the compressor's nearest)."""
-    found = df.select(F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(WORDLIKE), F.lit(0)))).alias("word"))
-    common = found.groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(most // 12)
+    # what stands behind a sensitive word, where secrets are looked for, is no source of identifiers
+    parts = F.transform(F.split(text_col, f"(?i){CONTEXT.pattern}"), lambda x, i: F.when(i == 0, x).otherwise(F.regexp_replace(x, BEHIND_WORD, " ")))
+    words = F.array_distinct(F.flatten(F.transform(parts, lambda x: F.regexp_extract_all(x, F.lit(WORDLIKE), F.lit(0)))))
+    # texts are dealt into 64 classes by their hashes: a word of one text, however often copied, is in one class
+    found = df.select(F.explode(words).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{text_col}`), 64) AS int))").alias("of"))
+    counted = found.groupBy("word").agg(F.count("*").alias("count"), F.bit_or("of").alias("of"))
+    common = counted.where(F.bit_count("of") > 1).orderBy(F.desc("count"), "word").limit(most // 12)
     kept, size = [], 0
     for r in common.collect():  # at most MINED / 12 rows
         size += len(r.word) + 1

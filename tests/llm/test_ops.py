@@ -95,6 +95,16 @@ def test_secret_dictionary_decides(spark):
     assert [x.kind for x in got[999]] == ["novel"] and not any(got[k] for k in range(64))
 
 
+def test_secret_copies_stay_secret(spark):
+    """A key of letters alone isn't taken for an identifier because copies of its text hold it."""
+    key, name = "qhwzkvxmtgrypldjcnfbsoeauik", "quizzicalJackdawVortexHandler"
+    text = f"the passphrase is {key} and the handler {name}"
+    rows = docs(spark, [(1, text), (2, text), (3, text + " again"), (4, f"token token: {key}"), (5, "only here onlyInCopiesOfThisText"), (6, "only here onlyInCopiesOfThisText")] + [(10 + k, f"text {k} calls {name}") for k in range(8)])
+    assert secrets.mine_identifiers(rows).decode().split() == [name]
+    got = {r.doc_id: r.secrets for r in secrets.scan_secrets(rows).collect()}
+    assert all(any(s.kind == "novel" and s.start == 18 for s in got[k]) for k in (1, 2, 3))
+
+
 def test_secret_keys_and_names():
     """Planted keys outside the fixed forms are found, names of code aren't."""
     import string

@@ -12,7 +12,6 @@ from conftest import DATA, duck, same
 from pyspark.sql import functions as F
 
 from evidentia.llm import merkle_manifest, page_text, tiered_search
-from evidentia.llm.common import Workspace
 
 SMALL = f"{DATA}/sf0.001"
 
