@@ -7,7 +7,8 @@ such a token or in the one that the word is part of.  Its novelty is the number
 bytes by which it makes the compressed form of its surroundings longer, where
 zstandard is primed with a dictionary.  Only that number decides: a token is
 reported if it costs at least ``least_ratio`` bytes a character, which random keys
-do (about 1.2; fewer than one in ten below 1.0) and known identifiers don't (below 0.2).
+do (about 1.2; fewer than one in ten below 1.0) and known identifiers don't (below 0.2);
+two thirds of that for hexadecimal capitals, whose signs hold fewer bits.
 
 The dictionary has a fixed part, common in code and configuration, and the table's
 own identifiers: words joined by case, ``_`` or ``-``, and very long words, that
@@ -62,6 +63,8 @@ REACH, AROUND = 48, 256
 LEAST = 16
 #: Bytes that a candidate costs for each of its characters, at least.
 RATIO = 0.9
+#: Hexadecimal signs in capitals hold four bits each where a key's usual ones hold six, and cost in proportion.
+UPPER_HEX, HEX_SHARE = re.compile(r"(?=[^A-F]*[A-F])(?=[^0-9]*[0-9])[0-9A-F]+"), 2 / 3
 SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Behind ``=`` inside a run a value begins; ``=`` at a run's end is padding.
@@ -164,7 +167,7 @@ def novel_spans(text: str, novelty: Novelty, least_ratio: float = RATIO) -> list
                 done = start + 1
                 token = text[start:end]
                 cost = novelty.marginal(text[max(0, start - AROUND) : start], token, text[end : end + AROUND])
-                if cost >= least_ratio * len(token):
+                if cost >= least_ratio * len(token) * (HEX_SHARE if UPPER_HEX.fullmatch(token) else 1):
                     spans.append(Span("novel", start, end))
                     done = end
                     break

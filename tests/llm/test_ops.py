@@ -113,6 +113,9 @@ def test_secret_keys_and_names():
     keys = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(20, 48))) for _ in range(300)]
     found = sum(any(s.start == 27 for s in secrets.novel_spans(f"passphrase of the service: {k} and then", n)) for k in keys)
     assert found >= 0.95 * len(keys)
+    keys = ["".join(r.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(300)]
+    assert sum(any(s.start == 27 for s in secrets.novel_spans(f"passphrase of the service: {k} and then", n)) for k in keys) >= 0.99 * len(keys)
+    assert secrets.novel_spans("passphrase of the service: ABCDEF0123456789ABCDEF0123456789 and then", n) == []
     for name in ("application/json-application", "connection_database_server", "java/util/ArrayList/getInstance", "created_at_updated_at_deleted", "addEventListenerQuerySelector"):
         assert secrets.novel_spans(f"passphrase of the service: {name} and then", n) == []
 
