@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.numeric import fixed, parse_date, round_exact, whole
-from ..functions.text import any_of, jaccard, matched, tokens
+from ..functions.text import any_of, jaccard, tokens
 
 SENIOR = ("senior", "lead", "principal", "staff", "director", "head of")
 

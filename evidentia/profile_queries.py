@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .cluster import shared_folder, staged
 from .config import DEFAULT as S
 from .operators import features
 from .operators.checks import with_checks
+from .plans.ranking import scan_top
 from .plans.resume import structure_column
-from .sources.candidates import schema
+from .sources import sinks
+from .sources.candidates import read_jsonl, schema
 from .sources.profile import profiles
 
 AS_OF = "2024-02-01"
@@ -100,6 +103,39 @@ def profile_checks(spark, d):
     )
 
 
+def jsonl_records(spark, d):
+    """The records, written as JSON lines and read back."""
+    path = shared_folder(spark)
+    records(spark, d).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    c = F.col
+    return read_jsonl(spark, path).select(
+        "candidate_id", c("profile.current_title").alias("title"), c("profile.years_of_experience").alias("years"), F.size("skills").cast("long").alias("skills"),
+        F.coalesce(F.size("career_history"), F.lit(0)).cast("long").alias("jobs"), F.size(F.filter("career_history", lambda e: e["is_current"])).cast("long").alias("current"),
+    )
+
+
+def _scanned(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    people = staged(profiles(records(spark, d)))
+    return people, scan_top(people, 100, AS_OF)
+
+
+def scan_export(spark, d):
+    """The best hundred by the legacy score, exported as CSV and read back."""
+    path = shared_folder(spark)
+    sinks.write_scan(_scanned(spark, d)[1], path)
+    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).schema("candidate_id string, rank long, score double, reasoning string").csv(path)
+    return rows.select("candidate_id", "rank", "score", (F.length("reasoning") > 0).alias("told"))
+
+
+def detailed_export(spark, d):
+    """The same with their profiles' details, exported as JSON and read back."""
+    path = shared_folder(spark)
+    people, best = _scanned(spark, d)
+    sinks.write_detailed(best.select("candidate_id", "rank", F.col("legacy_score").alias("final_score")), people, path)
+    rows, _ = sinks.read_last(spark, path)
+    return rows.select("candidate_id", "rank", "final_score", "experience", F.size("skills").cast("long").alias("skills"), F.array_join(F.transform("careerHistory", lambda j: j["company"]), "|").alias("companies"))
+
+
 NAMES = ("Ann Lee", "Bo van Dyk", "Cy El Amin", "Di Roe")
 DEGREES = ("B.S", "MBA", "PhD")
 FIELDS = ("Physics", "Law", "Art History")
@@ -231,5 +267,11 @@ c AS (SELECT c_custkey AS n, coalesce(jobs, [])[1:10] AS jobs FROM customer LEFT
 SELECT n::VARCHAR AS candidate_id, {_at(NAMES, 'n')} AS name, {_at(ROLES, 'n')} AS title, array_to_string(jobs, ';') AS jobs, len(jobs)::BIGINT AS n, {_at(DEGREES, 'n')} AS degree, {_at(FIELDS, 'n')} AS field, {_at(PLACES, 'n')} AS place,
 'skill ' || n AS last_skill, 2.5::DOUBLE * len(jobs) AS years FROM c"""
 
-QUERIES = {"resume_records": resume_records, "profile_scores": profile_scores, "profile_checks": profile_checks}
-SQL = {"resume_records": RESUME_RECORDS, "profile_scores": PROFILE_SCORES, "profile_checks": PROFILE_CHECKS}
+JSONL_RECORDS = f"WITH {_MADE} SELECT n::VARCHAR AS candidate_id, {_at(TITLES, 'n')} AS title, years::DOUBLE AS years, len(skills)::BIGINT AS skills, len(career)::BIGINT AS jobs, len(list_filter(career, lambda e: e.now))::BIGINT AS current FROM r"
+_BEST = f"""b AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT *, n::VARCHAR AS id,
+  round({_clamp('(0.35::DOUBLE * relevance + 0.25::DOUBLE * production + 0.20::DOUBLE * technical + 0.20::DOUBLE * behavioral + 0.05::DOUBLE * career_score) * multiplier')}, 4) AS score FROM y))"""
+SCAN_EXPORT = f"WITH {_MADE}, {_BEST} SELECT id AS candidate_id, rank, score, TRUE AS told FROM b WHERE rank <= 100"
+DETAILED_EXPORT = f"WITH {_MADE}, {_BEST} SELECT id AS candidate_id, rank, score AS final_score, printf('%.1f yrs', years::DOUBLE) AS experience, len(skills)::BIGINT AS skills, array_to_string(list_transform(career, lambda e: e.company), '|') AS companies FROM b WHERE rank <= 100"
+
+QUERIES = {"jsonl_records": jsonl_records, "scan_export": scan_export, "detailed_export": detailed_export, "resume_records": resume_records, "profile_scores": profile_scores, "profile_checks": profile_checks}
+SQL = {"jsonl_records": JSONL_RECORDS, "scan_export": SCAN_EXPORT, "detailed_export": DETAILED_EXPORT, "resume_records": RESUME_RECORDS, "profile_scores": PROFILE_SCORES, "profile_checks": PROFILE_CHECKS}
