@@ -315,3 +315,24 @@ def test_compacted_log(spark, tmp_path):
     assert len(top._log(spark, None).inputFiles()) <= 2 + 4
     with pytest.raises(ValueError):
         top.result(spark, 1)
+
+
+# -- tags ----------------------------------------------------------------------------------
+
+
+def test_tags_of_a_table(spark):
+    from evidentia.operators.tags import keep_first
+    from evidentia.plans.query import FILLER_WORDS, FILLERS, Tags
+
+    r = random.Random(6)
+    words = ["data", "ml", "c++", ".net", "Café", "api-design", "go", "x", "search", "big", r"a\E", "engine", "python", "3d"]
+    tags = [" ".join(r.choice(words) for _ in range(r.randrange(1, 5))) for _ in range(1500)] + ["+++", "a+++b", "a +++ b", "the", "phd", "y" * 201, "y" * 200, "", "Data", "database"]
+    r.shuffle(tags)
+    want = Tags(form=lambda t: t.strip().lower())
+    for t in tags:
+        want.offer(t)
+    df = spark.createDataFrame(list(enumerate(tags)), "pos long, tag string").withColumn("k", F.lit(1)).repartition(3)
+    got = keep_first(df, "tag", "pos", tuple(sorted(FILLERS | FILLER_WORDS))).orderBy("pos").collect()
+    assert [x.tag.lower() for x in got] == want.keys
+    assert len(got) < len(set(tags)) / 2
+    assert keep_first(df.limit(0), "tag", "pos").count() == 0
