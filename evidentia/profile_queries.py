@@ -70,7 +70,8 @@ def records(spark, d: str) -> DataFrame:
 
 def _scored(spark, d: str) -> DataFrame:
     lists = features.Lists(S.keywords.must, S.keywords.nice)
-    return features.with_features(profiles(records(spark, d)), lists, AS_OF)
+    # read like any table of records and profiles: otherwise what makes them is worked out again wherever they are used
+    return features.with_features(staged(profiles(staged(records(spark, d)))), lists, AS_OF)
 
 
 def _six(**columns: Column) -> list[Column]:
@@ -115,7 +116,7 @@ def jsonl_records(spark, d):
 
 
 def _scanned(spark, d: str) -> tuple[DataFrame, DataFrame]:
-    people = staged(profiles(records(spark, d)))
+    people = staged(profiles(staged(records(spark, d))))
     return people, scan_top(people, 100, AS_OF)
 
 
