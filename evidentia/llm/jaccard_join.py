@@ -27,7 +27,8 @@ coarse pivots to fine ones, and each step is exact:
    empty ones; a set with more of them also is in a region of such sets.  Then as before,
    where the regions of one pivot are taken as one.
 5. *Voronoi cells.*  A region that still has more than ``CLOSE`` sets in several components is
-   joined recursively: up to ``PIVOTS`` sets become pivots, each member goes home to the
+   joined recursively: ``SPREAD`` times as many sets as it has to be cut into parts become
+   pivots (twice as many in each further round, up to ``PIVOTS``), each member goes home to the
    nearest (at distance ``d``) and is a guest in the cells of pivots before it in
    order that are nearer than ``d + 2r``.  By the triangle inequality one of two linked
    members then is at home where the other one is home or guest, so guests need
@@ -74,9 +75,9 @@ _LETTERS = letters_of(b" \t\n\x0b\x0c\r")
 COUNTERS = 18
 #: Sets of more shingles have a sketch of a bit for each shingle or two besides the one of 512 bits.
 WIDE = 1024
-#: Pivots of a large region.  Regions of sites with up to LEAF members, and regions of
+#: Pivots of a large region at most, and those for each CLOSE members in the first round.  Regions of sites with up to LEAF members, and regions of
 #: projections and cells with up to CLOSE, are compared without further pivots.
-PIVOTS, LEAF, CLOSE = 64, 64, 1024
+PIVOTS, SPREAD, LEAF, CLOSE = 64, 8, 64, 1024
 #: Rows up to which a list of ids or keys (8 bytes each) is broadcast; beyond it is shuffled.
 SMALL = 2_000_000
 #: Bytes of pivots' sets up to which they are broadcast.
@@ -402,7 +403,9 @@ def _small_pairs(cells: DataFrame, sets: DataFrame, leaf: int, similar: int) ->
 def _large_pairs(cells: DataFrame, leaf: int, step: int) -> tuple[DataFrame, DataFrame]:
     """(key, pivot) of the larger cells, and the pairs of all their members with them."""
     large = cells.where(F.col("homes") > leaf)
-    chosen = large.where("home").groupBy("key", F.pmod(F.xxhash64("id", F.lit(step)), F.lit(PIVOTS)).alias("bucket")).agg(F.min("id").alias("pivot")).select("key", "pivot")
+    # cells are uneven, so more pivots than parts; a region that stays large gets more of them
+    count = F.least(F.lit(PIVOTS), F.ceil(F.col("homes") / leaf) * (SPREAD << min(step - 1, 6)))
+    chosen = large.where("home").groupBy("key", F.pmod(F.xxhash64("id", F.lit(step)), count).alias("bucket")).agg(F.min("id").alias("pivot")).select("key", "pivot")
     met = large.join(chosen, "key").where("id <> pivot")
     return chosen, met.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
 
