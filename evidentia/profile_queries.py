@@ -111,7 +111,7 @@ def jsonl_records(spark, d):
     c = F.col
     return read_jsonl(spark, path).select(
         "candidate_id", c("profile.current_title").alias("title"), c("profile.years_of_experience").alias("years"), F.size("skills").cast("long").alias("skills"),
-        F.coalesce(F.size("career_history"), F.lit(0)).cast("long").alias("jobs"), F.size(F.filter("career_history", lambda e: e["is_current"])).cast("long").alias("current"),
+        F.coalesce(F.size("career_history"), F.lit(0)).cast("long").alias("jobs"), F.coalesce(F.size(F.filter("career_history", lambda e: e["is_current"])), F.lit(0)).cast("long").alias("current"),
     )
 
 

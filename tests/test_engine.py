@@ -1,11 +1,13 @@
 """The candidate engine on small records, each written for one rule."""
 
 import json
+from pathlib import Path
 
 import pytest
+from conftest import DATA, duck, same
 from pyspark.sql import functions as F
 
-from evidentia import jobs, queries
+from evidentia import jobs, profile_queries, queries
 from evidentia.config import DEFAULT_QUERY
 from evidentia.functions import numeric, text
 from evidentia.operators import checks, explain, features, fusion, lexical, model
@@ -405,3 +407,12 @@ def test_entry_without_the_subpackage(tmp_path):
 def test_explanation_choice(spark):
     seed = explain.choose(F.lit(7), [F.lit("a"), F.lit("b"), F.lit("c")])
     assert spark.range(1).select(seed.alias("x")).first().x == "b"
+
+
+def test_records_of_customers_without_orders(spark, tmp_path):
+    for p in Path(f"{DATA}/sf0.001").iterdir():
+        (tmp_path / p.name).symlink_to(p)
+    (tmp_path / "orders.parquet").unlink()
+    spark.read.parquet(f"{DATA}/sf0.001/orders.parquet").where("o_custkey % 3 <> 0").write.parquet(str(tmp_path / "orders.parquet"))
+    for name in ("jsonl_records", "resume_records"):
+        same(profile_queries.QUERIES[name](spark, str(tmp_path)).toPandas(), duck(tmp_path).sql(profile_queries.SQL[name]).df())
