@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .cluster import shared_folder, staged
+from .cluster import shared_folder, spread, staged
 from .config import DEFAULT as S
 from .operators import features
 from .operators.checks import with_checks
@@ -151,7 +151,7 @@ def resume_records(spark, d):
     line = F.concat(_pick(ROLES, k), F.when(k % 3 == 0, F.lit(", ")).otherwise(" at "), _pick(FIRMS, k), F.lit(" "), (F.lit(1990) + k % 20).cast("string"), F.when(k % 7 == 0, F.lit(" - present")).otherwise(F.concat(F.lit(" - "), (F.lit(2010) + k % 10).cast("string"))))
     orders = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", F.struct(k.alias("k"), F.concat(line, F.lit("\n- order number "), k.cast("string")).alias("line")).alias("job"))
     jobs = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("job")), lambda j: j["line"]), "\n").alias("jobs"))
-    customers = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
+    customers = spread(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"))  # else a small table's texts are all read by one task
     rows = customers.join(jobs, customers["c_custkey"] == jobs["o_custkey"], "left")
     text = F.concat(
         F.when(n % 2 == 0, F.lit("mail@x.org\n")).otherwise(""), _pick(NAMES, n), F.lit("\n"), _pick(ROLES, n), F.lit("\nExperience\n"), F.coalesce("jobs", F.lit("none")), F.lit("\nEducation:\n"),

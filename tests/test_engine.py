@@ -409,6 +409,12 @@ def test_explanation_choice(spark):
     assert spark.range(1).select(seed.alias("x")).first().x == "b"
 
 
+def test_resume_expressions_stay_small(spark):
+    """Each step of reading a job is written once; copies of copies took over a minute to analyse and run."""
+    plan = spark.createDataFrame([("a b",)], "t string").select(resume.jobs_of(resume.lines_of(F.col("t"))).alias("jobs"))._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 50_000
+
+
 def test_records_of_customers_without_orders(spark, tmp_path):
     for p in Path(f"{DATA}/sf0.001").iterdir():
         (tmp_path / p.name).symlink_to(p)
