@@ -27,7 +27,7 @@ coarse pivots to fine ones, and each step is exact:
    empty ones; a set with more of them also is in a region of such sets.  Then as before,
    where the regions of one pivot are taken as one.
 5. *Voronoi cells.*  A region that still has more than ``CLOSE`` sets in several components is
-   joined recursively: ``SPREAD`` times as many sets as it has to be cut into parts become
+   merged with such regions of nearly the same members, and joined recursively: ``SPREAD`` times as many sets as it has to be cut into parts become
    pivots (twice as many in each further round, up to ``PIVOTS``), each member goes home to the
    nearest (at distance ``d``) and is a guest in the cells of pivots before it in
    order that are nearer than ``d + 2r``.  By the triangle inequality one of two linked
@@ -78,6 +78,8 @@ WIDE = 1024
 #: Pivots of a large region at most, and those for each CLOSE members in the first round.  Regions of sites with up to LEAF members, and regions of
 #: projections and cells with up to CLOSE, are compared without further pivots.
 PIVOTS, SPREAD, LEAF, CLOSE = 64, 8, 64, 1024
+#: Passes in which large regions with nearly the same members are made one.
+MERGES = 3
 #: Rows up to which a list of ids or keys (8 bytes each) is broadcast; beyond it is shuffled.
 SMALL = 2_000_000
 #: Bytes of pivots' sets up to which they are broadcast.
@@ -400,20 +402,33 @@ def _small_pairs(cells: DataFrame, sets: DataFrame, leaf: int, similar: int) ->
     return _may_link(met.select(F.greatest("id", "o").alias("a"), F.least("id", "o").alias("b")).distinct(), sets, similar)
 
 
+def _merged(large: DataFrame) -> DataFrame:
+    """Large cells that share most of their members as one, so that these meet one set of pivots only.
+
+    A cell is renamed after its member of the least hash, so two become one with the
+    probability of the share that they have in common, in each of ``MERGES`` passes.
+    No pair is lost: a member at home in one of the cells is at home in the whole.
+    """
+    for k in range(MERGES):
+        names = large.groupBy("key").agg(F.min(F.xxhash64("id", F.lit(k))).alias("to"))
+        large = large.join(names, "key").groupBy(F.col("to").alias("key"), "id", "n", "c").agg(F.max("home").alias("home"))
+    homes = large.groupBy("key").agg(F.count_if("home").alias("homes"))
+    return large.join(homes, "key")
+
+
 def _large_pairs(cells: DataFrame, leaf: int, step: int) -> tuple[DataFrame, DataFrame]:
-    """(key, pivot) of the larger cells, and the pairs of all their members with them."""
-    large = cells.where(F.col("homes") > leaf)
+    """(key, pivot) of larger cells, and the pairs of all their members with them."""
     # cells are uneven, so more pivots than parts; a region that stays large gets more of them
     count = F.least(F.lit(PIVOTS), F.ceil(F.col("homes") / leaf) * (SPREAD << min(step - 1, 6)))
-    chosen = large.where("home").groupBy("key", F.pmod(F.xxhash64("id", F.lit(step)), count).alias("bucket")).agg(F.min("id").alias("pivot")).select("key", "pivot")
-    met = large.join(chosen, "key").where("id <> pivot")
+    chosen = cells.where("home").groupBy("key", F.pmod(F.xxhash64("id", F.lit(step)), count).alias("bucket")).agg(F.min("id").alias("pivot")).select("key", "pivot")
+    met = cells.join(chosen, "key").where("id <> pivot")
     return chosen, met.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
 
 
-def _cells(cells: DataFrame, chosen: DataFrame, known: DataFrame, leaf: int, similar: int) -> DataFrame:
-    """The Voronoi cells of the larger cells' pivots, without the pivots themselves."""
-    large = cells.where(F.col("homes") > leaf).join(chosen.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
-    met = large.drop("d").join(chosen.select("key", "pivot"), "key")
+def _cells(cells: DataFrame, chosen: DataFrame, known: DataFrame, similar: int) -> DataFrame:
+    """The Voronoi cells of larger cells' pivots, without the pivots themselves."""
+    large = cells.join(chosen.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
+    met = large.join(chosen.select("key", "pivot"), "key")
     met = met.withColumns({"a": F.greatest("id", "pivot"), "b": F.least("id", "pivot")}).join(known.select("a", "b", "d"), ["a", "b"])
     near = met.groupBy("key", "id", "n", "home").agg(F.min(F.struct("d", "pivot")).alias("near"), F.collect_list(F.struct("pivot", "d")).alias("all"))  # at most PIVOTS
     far = F.col("near.d") + 2 * (1 - similar / 100) + 1e-9
@@ -469,12 +484,13 @@ def _recursion(work: Workspace, texts: DataFrame, cells: DataFrame, sets: DataFr
         label = _joined(work, label, known.where("link").select("a", "b"), f"comp{step}")
         if not rest.where(F.col("homes") > CLOSE).limit(1).count():
             break
-        chosen, pairs = _large_pairs(rest, CLOSE, step)
+        large = work.cut(_merged(rest.where(F.col("homes") > CLOSE)), f"large{step}")
+        chosen, pairs = _large_pairs(large, CLOSE, step)
         chosen, pairs = work.cut(chosen, f"pivots{step}"), work.cut(pairs, f"wide{step}")
         known = _distances(work, texts, pairs, size, similar, f"far{step}")
         label = _joined(work, label, known.where("link").select("a", "b"), f"link{step}")
-        cells = work.cut(_cells(rest, chosen, known, CLOSE, similar), f"cells{step}")
-        for name in (f"round{step - 1}-open", f"round{step - 1}-apart", f"pivots{step}", f"pairs{step}", f"wide{step}", f"dist{step}-d", f"far{step}-d"):
+        cells = work.cut(_cells(large, chosen, known, similar), f"cells{step}")
+        for name in (f"round{step - 1}-open", f"round{step - 1}-apart", f"pivots{step}", f"pairs{step}", f"wide{step}", f"large{step}", f"dist{step}-d", f"far{step}-d"):
             work.drop(name)
         work.tidy()
     return label

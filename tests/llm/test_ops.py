@@ -550,6 +550,20 @@ def test_sketches_bound_the_difference():
                 assert bits <= folded <= len(np.setxor1d(x, y)) and (jaccard_join.wide_sketch(x) is None) == (len(x) <= 1024)
 
 
+def test_jaccard_alike_cells_are_merged(spark):
+    """Large cells of nearly the same members met as many sets of pivots as there were cells."""
+    rows = [(key, i, 9, key == 1 or i % 2 == 0, i % 7, 0) for key in (1, 2, 3) for i in range(200 + key)]
+    rows += [(4, i, 9, True, i % 7, 0) for i in range(1000, 1100)]
+    got = jaccard_join._merged(spark.createDataFrame(rows, "key long, id long, n long, home boolean, c long, homes long")).collect()
+    cells = {}
+    for r in got:
+        cells.setdefault(r.key, {})[r.id] = (r.home, r.homes)
+    ids = {frozenset(c) for c in cells.values()}
+    assert ids == {frozenset(range(203)), frozenset(range(1000, 1100))} and len(got) == 303
+    assert all(homes == sum(h for h, _ in c.values()) for c in cells.values() for _, homes in c.values())
+    assert all(c[i][0] for c in cells.values() for i in c if i < 201 or i == 202 or i >= 1000)
+
+
 def test_jaccard_voronoi_cells(spark, monkeypatch):
     """Regions far larger than their pivots: sets that share a rare passage, at all distances."""
     monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
