@@ -57,21 +57,30 @@ class BlockIndex:
 
     @classmethod
     def build(cls, index: LexicalIndex, span: int = SPAN, s: Settings = DEFAULT) -> BlockIndex:
-        one = index.corpus.select("n", F.greatest("avgdl", F.lit(1e-9)).alias("avgdl"))
+        one = staged(index.corpus.select("n", F.greatest("avgdl", F.lit(1e-9)).alias("avgdl")))  # one row, asked for again and again
         # documents of like length share ranges: what a term gives depends on it, so bounds are close
         like = F.floor(8 * F.log2(F.col("dl") + 1.0))
-        sizes = index.documents.groupBy(like.alias("like")).agg(F.ceil(F.count("*") / span).alias("ranges"))  # some hundred rows at most
-        rows = index.postings.where("tf > 0").withColumn("like", like).join(F.broadcast(sizes), "like").crossJoin(F.broadcast(one))  # one row
-        part = F.col("like") * (1 << 40) + F.pmod(F.xxhash64("doc"), F.col("ranges"))
-        rows = rows.select("term", part.alias("part"), factor(F.col("tf"), F.col("dl"), F.col("avgdl"), s).alias("f"), F.struct("doc", "cid", "weight", "tf", "dl").alias("row"))
+        sizes = F.broadcast(staged(index.documents.groupBy(like.alias("like")).agg(F.ceil(F.count("*") / span).alias("ranges"))))  # some hundred rows at most
+        part = (F.col("like") * (1 << 40) + F.pmod(F.xxhash64("doc"), F.col("ranges"))).alias("part")
+        if index.tokens is None:
+            rows = index.postings.where("tf > 0").withColumn("like", like).join(sizes, "like").select("*", part)
+        else:
+            # a range's documents are brought together, as text: all its postings are then made, counted and gathered in one task
+            docs = index.tokens.where("dl > 0").withColumns({"like": like, "words": F.array_join("tokens", " ")}).join(sizes, "like")
+            docs = docs.select("doc", "cid", "weight", "dl", "words", part).repartition("part")
+            each = docs.select("part", "doc", "cid", "weight", "dl", F.explode(F.split("words", " ")).alias("term"))
+            rows = each.groupBy("part", "doc", "cid", "weight", "dl", "term").agg(F.count("*").alias("tf"))
+        rows = rows.crossJoin(F.broadcast(one))
+        rows = rows.select("term", "part", factor(F.col("tf"), F.col("dl"), F.col("avgdl"), s).alias("f"), F.struct("doc", "cid", "weight", "tf", "dl").alias("row"))
         blocks = rows.groupBy("term", "part").agg(F.max("f").alias("top"), F.count("*").alias("n"), F.collect_list("row").alias("rows"))  # about span at most
-        terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("f").alias("top"))
+        terms = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top"))
         kinds = F.lit(",".join(index.postings.schema[c].dataType.simpleString() for c in ("doc", "cid")))
         return cls(blocks, terms, one.withColumns({"span": F.lit(span), "k1": F.lit(float(s.k1)), "b": F.lit(float(s.b)), "kinds": kinds}))
 
     def save(self, path: str, buckets: int = 64) -> None:
         bucketed(self.blocks, f"{path}/blocks", buckets, "term", "part")
-        bucketed(self.terms, f"{path}/terms", buckets, "term")
+        heads = self.blocks.sparkSession.read.parquet(f"{path}/blocks")  # what was written: no posting is made again
+        bucketed(heads.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top")), f"{path}/terms", buckets, "term")
         self.corpus.coalesce(1).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/corpus")
 
     @classmethod

@@ -62,6 +62,16 @@ def test_blocks_give_the_same_answer(spark, index, query, k):
         assert read.of > 6000 and read.postings <= read.of / 3
 
 
+def test_blocks_are_made_without_shuffling_postings(spark):
+    """Texts are shuffled, by range; postings were too, twice, at many times the table's size."""
+    rows = spark.createDataFrame([(1, "a", 1.0, "x y x"), (2, "b", 1.0, "y z"), (3, "c", 1.0, None)], "doc long, cid string, weight double, text string")
+    blocks = blockmax.BlockIndex.build(lexical.build_index(rows)).blocks
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(part#" in plan
+    got = {(r.term, x.doc, x.cid, x.tf, x.dl) for r in blocks.collect() for x in r.rows}
+    assert got == {("x", 1, "a", 2, 3), ("y", 1, "a", 1, 3), ("y", 2, "b", 1, 2), ("z", 2, "b", 1, 2)}
+
+
 def test_blocks_of_other_settings(spark, index):
     from dataclasses import replace
 
