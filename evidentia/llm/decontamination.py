@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -148,52 +149,60 @@ def decontaminate(
     ``spans`` (the hit stretches of words) and ``contaminated``."""
     spark = docs.sparkSession
     state = {k: fresh(docs, k) for k in ("spans", "items")}
-    out, made = docs, 0
-    for made, block in enumerate(_blocks(bench, item_col, item_text_col, block_words), 1):
+    blocks = _blocks(bench, item_col, item_text_col, block_words)
+    out, made, block = docs, 0, next(blocks, None)
+    while block:
+        after = next(blocks, None)
         vocabulary = frozenset(w for _, text in block for w in words(text))
         index = spark.sparkContext.broadcast(WindowIndex(block, _rarity(docs, text_col, vocabulary), window))
-        if made == 2:
+        if made == 1:
             workspace = workspace or Workspace(spark)
-        if made > 1:  # one block in a Python worker at a time
-            out = workspace.cut(out, f"block{made}")
-
-        def make(index=index, first=made == 1):
-            def work(batch: pa.RecordBatch) -> dict[str, list]:
-                spans, items = [], []
-                before = None if first else [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in state.values()]
-                for k, text in enumerate(raw_texts(batch, text_col)):
-                    s, i = index.value.hits(words(text))
-                    if before:
-                        s = [*zip(before[0][k][::2], before[0][k][1::2]), *s]
-                        i |= set(before[1][k])
-                    spans.append([x for pair in sorted(set(s)) for x in pair])
-                    items.append(sorted(i - {None}) + [None] * (None in i))
-                return {state["spans"]: spans, state["items"]: items}
-
-            return work
-
-        out = append_columns(out, make, {state["spans"]: "array<int>", state["items"]: "array<string>"})
-    if not made:
-        out = out.withColumns({state["spans"]: F.array().cast("array<int>"), state["items"]: F.array().cast("array<string>")})
-
-    def finish():
-        def work(batch: pa.RecordBatch) -> dict[str, list]:
-            n = [len(words(t)) for t in raw_texts(batch, text_col)]
-            flat = batch.column(batch.schema.get_field_index(state["spans"])).to_pylist()
-            spans = [list(zip(x[::2], x[1::2])) for x in flat]
-            hit = [covered(x) for x in spans]
-            return {
-                "n_words": n,
-                "n_hit": hit,
-                "item_ids": batch.column(batch.schema.get_field_index(state["items"])),
-                "spans": [[{"start": a, "end": b} for a, b in x] for x in spans],
-                "contaminated": [h > 0 and 20 * h >= k for h, k in zip(hit, n)],
-            }
-
-        return work
+        if made:  # one block in a Python worker at a time
+            out = workspace.cut(out, f"block{made + 1}")
+        out = _met(out, index, text_col, state, first=not made) if after else _judged(out, index, text_col, state, docs.columns, first=not made)
+        made, block = made + 1, after
+    return out if made else _judged(docs, None, text_col, state, docs.columns, first=True)
+
+
+def _hits_so_far(batch: pa.RecordBatch, index, text_col: str, state: dict[str, str], first: bool) -> Iterator[tuple[int, list[tuple[int, int]], list[str | None]]]:
+    """Each text's number of words, and its spans and items in this block and those before."""
+    before = None if first else [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in state.values()]
+    for k, text in enumerate(raw_texts(batch, text_col)):
+        w = words(text)
+        s, i = index.value.hits(w) if index else ([], set())
+        if before:
+            s = [*zip(before[0][k][::2], before[0][k][1::2]), *s]
+            i |= set(before[1][k])
+        yield len(w), sorted(set(s)), sorted(i - {None}) + [None] * (None in i)
+
+
+def _met(docs: DataFrame, index, text_col: str, state: dict[str, str], first: bool) -> DataFrame:
+    """``docs`` with the hits so far, for the next block."""
+
+    def work(batch: pa.RecordBatch) -> dict[str, list]:
+        found = list(_hits_so_far(batch, index, text_col, state, first))
+        return {state["spans"]: [[x for pair in s for x in pair] for _, s, _ in found], state["items"]: [i for *_, i in found]}
+
+    return append_columns(docs, lambda: work, {state["spans"]: "array<int>", state["items"]: "array<string>"})
+
+
+def _judged(docs: DataFrame, index, text_col: str, state: dict[str, str], keep: list[str], first: bool) -> DataFrame:
+    """The result, after the last block: in the same function that meets it, as a second one in the
+    plan would take a second Python worker for each core, and workers live on with all that later stages load."""
+
+    def work(batch: pa.RecordBatch) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in fields}
+        for n, spans, items in _hits_so_far(batch, index, text_col, state, first):
+            hit = covered(spans)
+            out["n_words"].append(n)
+            out["n_hit"].append(hit)
+            out["item_ids"].append(items)
+            out["spans"].append([{"start": a, "end": b} for a, b in spans])
+            out["contaminated"].append(hit > 0 and 20 * hit >= n)
+        return out
 
     fields = {"n_words": "long", "n_hit": "long", "item_ids": "array<string>", "spans": "array<struct<start:int,end:int>>", "contaminated": "boolean"}
-    return append_columns(out, finish, fields).drop(*state.values())
+    return append_columns(docs, lambda: work, fields, keep=keep)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,11 +213,11 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def encode_documents(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
+def encode_documents(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked for,
     ``ids`` (binary, little-endian 32-bit) and ``decoded``.
 
-    ``path`` is the model's path on every executor.
+    ``path`` is the model's path on every executor; ``keep`` limits which columns of ``df`` come out.
     """
 
     def make():
@@ -245,7 +245,7 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", keep_ids:
         fields["ids"] = "binary"
     if keep_decoded:
         fields["decoded"] = "string"
-    return append_columns(df, make, fields)
+    return append_columns(df, make, fields, keep)
 
 
 def default_model() -> str:

@@ -204,6 +204,17 @@ def test_decontamination_null_ids(spark, tmp_path):
         assert [(g.n_hit, g.item_ids) for g in got] == [(4, ["7", None]), (2, ["7"])]
 
 
+def test_decontamination_takes_one_worker(spark):
+    """Python functions in a row each take a worker of their own for a core, and those live on."""
+    bench = spark.createDataFrame([(1, "one two"), (2, "three four")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "one two three four", 5, 6)], "doc_id long, text string, spans int, extra int")
+    for size, items in ((2, bench), (2_000_000, bench), (2, bench.limit(0))):
+        out = decontamination.decontaminate(d, items, block_words=size)
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert out.columns == ["doc_id", "text", "extra", "n_words", "n_hit", "item_ids", "spans", "contaminated"]
+        assert out.first().n_hit == (4 if items is bench else 0)
+
+
 # -- SentencePiece -----------------------------------------------------------
 
 
