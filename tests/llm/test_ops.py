@@ -8,6 +8,7 @@ import struct
 import sys
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, str(__import__("pathlib").Path(__file__).resolve().parents[1]))
@@ -244,6 +245,38 @@ def test_decode_of_broken_bytes(pieces):
         assert mine.decode(ids) == lib.decode(ids), ids
 
 
+def test_pieces_side_by_side(pieces, monkeypatch):
+    """Only segments that are too long are encoded one by one; all others have their tables filled side by side."""
+    mine, lib = pieces
+    r = random.Random(5)
+    gap = mine.gap
+    texts = ["".join(r.choice(["th", "ion", "éa", "ß", "##", "$", ".!", ", ", " ", "  ", "▁", "\n", "日", "🎉", "1", gap, "²", "…"]) for _ in range(r.randint(0, 60))) for _ in range(2000)]
+    texts += ["", " ", "▁", gap, "a" * mine.LONGEST, "a" * (mine.LONGEST - 1), *("abcde" * 20, "x" * 500)]
+    texts += [x or "" for x in pq.read_table(f"{SMALL}/documents.parquet").column("text").to_pylist()]
+    alone = []
+    tokens = type(mine).tokens
+    monkeypatch.setattr(type(mine), "tokens", lambda self, text: alone.append(text) or tokens(self, text))
+    monkeypatch.setattr(mine, "new", {})
+    monkeypatch.setattr(mine, "old", {})
+    got = mine.encode_all(texts)
+    assert all(len(x) > mine.LONGEST for x in alone) and "a" * mine.LONGEST in "".join(alone)
+    for text, (ids, decoded) in zip(texts, got, strict=True):
+        want = lib.encode(text)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want and decoded == lib.decode(want), text
+    assert got == mine.encode_all(texts) == [mine.encode_decode(x) for x in texts]  # from what is kept, and one by one
+    monkeypatch.setattr(mine, "KEPT", 50)
+    assert mine.encode_all(texts) == got and len(mine.new) <= 50
+
+
+def test_pieces_tables_equal_one_by_one(pieces):
+    mine, _ = pieces
+    r = random.Random(6)
+    segments = sorted({"".join(r.choice("  aehinorst.,#éß日\x00") for _ in range(r.randint(1, mine.LONGEST))) for _ in range(2000)}, key=lambda s: s[::-1])
+    ids, stop = mine.tokens_of(segments)
+    for s, a, b in zip(segments, [0, *stop], stop):
+        assert ids[a:b].tolist() == mine.tokens(s), s
+
+
 def test_pieces_rows(spark, odd, none, pieces):
     _, lib = pieces
     out = piece_bpe.encode_documents(odd, piece_bpe.default_model()).collect()
